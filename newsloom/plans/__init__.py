@@ -4,6 +4,7 @@ import importlib
 
 PLAN_MODULES = (
     "newsloom.plans.dashboard",
+    "newsloom.plans.feed",
 )
 
 
