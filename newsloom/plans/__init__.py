@@ -5,6 +5,7 @@ import importlib
 PLAN_MODULES = (
     "newsloom.plans.dashboard",
     "newsloom.plans.feed",
+    "newsloom.plans.textdedup",
 )
 
 
