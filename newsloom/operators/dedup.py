@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators import greedy, ranking, tfidf
+from newsloom.session import ensure_checkpoint_dir
 
 
 def dedupe_by_key(df: DataFrame, key: str, order_col: str, last: bool = False,
@@ -65,7 +66,11 @@ def tfidf_on_distinct(docs: DataFrame, id_col: str, text_col: str, order_col: st
     copies = copies if copies is not None else exact_copies(docs, id_col, text_col, order_col)
     reps = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(order_col).alias("ord"))
             .join(copies.filter("is_rep").select("id", "n_copies"), "id"))
-    vec = tfidf.tfidf(reps, "id", "text", copies_col="n_copies")
+    vec = tfidf.tfidf(reps, "id", "text", copies_col="n_copies", with_term_ids=True)
+    # The vectors feed three branches (prefix join, packed vectors, order);
+    # a reliable checkpoint computes them once and cuts the lineage there.
+    ensure_checkpoint_dir(docs.sparkSession)
+    vec = vec.checkpoint(eager=True)
     return vec, reps.select("id", "ord")
 
 

@@ -23,6 +23,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from newsloom.operators import ranking
 
 # The token rule.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -46,8 +49,9 @@ def term_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "text"
 
 
 def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text",
-          copies_col: str | None = None, n_docs: Column | None = None) -> DataFrame:
-    """L2-normalised TF-IDF rows ``(id, term, df, w)``.
+          copies_col: str | None = None, n_docs: Column | None = None,
+          with_term_ids: bool = False, term_ids: str = "hash") -> DataFrame:
+    """L2-normalised TF-IDF rows ``(id, term, df[, tid], w)``.
 
     ``copies_col`` lets callers pass one row per distinct text with its copy
     count; df and n then count every copy, as if the copies were present.
@@ -59,45 +63,129 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     # df: a hash aggregate with map-side partial sums, so a hot term is
     # combined per partition before the shuffle.
     dfreq = tf.groupBy("term").agg(F.sum(mult).cast("long").alias("df"))
+    cols = ["id", "term", "df"]
+    if with_term_ids:
+        dfreq = with_term_ids_column(dfreq, term_ids)
+        cols.append("tid")
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    raw = tf.join(dfreq, "term").select("id", "term", "df", (F.col("tf") * idf).alias("w"))
+    raw = tf.join(dfreq, "term").select(*cols, (F.col("tf") * idf).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", "df", (F.col("w") / norm).alias("w"))
+    return raw.select(*cols, (F.col("w") / norm).alias("w"))
+
+
+def with_term_ids_column(dfreq: DataFrame, mode: str = "hash") -> DataFrame:
+    """Add exact integer term ids ``tid`` to a one-row-per-term dictionary.
+
+    ``mode="hash"``: ``xxhash64(term)``, checked inside the same plan by a
+    window over the dictionary partitioned by hash (groups of one unless two
+    terms collide); a collision fails the query instead of merging terms.
+    ``mode="dense"``: ids from a distributed sort, for the rare corpus whose
+    vocabulary has a 64-bit collision.  Equal ids always mean equal terms.
+    """
+    if mode == "dense":
+        return ranking.sequential_ids(dfreq, [F.col("term").asc()], col="tid")
+    h = F.xxhash64("term")
+    n_same = F.count(F.lit(1)).over(Window.partitionBy(h))
+    return dfreq.withColumn(
+        "tid", F.when(n_same > 1, F.raise_error(F.lit("term hash collision: rerun with term_ids='dense'")))
+        .otherwise(h).cast("long"))
 
 
 def prefix_entries(vec: DataFrame, threshold: float) -> DataFrame:
-    """Rows of ``vec`` whose suffix norm (rare-first order) is >= threshold."""
+    """Entries of ``vec`` that can be a pair's first shared term, with suffix bounds.
+
+    For doc x and term k (rare-first order) two bounds hold for the dot product
+    of x's terms at or after k with any unit vector y:
+    ``sfx = ||x[>=k]||`` and ``sfx_mw = sum_{j>=k} x_j * maxw_j`` where maxw_j
+    is term j's largest weight in the corpus.  A term can be the first shared
+    term of a qualifying pair only if ``min(sfx, sfx_mw) >= threshold``.
+    The ``*_after`` columns are the same bounds for the terms strictly after k.
+    """
+    maxw = vec.groupBy("tid").agg(F.max("w").alias("maxw"))
+    v = vec.join(maxw, "tid")
     w = (Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("term").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    suffix_sq = F.sum(F.col("w") * F.col("w")).over(w)
-    return vec.withColumn("_suffix", suffix_sq).filter(
-        F.col("_suffix") >= F.lit(threshold * threshold - PREFIX_EPS)).drop("_suffix")
+    sfx_sq = F.sum(F.col("w") * F.col("w")).over(w)
+    sfx_mw = F.sum(F.col("w") * F.col("maxw")).over(w)
+    v = v.select("id", "tid", "w", "maxw", sfx_sq.alias("_sq"), sfx_mw.alias("sfx_mw"))
+    v = v.select(
+        "id", "tid", "w",
+        F.sqrt("_sq").alias("sfx"),
+        F.sqrt(F.greatest(F.col("_sq") - F.col("w") * F.col("w"), F.lit(0.0))).alias("sfx_after"),
+        "sfx_mw",
+        F.greatest(F.col("sfx_mw") - F.col("w") * F.col("maxw"), F.lit(0.0)).alias("mw_after"),
+    )
+    bound = F.least(F.col("sfx"), F.col("sfx_mw"))
+    return v.filter(bound >= F.lit(threshold - PREFIX_EPS))
 
 
 def candidate_pairs(vec: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (lo, hi) pairs sharing a prefix term; ``order`` maps id -> ord (total order)."""
-    pre = prefix_entries(vec, threshold).select("id", "term").join(order, "id")
-    a = pre.select(F.col("id").alias("lo"), F.col("ord").alias("lo_ord"), "term")
-    b = pre.select(F.col("id").alias("hi"), F.col("ord").alias("hi_ord"), "term")
-    pairs = a.join(b, "term").filter(
-        (F.col("lo_ord") < F.col("hi_ord")) | ((F.col("lo_ord") == F.col("hi_ord")) & (F.col("lo") < F.col("hi"))))
-    return pairs.select("lo", "hi").distinct()
+    """(lo, hi) pairs that can reach ``threshold``; ``order`` maps id -> ord (total order).
+
+    Exact filters, applied to the term join of prefix entries:
+    * row filter: at a pair's first shared term k, ||x[>=k]|| * ||y[>=k]|| >= t
+      (the product only falls along the order, so failing rows are never first);
+    * pair filter: the partial dot over the joined (leading) shared terms plus
+      a bound on everything after the last of them must reach t.
+    """
+    pre = prefix_entries(vec, threshold).join(order, "id")
+    cols = ["w", "sfx", "sfx_after", "mw_after"]
+    a = pre.select(F.col("id").alias("lo"), F.col("ord").alias("lo_ord"), "tid", *[F.col(c).alias(c + "_a") for c in cols])
+    b = pre.select(F.col("id").alias("hi"), F.col("ord").alias("hi_ord"), "tid", *[F.col(c).alias(c + "_b") for c in cols])
+    eps = F.lit(threshold - PREFIX_EPS)
+    pairs = a.join(b, "tid").filter(
+        ((F.col("lo_ord") < F.col("hi_ord")) | ((F.col("lo_ord") == F.col("hi_ord")) & (F.col("lo") < F.col("hi"))))
+        & (F.col("sfx_a") * F.col("sfx_b") >= eps))
+    rest = F.least(F.col("sfx_after_a") * F.col("sfx_after_b"), F.col("mw_after_a"), F.col("mw_after_b"))
+    agg = pairs.groupBy("lo", "hi").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("_partial"),
+                                        F.min(rest).alias("_rest"))
+    return agg.filter(F.col("_partial") + F.col("_rest") >= eps).select("lo", "hi")
+
+
+def packed_vectors(vec: DataFrame) -> DataFrame:
+    """One row per document: ``(id, tids, ws)`` sorted by term id.
+
+    A document's vector is bounded by its own length, so this group is never
+    larger than one text.
+    """
+    packed = vec.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("tid", "w"))).alias("_v"))
+    return packed.select("id", F.col("_v.tid").alias("tids"), F.col("_v.w").alias("ws"))
+
+
+def _dot_batches(batches):
+    import numpy as np
+    import pandas as pd
+
+    for pdf in batches:
+        out = np.empty(len(pdf), dtype="float64")
+        for i, (ta, wa, tb, wb) in enumerate(zip(pdf["ta"], pdf["wa"], pdf["tb"], pdf["wb"])):
+            ta = np.asarray(ta, dtype="int64")
+            tb = np.asarray(tb, dtype="int64")
+            if len(ta) > len(tb):
+                ta, tb, wa, wb = tb, ta, wb, wa
+            pos = np.searchsorted(tb, ta)
+            pos_c = np.minimum(pos, len(tb) - 1)
+            hit = (pos < len(tb)) & (tb[pos_c] == ta)
+            out[i] = float(np.dot(np.asarray(wa, dtype="float64")[hit], np.asarray(wb, dtype="float64")[pos_c[hit]]))
+        yield pd.DataFrame({"lo": pdf["lo"], "hi": pdf["hi"], "cosine": out})
+
+
+DOT_SCHEMA = T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()),
+                           T.StructField("cosine", T.DoubleType())])
 
 
 def verify_pairs(cands: DataFrame, vec: DataFrame) -> DataFrame:
-    """Exact cosine for each (lo, hi) candidate: join the smaller vector's terms, then the other's."""
-    nnz = vec.groupBy("id").agg(F.count(F.lit(1)).alias("nnz"))
-    c = (cands.join(nnz.select(F.col("id").alias("lo"), F.col("nnz").alias("lo_nnz")), "lo")
-         .join(nnz.select(F.col("id").alias("hi"), F.col("nnz").alias("hi_nnz")), "hi"))
-    small_lo = F.col("lo_nnz") <= F.col("hi_nnz")
-    c = c.select("lo", "hi",
-                 F.when(small_lo, F.col("lo")).otherwise(F.col("hi")).alias("probe"),
-                 F.when(small_lo, F.col("hi")).otherwise(F.col("lo")).alias("target"))
-    vp = vec.select(F.col("id").alias("probe"), "term", F.col("w").alias("wp"))
-    vt = vec.select(F.col("id").alias("target"), "term", F.col("w").alias("wt"))
-    dots = (c.join(vp, "probe").join(vt, ["target", "term"])
-            .groupBy("lo", "hi").agg(F.sum(F.col("wp") * F.col("wt")).alias("cosine")))
-    return dots
+    """Exact cosine for each (lo, hi) candidate from the two packed vectors.
+
+    Sorted-array intersection (``searchsorted``) has no built-in expression,
+    so this one step runs as an Arrow-batched ``mapInPandas`` over the joined
+    candidate rows.
+    """
+    packed = packed_vectors(vec)
+    a = packed.select(F.col("id").alias("lo"), F.col("tids").alias("ta"), F.col("ws").alias("wa"))
+    b = packed.select(F.col("id").alias("hi"), F.col("tids").alias("tb"), F.col("ws").alias("wb"))
+    joined = cands.select(F.col("lo").cast("long"), F.col("hi").cast("long")).join(a, "lo").join(b, "hi")
+    return joined.select("lo", "hi", "ta", "wa", "tb", "wb").mapInPandas(_dot_batches, DOT_SCHEMA)
 
 
 def similar_pairs(vec: DataFrame, order: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
