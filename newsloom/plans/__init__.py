@@ -6,6 +6,7 @@ PLAN_MODULES = (
     "newsloom.plans.dashboard",
     "newsloom.plans.feed",
     "newsloom.plans.textdedup",
+    "newsloom.plans.textq",
 )
 
 
