@@ -7,6 +7,7 @@ PLAN_MODULES = (
     "newsloom.plans.feed",
     "newsloom.plans.textdedup",
     "newsloom.plans.textq",
+    "newsloom.plans.pagesq",
 )
 
 
