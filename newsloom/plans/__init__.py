@@ -8,6 +8,7 @@ PLAN_MODULES = (
     "newsloom.plans.textdedup",
     "newsloom.plans.textq",
     "newsloom.plans.pagesq",
+    "newsloom.plans.vectorq",
 )
 
 
