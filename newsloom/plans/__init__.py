@@ -9,6 +9,7 @@ PLAN_MODULES = (
     "newsloom.plans.textq",
     "newsloom.plans.pagesq",
     "newsloom.plans.vectorq",
+    "newsloom.plans.datesq",
 )
 
 
