@@ -10,6 +10,8 @@ PLAN_MODULES = (
     "newsloom.plans.pagesq",
     "newsloom.plans.vectorq",
     "newsloom.plans.datesq",
+    "newsloom.plans.ingestq",
+    "newsloom.plans.modelq",
 )
 
 
