@@ -12,6 +12,7 @@ PLAN_MODULES = (
     "newsloom.plans.datesq",
     "newsloom.plans.ingestq",
     "newsloom.plans.modelq",
+    "newsloom.plans.streamq",
 )
 
 
