@@ -109,3 +109,16 @@ def greedy_dedup(docs: DataFrame, id_col: str = "id", text_col: str = "text",
                     .when(F.col("kept") == False, F.lit("near_duplicate"))  # noqa: E712
                     .otherwise(F.lit("kept")).alias("reason")))
     return out.select(F.col("id").alias(id_col), (F.col("reason") == "kept").alias("kept"), "reason")
+
+
+def batch_accounting(stages: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Row count after each named stage of a pipeline, as one long frame (stage, rows).
+
+    Each count is its own aggregate over the stage's plan; callers pass the
+    stages in pipeline order (input first).
+    """
+    out = None
+    for i, (name, df) in enumerate(stages):
+        part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(i).alias("step"), F.lit(name).alias("stage"), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -236,3 +236,18 @@ FROM j WHERE length(full_text) >= 80
 """)
 def a21_pages_to_articles(spark, sf):
     return article_rows(pages(spark, sf)).select("page_id", "url", "title", "full_text", "summary")
+
+
+@register("h8_published_date", sql=f"""
+WITH t AS (SELECT page_id, html,
+                  list_filter(list_transform(regexp_extract_all(html, {sq(H.inner_re('time'))}, 1), lambda x: {get_text_sql('x', '')}),
+                              lambda x: contains(x, '202')) AS tt,
+                  list_filter(list_transform(regexp_extract_all(html, {sq(H.inner_re('span'))}, 1), lambda x: {get_text_sql('x', '')}),
+                              lambda x: contains(x, '202')) AS ss
+           FROM pages)
+SELECT page_id, coalesce(nullif({meta_sql('html', 'property', 'article:published_time')}, ''),
+                         nullif({meta_sql('html', 'name', 'pubdate')}, ''), nullif(tt[1], ''), nullif(ss[1], ''), '') AS published
+FROM t
+""")
+def h8_published_date(spark, sf):
+    return pages(spark, sf).select("page_id", H.published(F.col("html")).alias("published"))

@@ -165,3 +165,19 @@ def d8_title_summary_pairs(spark, sf):
 def d7_greedy_near_dedup(spark, sf):
     """Rows-only in the driver check; tests compare it with the ordered walk."""
     return dedup.greedy_dedup(_docs(spark, sf), "doc_id", "text", "doc_id", THRESHOLD)
+
+
+@register("e19_batch_accounting", sql="""
+WITH exact AS (SELECT doc_id, text FROM (
+                 SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1),
+pre AS (SELECT doc_id FROM (
+          SELECT doc_id, row_number() OVER (PARTITION BY substr(text, 1, 250) ORDER BY doc_id) AS rn FROM exact) WHERE rn = 1)
+SELECT 0 AS step, 'input' AS stage, count(*) AS rows FROM documents
+UNION ALL SELECT 1, 'after_exact_text', count(*) FROM exact
+UNION ALL SELECT 2, 'after_prefix_250', count(*) FROM pre
+""")
+def e19_batch_accounting(spark, sf):
+    d = _docs(spark, sf)
+    exact = dedup.dedupe_by_expr(d, F.col("text"), "doc_id")
+    prefix250 = dedup.dedupe_by_expr(exact, F.substring("text", 1, 250), "doc_id")
+    return dedup.batch_accounting([("input", d), ("after_exact_text", exact), ("after_prefix_250", prefix250)])
