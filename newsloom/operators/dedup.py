@@ -67,11 +67,12 @@ def tfidf_on_distinct(docs: DataFrame, id_col: str, text_col: str, order_col: st
     reps = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(order_col).alias("ord"))
             .join(copies.filter("is_rep").select("id", "n_copies"), "id"))
     vec = tfidf.tfidf(reps, "id", "text", copies_col="n_copies", with_term_ids=True)
-    # The vectors feed three branches (prefix join, packed vectors, order);
-    # a reliable checkpoint computes them once and cuts the lineage there.
+    # The vectors (with each document's order key) feed the prefix join and
+    # the packed vectors; a reliable checkpoint computes them once and cuts
+    # the lineage there.
     ensure_checkpoint_dir(docs.sparkSession)
-    vec = vec.checkpoint(eager=True)
-    return vec, reps.select("id", "ord")
+    vec = vec.join(reps.select("id", "ord"), "id").checkpoint(eager=True)
+    return vec, vec.select("id", "ord").distinct()
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "text",

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.operators import ranking
+from newsloom.session import ensure_checkpoint_dir
 
 # The token rule.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -107,9 +108,10 @@ def prefix_entries(vec: DataFrame, threshold: float) -> DataFrame:
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sfx_sq = F.sum(F.col("w") * F.col("w")).over(w)
     sfx_mw = F.sum(F.col("w") * F.col("maxw")).over(w)
-    v = v.select("id", "tid", "w", "maxw", sfx_sq.alias("_sq"), sfx_mw.alias("sfx_mw"))
+    keep = ["ord"] if "ord" in vec.columns else []
+    v = v.select("id", "tid", "w", "maxw", *keep, sfx_sq.alias("_sq"), sfx_mw.alias("sfx_mw"))
     v = v.select(
-        "id", "tid", "w",
+        "id", "tid", "w", *keep,
         F.sqrt("_sq").alias("sfx"),
         F.sqrt(F.greatest(F.col("_sq") - F.col("w") * F.col("w"), F.lit(0.0))).alias("sfx_after"),
         "sfx_mw",
@@ -128,7 +130,11 @@ def candidate_pairs(vec: DataFrame, order: DataFrame, threshold: float) -> DataF
     * pair filter: the partial dot over the joined (leading) shared terms plus
       a bound on everything after the last of them must reach t.
     """
-    pre = prefix_entries(vec, threshold).join(order, "id")
+    pre = prefix_entries(vec, threshold)
+    pre = pre if "ord" in pre.columns else pre.join(order, "id")
+    # Both sides of the self-join read one materialised copy of the prefix entries.
+    ensure_checkpoint_dir(vec.sparkSession)
+    pre = pre.checkpoint(eager=True)
     cols = ["w", "sfx", "sfx_after", "mw_after"]
     a = pre.select(F.col("id").alias("lo"), F.col("ord").alias("lo_ord"), "tid", *[F.col(c).alias(c + "_a") for c in cols])
     b = pre.select(F.col("id").alias("hi"), F.col("ord").alias("hi_ord"), "tid", *[F.col(c).alias(c + "_b") for c in cols])
@@ -181,7 +187,8 @@ def verify_pairs(cands: DataFrame, vec: DataFrame) -> DataFrame:
     so this one step runs as an Arrow-batched ``mapInPandas`` over the joined
     candidate rows.
     """
-    packed = packed_vectors(vec)
+    ensure_checkpoint_dir(vec.sparkSession)
+    packed = packed_vectors(vec).checkpoint(eager=True)   # read by both joins
     a = packed.select(F.col("id").alias("lo"), F.col("tids").alias("ta"), F.col("ws").alias("wa"))
     b = packed.select(F.col("id").alias("hi"), F.col("tids").alias("tb"), F.col("ws").alias("wb"))
     joined = cands.select(F.col("lo").cast("long"), F.col("hi").cast("long")).join(a, "lo").join(b, "hi")
