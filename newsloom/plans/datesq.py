@@ -78,3 +78,30 @@ def b7_published_else_scraped(spark, sf):
     e = D.with_parsed_date(D.with_parsed_date(e.select("event_id", pub.alias("pub"), scr.alias("scr")),
                                               "pub", "p1"), "scr", "p2")
     return e.select("event_id", F.date_format(F.coalesce("p1", "p2"), "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+def arabic_rendering(ts):
+    """An Arabic date string for each instant (Cairo local time): weekday، d month yyyy - hh:mm ص/م."""
+    local = F.from_utc_timestamp(ts, "Africa/Cairo")
+    months = F.array(*[F.lit(ar) for ar in AR_MONTH_NAMES])
+    days = F.array(*[F.lit(d) for d in AR_WEEKDAYS_SUN_FIRST])
+    latin = F.concat(F.element_at(days, F.dayofweek(local)), F.lit("، "), F.date_format(local, "d"), F.lit(" "),
+                     F.element_at(months, F.month(local)), F.lit(" "), F.date_format(local, "yyyy"), F.lit(" - "),
+                     F.date_format(local, "hh:mm"), F.lit(" "),
+                     F.when(F.hour(local) < 12, F.lit("ص")).otherwise(F.lit("م")))
+    return F.translate(latin, D.LATIN_DIGITS, D.ARABIC_DIGITS)
+
+
+# One Arabic name per month (January..December) and weekday (Sunday..Saturday).
+AR_MONTH_NAMES = ["يناير", "فبراير", "مارس", "أبريل", "مايو", "يونيو", "يوليو", "أغسطس", "سبتمبر", "أكتوبر",
+                  "نوفمبر", "ديسمبر"]
+AR_WEEKDAYS_SUN_FIRST = ["الأحد", "الاثنين", "الثلاثاء", "الأربعاء", "الخميس", "الجمعة", "السبت"]
+
+
+@register("i1_i3_arabic_date_roundtrip", sql="""
+SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS parsed FROM events
+""")
+def i1_i3_arabic_date_roundtrip(spark, sf):
+    e = _events(spark, sf).withColumn("s", arabic_rendering(F.col("ts")))
+    p = D.with_parsed_date(e, "s", "p", "Africa/Cairo")
+    return p.select("event_id", F.date_format("p", "yyyy-MM-dd HH:mm:ss").alias("parsed"))

@@ -49,7 +49,7 @@ def a3_landing_latest_run_ingest(spark, sf):
     (raw_articles(spark, sf).write.partitionBy("lang_dir", "outlet_dir", "run_ts")
      .option("maxRecordsPerFile", 200).json(root))
     found = files.latest_per_folder(files.list_files(spark, root, "*.json"))
-    recs = files.read_json_records(spark, found, require_any=("full_text", "summary"))
+    recs = files.read_json_records(spark, found, require_any=("full_text", "summary"), lines=True)
     return recs.select("url", "language", "source")
 
 

@@ -68,11 +68,13 @@ def latest_per_folder(files: DataFrame) -> DataFrame:
 
 
 def read_json_records(spark: SparkSession, paths: list[str] | DataFrame, schema: T.StructType = RAW_ARTICLE_SCHEMA,
-                      require_any: tuple[str, ...] = ()) -> DataFrame:
+                      require_any: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
     """Records from files holding a JSON array, a single object or JSON lines.
 
-    Each file is read whole (one run's output) and parsed with ``from_json``;
-    unreadable files parse to NULL and are skipped.  ``require_any`` admits a
+    By default each file is read whole (one collector run writes one array)
+    and parsed with ``from_json``; unreadable files parse to NULL and are
+    skipped.  ``lines=True`` reads JSON-lines files line by line, so a large
+    Spark-written file is split across tasks.  ``require_any`` admits a
     record only if one of those keys is *present* (explicit null counts, Q19),
     which a fixed schema alone cannot tell.  Adds ``source_file``.
     """
@@ -80,6 +82,11 @@ def read_json_records(spark: SparkSession, paths: list[str] | DataFrame, schema:
         paths = [r.path for r in paths.select("path").collect()]
     if not paths:
         return spark.createDataFrame([], schema.add("source_file", T.StringType()))
+    if lines:
+        raw = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("source_file"))
+        m = F.from_json(F.col("value"), "map<string,string>")
+        recs = raw.select("source_file", m.alias("m")).filter(F.col("m").isNotNull())
+        return _project_records(recs, schema, require_any)
     raw = spark.read.text(paths, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("source_file"))
     body = F.trim(F.col("value"))
     non_blank = F.filter(F.split(body, r"\r?\n"), lambda ln: F.trim(ln) != "")
@@ -90,6 +97,10 @@ def read_json_records(spark: SparkSession, paths: list[str] | DataFrame, schema:
                 .when((F.size(parsed_lines) > 0) & all_lines_ok, parsed_lines)
                 .when(single.isNotNull(), F.array(single)))
     recs = raw.select("source_file", F.explode(as_maps).alias("m"))
+    return _project_records(recs, schema, require_any)
+
+
+def _project_records(recs: DataFrame, schema: T.StructType, require_any: tuple[str, ...]) -> DataFrame:
     if require_any:
         present = F.lit(False)
         for k in require_any:
