@@ -293,3 +293,26 @@ def c9_card_page_fallback(spark, sf):
     pg = table(spark, sf, "pages").select(F.concat(F.lit("https://n.example/"), F.col("page_id").cast("string")).alias("url"),
                                           F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("page_image"))
     return cards.join(pg, "url", "left").select("url", F.coalesce(F.nullif("image", F.lit("")), F.col("page_image")).alias("image"))
+
+
+@register("s31_processor_run")
+def s31_processor_run(spark, sf):
+    """Rows-only: the raw -> processed lifecycle over the landed news rows (English signature)."""
+    from newsloom.plans import jobs
+    root = files.scratch_dir(spark, "proc")
+    (raw_articles(spark, sf).write.partitionBy("lang_dir", "outlet_dir", "run_ts")
+     .option("maxRecordsPerFile", 200).json(f"{root}/landing"))
+    return jobs.processor_run(spark, f"{root}/landing", f"{root}/seen", f"{root}/processed", "en",
+                              "20240113_070000").select("url", "source", "sentiment")
+
+
+@register("s32_loader_run")
+def s32_loader_run(spark, sf):
+    """Rows-only: processed rows -> embedding -> incremental semantic load against an empty table."""
+    from newsloom.plans import jobs
+    n = news(spark, sf)
+    processed = n.select("source", "language", "category", "title", "url", "summary", "full_text")
+    history = spark.createDataFrame([], "id long, url string, vec array<float>, inserted_at timestamp")
+    out = jobs.loader_run(spark, processed.filter(F.col("language") == "fr"), processed.filter(F.col("language") != "fr"),
+                          history, "2024-01-27 00:00:00", threshold=0.85)
+    return out.select("url", "decision", "new_id")
