@@ -14,7 +14,7 @@ def test_sequential_ids_gap_free_under_skew(spark):
 
 
 def test_first_n_per_hot_group(spark):
-    df = spark.range(5000).select(F.when(F.col("id") < 2000, F.lit("hot")).otherwise(F.col("id") % 10).cast("string").alias("g"),
+    df = spark.range(5000).select(F.when(F.col("id") < 2000, F.lit("hot")).otherwise((F.col("id") % 10).cast("string")).alias("g"),
                                   F.col("id"))
     out = ranking.first_n_per_group(df, "g", [F.col("id").desc()], 3).collect()
     hot = sorted(r.id for r in out if r.g == "hot")
