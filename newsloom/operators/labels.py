@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import filters, ranking
 from newsloom.operators.ngrams import words
+from newsloom.session import ensure_checkpoint_dir
 
 # Label ids.
 LABEL2ID = {"positive": 0, "negative": 1, "neutral": 2}
@@ -94,6 +95,7 @@ def train_and_evaluate(df: DataFrame, languages: Sequence[str], text_col: str =
                                F.col(label_col).alias("label"), "language"), "label").withColumn(
         "label_id", F.col("label_id").cast("double"))
     data = ranking.split_train_test(data, "id", seed)
+    ensure_checkpoint_dir(df.sparkSession)
 
     def fit_one(lang: str) -> DataFrame:
         part = data.filter(F.col("language") == lang)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.operators import greedy
+from newsloom.session import ensure_checkpoint_dir
 
 DEFAULT_BLOCK_ROWS = 1024
 
@@ -138,7 +139,7 @@ BEST_SCHEMA = T.StructType([T.StructField("q", T.LongType()), T.StructField("c",
                             T.StructField("sim", T.DoubleType())])
 
 
-def _window_best_kernel(window_s: float, inclusive_equal_time: bool):
+def _window_best_kernel(window_s: float):
     import numpy as np
     import pandas as pd
 
@@ -212,7 +213,7 @@ def window_nearest(df: DataFrame, window_hours: float = 48, id_col: str = "id",
     cols = ["qtb", "qs", "ctb", "cs", "id", "vec", "_t", "_o"]
     rows = (q_same.unionByName(q_prev).select(*cols, F.lit(0).alias("_side"))
             .unionByName(c_same.unionByName(c_next).select(*cols, F.lit(1).alias("_side"))))
-    best = rows.groupBy("qtb", "qs", "ctb", "cs").applyInPandas(_window_best_kernel(window_s, True), BEST_SCHEMA)
+    best = rows.groupBy("qtb", "qs", "ctb", "cs").applyInPandas(_window_best_kernel(window_s), BEST_SCHEMA)
     # Best over all candidate groups of a query: an aggregate (partial per partition).
     agg = best.groupBy("q").agg(F.max_by(F.struct("c", "sim"), F.struct(F.col("sim"), -F.col("c"))).alias("b"))
     return agg.select("q", F.col("b.c").alias("c"), F.col("b.sim").alias("sim"))
@@ -290,7 +291,7 @@ def semantic_highlights(df: DataFrame, n: int = 5, threshold: float = 0.85, grou
     that keep fewer than n rows while having more than K rows are re-run with
     K x 4.  Rows without a vector never count as duplicates.
     """
-    spark = df.sparkSession
+    ensure_checkpoint_dir(df.sparkSession)
     base = df.select(F.col(group_col).alias("g"), F.col(id_col).cast("long").alias("id"),
                      F.col(vec_col).alias("vec"), F.col(ts_col).alias("ts"))
     order = Window.partitionBy("g").orderBy(F.col("ts").desc_nulls_last(), F.col("id").asc())

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates as D
-from newsloom.operators import api, dedup, ranking
+from newsloom.operators import api, dedup
 from newsloom.plans.common import news
 from newsloom.plans.registry import NEWS_CTE, register
 from newsloom.plans.textq import _strip_sql

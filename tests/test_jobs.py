@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from newsloom.plans import jobs
 from newsloom.plans.ingestq import raw_articles

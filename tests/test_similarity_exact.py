@@ -3,7 +3,6 @@ import math
 import random
 from collections import Counter
 
-from pyspark.sql import functions as F
 
 from newsloom.operators import dedup
 
