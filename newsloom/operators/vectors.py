@@ -198,6 +198,9 @@ def window_nearest(df: DataFrame, window_hours: float = 48, id_col: str = "id",
     nxt = sizes.select((F.col("_tb") - 1).alias("_tb"), F.col("_ns").alias("_ns_next"))
     blk = blk.join(prev, "_tb", "left").join(nxt, "_tb", "left")
     blk = blk.withColumn("_t", F.unix_micros("ts") / F.lit(1_000_000.0))
+    # Four replicated branches read the blocked rows: materialise them once.
+    ensure_checkpoint_dir(df.sparkSession)
+    blk = blk.checkpoint(eager=True)
     # Queries: paired with candidate sub-blocks of their own bucket and the previous one.
     q_same = blk.select("id", "vec", "_t", "_o", F.col("_tb").alias("qtb"), F.col("_sub").alias("qs"),
                         F.col("_tb").alias("ctb"), F.explode(F.sequence(F.lit(0), F.col("_ns") - 1)).alias("cs"))
