@@ -251,3 +251,12 @@ FROM t
 """)
 def h8_published_date(spark, sf):
     return pages(spark, sf).select("page_id", H.published(F.col("html")).alias("published"))
+
+
+@register("h3_paragraph_text_tree_junk", sql=PARA_SQL)
+def h3_paragraph_text_tree_junk(spark, sf):
+    """Paragraph text after the tree-aware junk pass (agrees with the regex rule on un-nested pages)."""
+    from newsloom.functions import html_tree as HT
+    cleaned = HT.remove_junk_nested(F.col("html"))
+    paras = H.paragraphs(H.container(cleaned))
+    return pages(spark, sf).select("page_id", T.py_strip(F.array_join(paras, " ")).alias("text"))

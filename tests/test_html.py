@@ -43,3 +43,16 @@ def test_urls(spark):
 
 def test_strip_html(spark):
     assert row(spark, H.strip_html(F.lit("<p>Tom &amp; <b>Jerry</b></p>"))) == "Tom & Jerry"
+
+
+def test_nested_junk_removal_and_dot_segments(spark):
+    from newsloom.functions import html_tree as HT
+    page = ('<body><div class="related-box"><div><p>inner junk one</p></div><p>more junk</p></div>'
+            '<article><p>Keep this paragraph text.</p><div class="share"><div>x</div></div></article>'
+            '<!-- c --><script>var a="</p>";</script></body>')
+    out = spark.createDataFrame([(page,)], "html string").select(HT.remove_junk_nested(F.col("html")).alias("h")).first().h
+    assert "junk" not in out and "share" not in out and "script" not in out and "<!--" not in out
+    assert "Keep this paragraph text." in out
+    df = spark.createDataFrame([("../a/b.html",), ("./c",), ("/d",)], "h string")
+    got = [r.u for r in df.select(HT.resolve_url(F.col("h"), F.lit("https://x.example/s/t/page.html")).alias("u")).collect()]
+    assert got == ["https://x.example/s/a/b.html", "https://x.example/s/t/c", "https://x.example/d"]
