@@ -66,3 +66,24 @@ def test_zero_vector_copies_are_kept(spark):
                                  "id long, text string")
     got = {r.id: r.reason for r in dedup.greedy_dedup(docs, "id", "text").collect()}
     assert got == {1: "kept", 2: "kept", 3: "kept", 4: "exact_copy"}
+
+
+def _expanded_pair_count(spark, docs):
+    """All-pairs count implied by representative pairs + copy groups (copies have cosine 1)."""
+    from pyspark.sql import functions as F
+    pairs = dedup.near_duplicate_pairs(docs, "doc_id", "text", threshold=0.85)
+    copies = dedup.exact_copies(docs, "doc_id", "text", "doc_id").filter("is_rep").select("rep", "n_copies")
+    n = {r.rep: r.n_copies for r in copies.collect()}
+    cross = sum(n[r.doc_a] * n[r.doc_b] for r in pairs.collect())
+    has_tokens = {r.id for r in docs.select(F.col("doc_id").alias("id"), "text")
+                  .filter(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)) > 0).collect()}
+    within = sum(c * (c - 1) // 2 for rep, c in n.items() if rep in has_tokens)
+    return cross + within
+
+
+def test_golden_pair_counts_sf001(spark):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    assert _expanded_pair_count(spark, docs) == 190
+    sig = docs.select("doc_id", F.concat(F.substring("text", 1, 80), F.lit(" "), F.substring("text", 1, 300)).alias("text"))
+    assert _expanded_pair_count(spark, sig) == 176
