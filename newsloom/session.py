@@ -24,6 +24,8 @@ LOCAL_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Reliable checkpoints (greedy rounds, sequential ids) are removed once unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
