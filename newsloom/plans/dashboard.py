@@ -174,3 +174,66 @@ def e15_dimension_values(spark, sf):
 def flagship(spark, sf):
     """Daily volume and sentiment score on the news view (E3+E4)."""
     return e4_daily_sentiment_score(spark, sf).orderBy(F.col("date"))
+
+
+def dashboard_panels(news_df, query, highlight_vectors=None) -> dict:
+    """SURVEY 3.3: one dashboard request -> every panel as a DataFrame.
+
+    The fetched frame is bounded by ``query.limit`` (a top-k after all
+    filters); it is persisted once because a dozen panels read it.
+    """
+    from newsloom.operators import filters as FL
+    from newsloom.operators import ngrams
+
+    fetched = query.fetch(news_df).persist()
+    viz_df = FL.enrich_for_analysis(fetched)
+    panels = {
+        "kpis": metrics.sentiment_kpis(viz_df),
+        "distinct": metrics.distinct_counts(viz_df),
+        "timeline": metrics.daily_timeline(viz_df),
+        "share": metrics.sentiment_share(viz_df),
+        "top_sources": metrics.top_values(viz_df, "source", 10),
+        "top_categories": metrics.top_values(viz_df, "category", 10),
+        "heatmap": metrics.category_sentiment_crosstab(viz_df),
+        "hourly": metrics.hourly_score(viz_df),
+        "category_trend": metrics.top_category_trend(viz_df, 5),
+        "weekdays": metrics.weekday_counts(viz_df),
+        "weekend": metrics.weekend_split(viz_df),
+        "source_score": metrics.mean_source_score(viz_df),
+        "extremes": metrics.sentiment_extremes(viz_df),
+        "keywords": ngrams.top_keywords(fetched, "title", 15),
+        "bigrams": ngrams.top_bigrams(fetched, "title", 15),
+        "feed": fetched,
+    }
+    if highlight_vectors is not None:
+        from newsloom.operators import vectors
+        with_vec = viz_df.join(highlight_vectors, "id", "left")
+        panels["highlights"] = vectors.semantic_highlights(with_vec, 5, 0.85, "sentiment_lower", "id", "vec",
+                                                           "published_ts")
+    return panels
+
+
+@register("s33_dashboard_request_kpis", sql=f"""
+WITH {VIZ_CTE},
+f AS (SELECT * FROM viz WHERE published_ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 14 DAY
+        AND source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6')
+      ORDER BY published_ts DESC NULLS LAST, id LIMIT 200)
+SELECT count(*) AS total,
+       count(*) FILTER (WHERE sentiment_lower = 'positive') AS positive,
+       count(*) FILTER (WHERE sentiment_lower = 'negative') AS negative,
+       count(*) - count(*) FILTER (WHERE sentiment_lower = 'positive')
+                - count(*) FILTER (WHERE sentiment_lower = 'negative') AS neutral,
+       round(coalesce(100.0 * count(*) FILTER (WHERE sentiment_lower = 'positive') / nullif(count(*), 0), 0), 6) AS pos_rate,
+       round(coalesce(100.0 * count(*) FILTER (WHERE sentiment_lower = 'negative') / nullif(count(*), 0), 0), 6) AS neg_rate,
+       round(coalesce(100.0 * (count(*) - count(*) FILTER (WHERE sentiment_lower = 'positive')
+                - count(*) FILTER (WHERE sentiment_lower = 'negative')) / nullif(count(*), 0), 0), 6) AS neu_rate,
+       round(coalesce(100.0 * (count(*) FILTER (WHERE sentiment_lower = 'positive')
+                - count(*) FILTER (WHERE sentiment_lower = 'negative')) / nullif(count(*), 0), 0), 6) AS sentiment_score
+FROM f
+""")
+def s33_dashboard_request_kpis(spark, sf):
+    from newsloom.plans.common import news
+    from newsloom.plans.headlines import HeadlineQuery
+    q = HeadlineQuery(now="2024-01-20 00:00:00", days=14, limit=200,
+                      filters={"sources": ["src1", "src2", "src3", "src4", "src5", "src6"]})
+    return dashboard_panels(news(spark, sf), q)["kpis"]

@@ -36,3 +36,14 @@ def test_headline_query_filters_before_limit(spark):
     assert norm[0].summary == "" and norm[1].source == "Unknown"   # real null defaults (Q4)
     page = q.feed_page(frame(spark), page_no=2, per_page=1).collect()
     assert [r.id for r in page] == [2]
+
+
+def test_dashboard_panels_all_build(spark):
+    from newsloom.plans.common import news
+    from newsloom.plans.dashboard import dashboard_panels
+    from tests.conftest import SF001
+    q = HeadlineQuery(now="2024-01-20 00:00:00", days=30, limit=100)
+    panels = dashboard_panels(news(spark, SF001), q)
+    assert panels["kpis"].first().total == panels["feed"].count() <= 100
+    for name, df in panels.items():
+        df.limit(1).collect()
