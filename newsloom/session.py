@@ -29,6 +29,24 @@ LOCAL_CONF = {
 }
 
 
+# Recommended settings for a large cluster (~100 TB input, ~1000 executors).  Not applied by
+# the library: the cluster owns its session.  AQE re-plans every shuffle at run time.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",          # initial; AQE coalesces to ~256 MB partitions
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",   # long texts per Arrow batch
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # spark.checkpoint.dir: a shared, durable folder (set by the cluster)
+}
+
+
 def get_session(master: str | None = None, app: str = "newsloom", **conf: str) -> SparkSession:
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     builder = SparkSession.builder.master(master).appName(app)
