@@ -139,12 +139,13 @@ def b13_fill_category(spark, sf):
 
 
 @register("b14_update_where", sql="""
-SELECT doc_id, CASE WHEN lang = 'de' THEN translate(substr(text, 1, 40), 'äöüÄÖÜ', 'aouAOU') ELSE substr(text, 1, 40) END AS head
+SELECT doc_id, md5(CASE WHEN lang = 'de' THEN translate(text, 'äöüÄÖÜ', 'aouAOU') ELSE text END) AS text_md5
 FROM documents
 """)
 def b14_update_where(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.substring("text", 1, 40).alias("head"))
-    return filters.update_where(d, F.col("lang") == "de", "head", F.translate("head", "äöüÄÖÜ", "aouAOU")).select("doc_id", "head")
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    out = filters.update_where(d, F.col("lang") == "de", "text", F.translate("text", "äöüÄÖÜ", "aouAOU"))
+    return out.select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @register("b16_merged_text", sql=f"""

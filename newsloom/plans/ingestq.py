@@ -141,7 +141,7 @@ g AS (SELECT d.doc_id,
    'fields': {'trailText': CASE WHEN d.lang = 'fr' THEN NULL ELSE substr(d.text, 1, 120) END,
               'standfirst': CASE WHEN d.lang = 'de' THEN substr(d.text, 1, 60) END,
               'bodyText': CASE WHEN d.lang = 'es' THEN NULL ELSE d.text END,
-              'body': '<p>' || substr(d.text, 1, 50) || '</p>',
+              'body': '<p>' || d.text || '</p>',
               'thumbnail': CASE WHEN d.lang = 'en' THEN 'https://img.example/' || CAST(d.doc_id AS VARCHAR) || '.jpg' END,
               'byline': d.source},
    'tags': [{'type': 'keyword', 'webTitle': 'k'}, {'type': 'contributor', 'webTitle': 'Author ' || d.source}]} AS item
@@ -155,7 +155,7 @@ def guardian_items(spark, sf):
         F.when(F.col("lang") == "fr", F.lit(None).cast("string")).otherwise(F.substring("text", 1, 120)).alias("trailText"),
         F.when(F.col("lang") == "de", F.substring("text", 1, 60)).alias("standfirst"),
         F.when(F.col("lang") == "es", F.lit(None).cast("string")).otherwise(F.col("text")).alias("bodyText"),
-        F.concat(F.lit("<p>"), F.substring("text", 1, 50), F.lit("</p>")).alias("body"),
+        F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")).alias("body"),
         F.when(F.col("lang") == "en", F.concat(F.lit("https://img.example/"), F.col("doc_id").cast("string"), F.lit(".jpg"))).alias("thumbnail"),
         F.col("source").alias("byline"))
     tags = F.array(F.struct(F.lit("keyword").alias("type"), F.lit("k").alias("webTitle")),
@@ -216,8 +216,8 @@ def a17_flatten_nyt(spark, sf):
 
 @register("a19_rss_items", sql=f"""
 WITH {NEWS_CTE}
-SELECT url, {_strip_sql(RSS_CLEAN_SQL.replace("{x}", "substr(title, 1, 60)"))} AS title,
-       {_strip_sql(RSS_CLEAN_SQL.replace("{x}", "substr(summary, 1, 120)"))} AS summary,
+SELECT url, {_strip_sql(RSS_CLEAN_SQL.replace("{x}", "title"))} AS title,
+       {_strip_sql(RSS_CLEAN_SQL.replace("{x}", "summary"))} AS summary,
        strftime(date_trunc('second', published_ts), '%Y-%m-%d %H:%M:%S') AS published
 FROM news WHERE NOT regexp_matches(url, '/(live|av|videos)/')
 """)
@@ -225,8 +225,8 @@ def a19_rss_items(spark, sf):
     path = files.scratch_dir(spark, "rss")
     n = news(spark, sf)
     clean = lambda c: F.regexp_replace(c, RSS_CLEAN, "")
-    feed = n.select(clean(F.substring("title", 1, 60)).alias("title"), F.col("url").alias("link"),
-                    F.concat(F.lit("<p>"), clean(F.substring("summary", 1, 120)), F.lit("</p>")).alias("description"),
+    feed = n.select(clean(F.col("title")).alias("title"), F.col("url").alias("link"),
+                    F.concat(F.lit("<p>"), clean(F.col("summary")), F.lit("</p>")).alias("description"),
                     F.concat(F.date_format("published_ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("pubDate"))
     files.write_rss(feed, path)
     rows = api.rss_items(files.read_rss(spark, path))

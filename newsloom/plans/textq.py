@@ -165,25 +165,25 @@ def i17_is_rtl(spark, sf):
 
 
 @register("i18_highlight", sql="""
-SELECT doc_id,
+SELECT doc_id, md5(
   replace(replace(
     replace(replace(replace(replace(replace(
-      regexp_replace(substr(text, 1, 300), '(?i)(\\Qthe\\E)', chr(1) || '\\1' || chr(2), 'g'),
+      regexp_replace(text, '(?i)(\\Qthe\\E)', chr(1) || '\\1' || chr(2), 'g'),
       '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'),
-    chr(1), '<mark>'), chr(2), '</mark>') AS marked
+    chr(1), '<mark>'), chr(2), '</mark>')) AS marked_md5
 FROM documents
 """)
 def i18_highlight(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.highlight(F.substring("text", 1, 300), "the").alias("marked"))
+    return _docs(spark, sf).select("doc_id", F.md5(T.highlight(F.col("text"), "the")).alias("marked_md5"))
 
 
-MODEL_OUT_SQL = """CASE role WHEN 'assistant' THEN 'SUMMARY: ' || substr(text, 1, 60) || ' SENTIMENT: Positive'
+MODEL_OUT_SQL = """CASE role WHEN 'assistant' THEN 'SUMMARY: ' || text || ' SENTIMENT: Positive'
                   WHEN 'system' THEN 'SENTIMENT: Negative' ELSE text END"""
 
 
 def _model_out():
     return (F.when(F.col("role") == "assistant",
-                   F.concat(F.lit("SUMMARY: "), F.substring("text", 1, 60), F.lit(" SENTIMENT: Positive")))
+                   F.concat(F.lit("SUMMARY: "), F.col("text"), F.lit(" SENTIMENT: Positive")))
              .when(F.col("role") == "system", F.lit("SENTIMENT: Negative")).otherwise(F.col("text")))
 
 
@@ -208,13 +208,13 @@ def i20_parse_model_output(spark, sf):
 
 
 JSON_IN_SQL = """CASE role
-  WHEN 'assistant' THEN '```json{"summary": "' || regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g') || '", "sentiment": "Positive"}```'
-  WHEN 'system' THEN '{"summary": "' || regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g') || '", "senti'
+  WHEN 'assistant' THEN '```json{"summary": "' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || '", "sentiment": "Positive"}```'
+  WHEN 'system' THEN '{"summary": "' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || '", "senti'
   ELSE text END"""
 
 
 def _json_in():
-    clean = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
+    clean = F.regexp_replace(F.col("text"), "[^A-Za-z ]", "")
     return (F.when(F.col("role") == "assistant",
                    F.concat(F.lit('```json{"summary": "'), clean, F.lit('", "sentiment": "Positive"}```')))
              .when(F.col("role") == "system", F.concat(F.lit('{"summary": "'), clean, F.lit('", "senti')))
