@@ -52,13 +52,23 @@ ZONE_SUFFIX_RE = r"(Z|[+-]\d{2}:?\d{2})$"
 EPOCH_RE = r"^\d{9,11}(\.\d+)?$"
 
 
+def _alternation(words) -> str:
+    return "(" + "|".join(words) + ")"
+
+
 def arabic_to_english(s: Column) -> Column:
-    """Digits, month names, separators and AM/PM markers attached to a time."""
+    """Digits, month names, separators and AM/PM markers attached to a time.
+
+    A date string holds one month name: it is found with one ordered
+    alternation (longer names first where one is a prefix of another) and
+    mapped through a literal map, which keeps the expression small.
+    """
     t = py_strip(s)
     t = F.replace(F.replace(F.replace(t, F.lit("،"), F.lit(",")), F.lit("|"), F.lit(" ")), F.lit("ـ"), F.lit(" "))
     t = F.translate(t, ARABIC_DIGITS, LATIN_DIGITS)
-    for ar, en in AR_MONTHS:
-        t = F.replace(t, F.lit(ar), F.lit(en))
+    month_map = F.create_map(*[x for ar, en in AR_MONTHS for x in (F.lit(ar), F.lit(en))])
+    found = F.regexp_extract(t, _alternation(ar for ar, _ in AR_MONTHS), 1)
+    t = F.when(found != "", F.replace(t, found, F.element_at(month_map, found))).otherwise(t)
     t = F.regexp_replace(t, r"(\d{1,2}[:.]\d{1,2})\s*ص", "$1 AM")
     t = F.regexp_replace(t, r"(\d{1,2}[:.]\d{1,2})\s*م", "$1 PM")
     return t
@@ -66,9 +76,7 @@ def arabic_to_english(s: Column) -> Column:
 
 def strip_weekday(s: Column) -> Column:
     """Drop Arabic day names and a leading ``Word,`` weekday."""
-    t = s
-    for d in AR_DAYS:
-        t = F.replace(F.replace(t, F.lit(d + "،"), F.lit("")), F.lit(d), F.lit(""))
+    t = F.regexp_replace(s, _alternation(AR_DAYS) + "،?", "")
     t = F.regexp_replace(py_strip(t), r"^[,،\s]+", "")
     return py_strip(F.regexp_replace(t, r"^\p{L}+\s*[,،]\s*", ""))
 

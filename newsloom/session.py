@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,10 @@ LOCAL_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     # Reliable checkpoints (greedy rounds, sequential ids) are removed once unreferenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # JVM default zone = session zone: interpreted fallbacks of oversized generated
+    # code must not see a different clock than generated code does.
+    "spark.driver.extraJavaOptions": "-Duser.timezone=UTC",
+    "spark.executor.extraJavaOptions": "-Duser.timezone=UTC",
 }
 
 
@@ -43,6 +48,8 @@ CLUSTER_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",   # long texts per Arrow batch
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.driver.extraJavaOptions": "-Duser.timezone=UTC",
+    "spark.executor.extraJavaOptions": "-Duser.timezone=UTC",
     # spark.checkpoint.dir: a shared, durable folder (set by the cluster)
 }
 
@@ -55,6 +62,7 @@ def get_session(master: str | None = None, app: str = "newsloom", **conf: str) -
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -71,3 +79,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``newsloom`` importable in Python workers (pandas UDFs, mapInPandas).
+
+    Zips the package's sources once per application and adds the zip with
+    ``addPyFile``, which distributes it to every executor.  Harmless when the
+    package is already installed on the workers.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import newsloom
+
+    pkg_dir = os.path.dirname(os.path.abspath(newsloom.__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="newsloom-", suffix=".zip")
+    with zipfile.ZipFile(os.fdopen(fd, "wb"), "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, names in os.walk(pkg_dir):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
+def pin_utc(spark: SparkSession) -> None:
+    """Session and driver-JVM default time zone to UTC (executors: ``-Duser.timezone=UTC``)."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    jvm = spark.sparkContext._jvm
+    if jvm.java.util.TimeZone.getDefault().getID() != "UTC":
+        jvm.java.util.TimeZone.setDefault(jvm.java.util.TimeZone.getTimeZone("UTC"))
