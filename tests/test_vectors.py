@@ -79,3 +79,38 @@ def test_cosine_expression_nulls(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     got = [r.c for r in df.select(vectors.cosine("a", "b").alias("c")).collect()]
     assert got[0] == 1.0 and got[1] is None
+
+
+def test_streaming_semantic_dedup_matches_daily_loader_walk(spark):
+    from newsloom.plans import streamq
+    from tests.conftest import SF001
+    t = pq.read_table(f"{SF001}/embeddings.parquet").to_pydict()
+    ids = np.array(t["vec_id"], dtype=np.int64)
+    m = np.array(t["embedding"], dtype=np.float64)
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    pos = {int(i): k for k, i in enumerate(ids)}
+    ts = {int(i): EPOCH + dt.timedelta(minutes=int(i) * 37) for i in ids}
+    days = {}
+    for i in ids:
+        days.setdefault(ts[int(i)].date(), []).append(int(i))
+    history = {}          # id -> inserted_at
+    expected = {}
+    for day in sorted(days):
+        batch = sorted(days[day], key=lambda i: (ts[i], i))
+        now = max(ts[i] for i in batch).replace(microsecond=0)
+        recent = [h for h, at in history.items() if at >= now - dt.timedelta(hours=48)]
+        accepted = []
+        for i in batch:
+            hist_hit = any(float(m[pos[i]] @ m[pos[h]]) >= vectorq.THRESHOLD for h in recent)
+            batch_hit = any(float(m[pos[i]] @ m[pos[a]]) >= vectorq.THRESHOLD for a in accepted)
+            if hist_hit:
+                expected[i] = "semantic_history"
+            elif batch_hit:
+                expected[i] = "semantic_batch"
+            else:
+                expected[i] = "inserted"
+                accepted.append(i)
+        for a in accepted:
+            history[a] = ts[a]
+    got = {r.id: r.decision for r in streamq.j4_stream_semantic_dedup(spark, SF001).collect()}
+    assert got == expected
