@@ -126,3 +126,15 @@ def d13_incremental_semantic_dedup(spark, sf):
     batch, history = load_inputs(spark, sf)
     return loader.incremental_load(batch, history, NOW_LOAD, threshold=THRESHOLD, window_hours=48,
                                    order_col="seq", block_rows=256)
+
+
+@register("d12_news_highlights_by_sentiment")
+def d12_news_highlights_by_sentiment(spark, sf):
+    """Rows-only: the dashboard's use of D12 — newest five per sentiment over news rows, skipping any
+    whose embedding (K5 stand-in encoder on title + summary) has cosine > 0.85 to a chosen one."""
+    from newsloom.operators import enrich
+    from newsloom.plans.common import news
+    n = news(spark, sf).select("id", "title", "summary", F.lower("sentiment").alias("sentiment"), "published_ts")
+    e = enrich.embed_articles(n, out="vec")
+    return vectors.semantic_highlights(e, n=5, threshold=0.85, group_col="sentiment", id_col="id",
+                                       vec_col="vec", ts_col="published_ts")
