@@ -1,4 +1,4 @@
-"""Key-based dedup, seen-set joins and the near-duplicate pipeline.
+"""Key-based dedup, seen-set joins and near-duplicate removal.
 
 Every "first wins" rule is an aggregate (``min_by``), not a window, so a hot
 key is collapsed by the map-side partial aggregate before the shuffle.
@@ -113,10 +113,10 @@ def greedy_dedup(docs: DataFrame, id_col: str = "id", text_col: str = "text",
 
 
 def batch_accounting(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Row count after each named stage of a pipeline, as one long frame (stage, rows).
+    """Row count after each named processing stage, as one long frame (stage, rows).
 
     Each count is its own aggregate over the stage's plan; callers pass the
-    stages in pipeline order (input first).
+    stages in processing order (input first).
     """
     out = None
     for i, (name, df) in enumerate(stages):

@@ -70,7 +70,7 @@ def attention_mask(text: Column, max_length: int = 128) -> Column:
     return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length) - n))
 
 
-def sentiment_pipeline(num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.01):
+def sentiment_classifier_spec(num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.01):
     """K7: RegexTokenizer -> HashingTF -> IDF -> multinomial LogisticRegression."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -101,7 +101,7 @@ def train_and_evaluate(df: DataFrame, languages: Sequence[str], text_col: str =
         part = data.filter(F.col("language") == lang)
         train = part.filter(F.col("split") == "train")
         test = part.filter(F.col("split") == "test")
-        model = sentiment_pipeline().fit(train)
+        model = sentiment_classifier_spec().fit(train)
         scored = model.transform(test).select(F.col("label_id").cast("int").alias("label"),
                                               F.col("prediction").cast("int").alias("pred"))
         met = classification_metrics(scored).withColumn("language", F.lit(lang))
