@@ -44,8 +44,8 @@ def b2_search_title_summary(spark, sf):
 
 @register("b3_contains_ci", sql=f"""
 WITH {NEWS_CTE}
-SELECT id, coalesce(full_text ILIKE '%%ion%%', false) AS hit FROM news
-""".replace("%%", "%"))
+SELECT id, coalesce(full_text ILIKE '%ion%', false) AS hit FROM news
+""")
 def b3_contains_ci(spark, sf):
     return news(spark, sf).select("id", filters.contains_ci(F.col("full_text"), "ion").alias("hit"))
 
