@@ -77,11 +77,11 @@ def tfidf_on_distinct(docs: DataFrame, id_col: str, text_col: str, order_col: st
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "text",
                          order_col: str | None = None, threshold: float = 0.85,
-                         strict: bool = False) -> DataFrame:
+                         strict: bool = False, hot_rows: int = tfidf.HOT_TERM_ROWS) -> DataFrame:
     """C4 over distinct texts: ``(doc_a, doc_b, cosine)`` between copy-group representatives."""
     order_col = order_col or id_col
     vec, order = tfidf_on_distinct(docs, id_col, text_col, order_col)
-    pairs = tfidf.similar_pairs(vec, order, threshold, strict=strict)
+    pairs = tfidf.similar_pairs(vec, order, threshold, strict=strict, hot_rows=hot_rows)
     return pairs.select(F.col("lo").alias("doc_a"), F.col("hi").alias("doc_b"), "cosine")
 
 

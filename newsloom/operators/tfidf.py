@@ -124,7 +124,11 @@ def prefix_entries(vec: DataFrame, threshold: float) -> DataFrame:
     return v.filter(bound >= F.lit(threshold - PREFIX_EPS))
 
 
-def candidate_pairs(vec: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
+# A term with more prefix entries than this is split into salted sub-groups.
+HOT_TERM_ROWS = 1024
+
+
+def candidate_pairs(vec: DataFrame, order: DataFrame, threshold: float, hot_rows: int = HOT_TERM_ROWS) -> DataFrame:
     """(lo, hi) pairs that can reach ``threshold``; ``order`` maps id -> ord (total order).
 
     Exact filters, applied to the term join of prefix entries:
@@ -132,17 +136,30 @@ def candidate_pairs(vec: DataFrame, order: DataFrame, threshold: float) -> DataF
       (the product only falls along the order, so failing rows are never first);
     * pair filter: the partial dot over the joined (leading) shared terms plus
       a bound on everything after the last of them must reach t.
+
+    Hot terms: a term with more than ``hot_rows`` prefix entries is split into
+    k = ceil(n / hot_rows) salts.  Each entry is replicated over the k x k grid
+    of salt pairs (as the left side along its row, as the right side along its
+    column), so every ordered pair of documents meets in exactly one cell and
+    no task enumerates more than about ``hot_rows``^2 pairs — the join output,
+    not just its input, is spread across tasks.
     """
     pre = prefix_entries(vec, threshold)
     pre = pre if "ord" in pre.columns else pre.join(order, "id")
+    salts = (pre.groupBy("tid").agg(F.count(F.lit(1)).alias("_n"))
+             .select("tid", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(hot_rows))).cast("int").alias("_k")))
+    pre = pre.join(salts, "tid").withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     # Both sides of the self-join read one materialised copy of the prefix entries.
     ensure_checkpoint_dir(vec.sparkSession)
     pre = pre.checkpoint(eager=True)
     cols = ["w", "sfx", "sfx_after", "mw_after"]
-    a = pre.select(F.col("id").alias("lo"), F.col("ord").alias("lo_ord"), "tid", *[F.col(c).alias(c + "_a") for c in cols])
-    b = pre.select(F.col("id").alias("hi"), F.col("ord").alias("hi_ord"), "tid", *[F.col(c).alias(c + "_b") for c in cols])
+    grid = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    a = pre.select(F.col("id").alias("lo"), F.col("ord").alias("lo_ord"), "tid", F.col("_salt").alias("_sa"),
+                   grid.alias("_sb"), *[F.col(c).alias(c + "_a") for c in cols])
+    b = pre.select(F.col("id").alias("hi"), F.col("ord").alias("hi_ord"), "tid", grid.alias("_sa"),
+                   F.col("_salt").alias("_sb"), *[F.col(c).alias(c + "_b") for c in cols])
     eps = F.lit(threshold - PREFIX_EPS)
-    pairs = a.join(b, "tid").filter(
+    pairs = a.join(b, ["tid", "_sa", "_sb"]).filter(
         ((F.col("lo_ord") < F.col("hi_ord")) | ((F.col("lo_ord") == F.col("hi_ord")) & (F.col("lo") < F.col("hi"))))
         & (F.col("sfx_a") * F.col("sfx_b") >= eps))
     rest = F.least(F.col("sfx_after_a") * F.col("sfx_after_b"), F.col("mw_after_a"), F.col("mw_after_b"))
@@ -198,9 +215,10 @@ def verify_pairs(cands: DataFrame, vec: DataFrame) -> DataFrame:
     return joined.select("lo", "hi", "ta", "wa", "tb", "wb").mapInPandas(_dot_batches, DOT_SCHEMA)
 
 
-def similar_pairs(vec: DataFrame, order: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
+def similar_pairs(vec: DataFrame, order: DataFrame, threshold: float, strict: bool = False,
+                  hot_rows: int = HOT_TERM_ROWS) -> DataFrame:
     """C4: all (lo, hi, cosine) with cosine >= threshold (or > when ``strict``), lo before hi."""
-    cands = candidate_pairs(vec, order, threshold)
+    cands = candidate_pairs(vec, order, threshold, hot_rows)
     dots = verify_pairs(cands, vec)
     keep = F.col("cosine") > threshold if strict else F.col("cosine") >= threshold
     return dots.filter(keep)
