@@ -360,18 +360,58 @@ def _nearest_cells(centroids, nprobe: int):
 
 
 def ivf_topk(df: DataFrame, k: int = 5, lists: int = 16, nprobe: int = 4, id_col: str = "id",
-             vec_col: str = "vec", seed: int = 7) -> DataFrame:
+             vec_col: str = "vec", seed: int = 7, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Approximate top-k: probe the ``nprobe`` nearest cells, verify exactly inside them.
 
-    The centroid table has ``lists`` rows (a fixed, proven bound), so it is
-    broadcast; the probe join is an equi-join on cell id.
+    The centroid matrix (``lists`` x d, a fixed bound) travels in the probing
+    UDF's closure.  Verification is blocked per cell (query blocks x member
+    blocks), so a cell holding a third of all vectors is spread over many
+    bounded tasks and only top-k rows per query leave each task.
     """
     model, assigned = ivf_index(df, lists, id_col, vec_col, seed)
     centroids = [[float(x) for x in c] for c in model.clusterCenters()]
     probe = assigned.select(F.col("id").alias("q"), F.col("vec").alias("qv"),
                             F.explode(_nearest_cells(centroids, nprobe)(F.col("vec"))).alias("cell"))
-    cand = probe.join(assigned.select(F.col("id").alias("c"), F.col("vec").alias("cv"), "cell"), "cell")
-    cand = cand.filter(F.col("q") != F.col("c")).select("q", "c", cosine(F.col("qv"), F.col("cv")).alias("sim"))
-    cand = cand.dropDuplicates(["q", "c"])
+    # Per cell: members and probing queries are split into blocks of <= block_rows; each
+    # (cell, query block, member block) is one bounded task emitting only top-k per query.
+    members = assigned.select(F.col("id").alias("c"), F.col("vec").alias("cv"), "cell")
+    m_sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_km"))
+    q_sizes = probe.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_kq"))
+    sizes = m_sizes.join(q_sizes, "cell")
+    q_rows = (probe.join(sizes, "cell")
+              .select("cell", F.pmod(F.xxhash64("q"), F.col("_kq")).cast("int").alias("_qb"),
+                      F.explode(F.sequence(F.lit(0), F.col("_km") - 1)).alias("_cb"),
+                      F.col("q").alias("id"), F.col("qv").alias("vec"), F.lit(0).alias("_side")))
+    c_rows = (members.join(sizes, "cell")
+              .select("cell", F.explode(F.sequence(F.lit(0), F.col("_kq") - 1)).alias("_qb"),
+                      F.pmod(F.xxhash64("c"), F.col("_km")).cast("int").alias("_cb"),
+                      F.col("c").alias("id"), F.col("cv").alias("vec"), F.lit(1).alias("_side")))
+    cand = q_rows.unionByName(c_rows).groupBy("cell", "_qb", "_cb").applyInPandas(_query_block_topk(k), TOPK_SCHEMA)
     w2 = Window.partitionBy("q").orderBy(F.col("sim").desc(), F.col("c").asc())
     return cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+
+
+def _query_block_topk(k: int):
+    """Kernel: for each query row (_side 0) the top-k member rows (_side 1) by cosine, self excluded."""
+    import numpy as np
+
+    def fn(pdf):
+        qs = pdf[pdf["_side"] == 0]
+        cs = pdf[pdf["_side"] == 1]
+        if len(qs) == 0 or len(cs) == 0:
+            return pd.DataFrame({"q": [], "c": [], "sim": []})
+        mq, okq = _matrix(qs["vec"])
+        mc, okc = _matrix(cs["vec"])
+        iq = qs["id"].to_numpy(dtype="int64")
+        ic = cs["id"].to_numpy(dtype="int64")
+        s = mq @ mc.T
+        s[~okq, :] = -np.inf
+        s[:, ~okc] = -np.inf
+        s[iq[:, None] == ic[None, :]] = -np.inf
+        kk = min(k, s.shape[1])
+        idx = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
+        sims = np.take_along_axis(s, idx, axis=1).ravel()
+        keep = np.isfinite(sims)
+        return pd.DataFrame({"q": np.repeat(iq, kk)[keep], "c": ic[idx].ravel()[keep], "sim": sims[keep]})
+
+    return fn

@@ -114,3 +114,10 @@ def test_streaming_semantic_dedup_matches_daily_loader_walk(spark):
             history[a] = ts[a]
     got = {r.id: r.decision for r in streamq.j4_stream_semantic_dedup(spark, SF001).collect()}
     assert got == expected
+
+
+def test_ivf_block_size_does_not_change_result(spark):
+    v = vectorq.vecs(spark, SF01)
+    big = {(r.q, r.c, round(r.sim, 9)) for r in vectors.ivf_topk(v, 5, 16, 4).collect()}
+    small = {(r.q, r.c, round(r.sim, 9)) for r in vectors.ivf_topk(v, 5, 16, 4, block_rows=16).collect()}
+    assert big == small
