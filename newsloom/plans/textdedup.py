@@ -161,9 +161,33 @@ def d8_title_summary_pairs(spark, sf):
     return pairs.select("doc_a", "doc_b", F.round("cosine", 6).alias("cosine"))
 
 
-@register("d7_greedy_near_dedup")
+# The reference's ordered walk, replayed literally: one recursion step per document in
+# order, carrying the list of kept ids (pairs materialised once).
+GREEDY_WALK_SQL = f"""
+WITH RECURSIVE {TFIDF_CTE},
+pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id
+                       GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= {THRESHOLD}),
+ord AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents),
+walk(rn, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.rn + 1,
+         CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.b = o.doc_id AND list_contains(w.kept, p.a))
+              THEN w.kept ELSE list_append(w.kept, o.doc_id) END
+  FROM walk w JOIN ord o ON o.rn = w.rn + 1),
+final AS (SELECT kept FROM walk ORDER BY rn DESC LIMIT 1),
+copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep,
+                  len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) > 0 AS has_tok FROM documents)
+SELECT c.doc_id, list_contains(f.kept, c.doc_id) AS kept,
+       CASE WHEN list_contains(f.kept, c.doc_id) THEN 'kept'
+            WHEN c.doc_id <> c.rep AND c.has_tok THEN 'exact_copy' ELSE 'near_duplicate' END AS reason
+FROM copies c, final f
+"""
+
+
+@register("d7_greedy_near_dedup", sql=GREEDY_WALK_SQL)
 def d7_greedy_near_dedup(spark, sf):
-    """Rows-only in the driver check; tests compare it with the ordered walk."""
+    """The oracle replays the ordered walk in SQL (recursive CTE); Spark runs it as greedy rounds."""
     return dedup.greedy_dedup(_docs(spark, sf), "doc_id", "text", "doc_id", THRESHOLD)
 
 

@@ -97,9 +97,27 @@ def d14_parse_vector_json(spark, sf):
         "vec_id", F.when(F.col("dim") >= 0, F.col("dim")).alias("dim"), "first")
 
 
-@register("d12_semantic_highlights")
+HIGHLIGHTS_WALK_SQL = f"""
+WITH RECURSIVE {VEC_CTE},
+r AS (SELECT id, label, vec, nrm, row_number() OVER (PARTITION BY label ORDER BY ts DESC, id) AS rn FROM v),
+pairs AS MATERIALIZED (SELECT a.label, a.id AS a, b.id AS b FROM r a JOIN r b ON a.label = b.label AND a.id <> b.id
+                       WHERE {cos_sql('a', 'b')} > {THRESHOLD}),
+walk(label, rn, kept) AS (
+  SELECT DISTINCT label, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM r
+  UNION ALL
+  SELECT w.label, w.rn + 1,
+         CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.b = x.id AND list_contains(w.kept, p.a))
+              THEN w.kept ELSE list_append(w.kept, x.id) END
+  FROM walk w JOIN r x ON x.label = w.label AND x.rn = w.rn + 1),
+final AS (SELECT label, arg_max(kept, rn) AS kept FROM walk GROUP BY label)
+SELECT label, unnest(list_slice(kept, 1, 5)) AS id, unnest(range(1, len(list_slice(kept, 1, 5)) + 1)) AS rank
+FROM final
+"""
+
+
+@register("d12_semantic_highlights", sql=HIGHLIGHTS_WALK_SQL)
 def d12_semantic_highlights(spark, sf):
-    """Rows-only in the driver check; tests compare it with the ordered walk."""
+    """The oracle replays the newest-first walk per label (recursive CTE); tests also check it."""
     return vectors.semantic_highlights(vecs(spark, sf), n=5, threshold=THRESHOLD, group_col="label")
 
 
@@ -120,9 +138,42 @@ def load_inputs(spark, sf):
     return batch, history
 
 
-@register("d13_incremental_semantic_dedup")
+# The loader's sequential visibility, replayed in SQL: url check, 48 h history check, then a
+# recursive walk over the remaining batch rows in (seq, id) order carrying the inserted ids.
+LOADER_WALK_SQL = f"""
+WITH RECURSIVE {VEC_CTE},
+hist AS (SELECT id, 'https://v.example/' || CAST(id AS VARCHAR) AS url, vec, nrm, ts AS inserted_at FROM v
+         WHERE ts < TIMESTAMP '{NOW_LOAD}' + INTERVAL 24 HOUR),
+bat AS (SELECT id + 1000000 AS id, 'https://v.example/' || CAST(id AS VARCHAR) AS url, vec, nrm, ts AS seq FROM v
+        WHERE ts >= TIMESTAMP '{NOW_LOAD}'),
+b1 AS (SELECT * FROM bat WHERE url NOT IN (SELECT url FROM hist)),
+hh AS (SELECT DISTINCT b.id FROM b1 b JOIN hist h ON h.inserted_at >= TIMESTAMP '{NOW_LOAD}' - INTERVAL 48 HOUR
+       WHERE {cos_sql('b', 'h')} >= {THRESHOLD}),
+b2 AS (SELECT b.*, row_number() OVER (ORDER BY seq, id) AS rn FROM b1 b WHERE id NOT IN (SELECT id FROM hh)),
+pairs AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM b2 x JOIN b2 y ON x.rn < y.rn
+                       WHERE {cos_sql('x', 'y')} >= {THRESHOLD}),
+walk(rn, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.rn + 1,
+         CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.b = o.id AND list_contains(w.kept, p.a))
+              THEN w.kept ELSE list_append(w.kept, o.id) END
+  FROM walk w JOIN b2 o ON o.rn = w.rn + 1),
+final AS (SELECT kept FROM walk ORDER BY rn DESC LIMIT 1),
+mx AS (SELECT coalesce(max(id), 0) AS m FROM hist)
+SELECT bat.id,
+       CASE WHEN list_contains(f.kept, bat.id) THEN 'inserted'
+            WHEN bat.id IN (SELECT id FROM hh) THEN 'semantic_history'
+            WHEN bat.id IN (SELECT id FROM b1) THEN 'semantic_batch'
+            ELSE 'url_duplicate' END AS decision,
+       CASE WHEN list_contains(f.kept, bat.id) THEN mx.m + list_position(f.kept, bat.id) END AS new_id
+FROM bat, final f, mx
+"""
+
+
+@register("d13_incremental_semantic_dedup", sql=LOADER_WALK_SQL)
 def d13_incremental_semantic_dedup(spark, sf):
-    """Rows-only in the driver check; tests compare it with the sequential loader walk."""
+    """The oracle replays the loader's row-by-row walk in SQL; Spark runs it as set operations + rounds."""
     batch, history = load_inputs(spark, sf)
     return loader.incremental_load(batch, history, NOW_LOAD, threshold=THRESHOLD, window_hours=48,
                                    order_col="seq", block_rows=256)
