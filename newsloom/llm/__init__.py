@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "chat_format")
+MODULES = ("exact_dedup", "chat_format", "byte_bpe", "byte_bpe")
 
 
 def load_all() -> tuple[dict, dict]:
