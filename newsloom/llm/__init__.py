@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "chat_format", "byte_bpe", "language_id")
+MODULES = ("exact_dedup", "chat_format", "byte_bpe", "language_id", "jaccard_join")
 
 
 def load_all() -> tuple[dict, dict]:
