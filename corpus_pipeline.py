@@ -2,6 +2,7 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a frame that is written as Parquet in the shared
 checkpoint folder and read again as the next stage's input, so a lost executor costs one stage at most.
+All stages but the last return the columns of ``docs``.
 """
 
 from __future__ import annotations
@@ -9,12 +10,26 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import exact_dedup
-from newsloom.llm.common import load, prepare
+from newsloom.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id
+from newsloom.llm.common import drop_ids, load, prepare
 from newsloom.session import ensure_checkpoint_dir
 
-ORACLE_SQL = None   # the language model of the first stage has no SQL form
+ORACLE_SQL = None   # the first stage is a trained model and has no SQL form
+
+MIN_LANGUAGE_SHARE = 0.3   # a document whose best language holds less of its words than this is rejected
+
+
+def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter (``und``), or without a language that holds enough of their words, go.
+
+    The model is fitted on the labelled rows of the table ``documents`` that are not held out.
+    """
+    prepare(spark)
+    found = language_id.predict(docs, language_id.train(load(spark, sf_dir, "documents")))
+    good = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)
+    return drop_ids(docs, found.groupBy("doc_id").agg(F.max(good).alias("good")).filter("NOT good"))
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +38,30 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.keep_rows(docs)
 
 
+def stage_ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that hang together by similarity links the one with the smallest id stays."""
+    prepare(spark)
+    return jaccard_join.keep_first(docs)
+
+
+def stage_benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the table ``benchmark`` go."""
+    prepare(spark)
+    return decontaminate.keep_clean(docs, load(spark, sf_dir, "benchmark"))
+
+
+def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents that are left."""
+    prepare(spark)
+    return byte_bpe.round_trip(docs)
+
+
 STAGES = [
+    ("language_id", stage_language_id),
     ("exact_dedup", stage_exact_dedup),
+    ("ngram_jaccard_join", stage_ngram_jaccard_join),
+    ("benchmark_decontamination", stage_benchmark_decontamination),
+    ("byte_bpe", stage_byte_bpe),
 ]
 
 
