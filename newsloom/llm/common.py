@@ -61,3 +61,18 @@ def positions_by_key(df: DataFrame, group: str, order: list, rows_per_bucket: in
     # One offset row per (group, rank, bucket): total / rows_per_bucket rows for each group and rank.
     return (numbered.join(offsets, [group, "__b"])
             .withColumn("pos", F.col("__off") + F.col("__rn") - 1).drop("__b", "__rn", "__off"))
+
+
+def hot_lookup(left: DataFrame, right: DataFrame, key: str, uses: str, total: int, hot_keys: int = 1000) -> DataFrame:
+    """``left`` joined (left outer) with ``right``, which has one row per ``key``.
+
+    ``uses`` is the number of left rows of a key.  Keys with more than ``total / hot_keys`` rows number at
+    most ``hot_keys``: they are broadcast, so a key that holds a third of all rows is never shuffled to one
+    task.  All other keys are joined by a shuffle.  Left rows with a null key should be kept out.
+    """
+    bound = max(1, total // hot_keys)
+    hot = right.filter(F.col(uses) > bound)
+    cold = right.filter(F.col(uses) <= bound)
+    found = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    return found.unionByName(rest)
