@@ -23,6 +23,13 @@ def sentiment_from_labels(quality: Column, toxic: Column) -> Column:
              .otherwise(F.lit("Neutral")))
 
 
+def minutes_after(epoch: str, minutes: Column) -> Column:
+    """``epoch`` plus a bigint number of minutes (whole days and the rest, so neither part overflows an int)."""
+    per_day = F.lit(24 * 60).cast("long")
+    days, rest = F.floor(minutes / per_day).cast("int"), F.pmod(minutes, per_day).cast("int")
+    return F.to_timestamp(F.lit(epoch)) + F.make_dt_interval(days, F.lit(0), rest)
+
+
 def news_view(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents ⟕ labels -> news rows (id, source, ..., published_ts).
 
@@ -38,13 +45,11 @@ def news_view(documents: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("lang").alias("language"),
         F.concat(F.lit("cat"), (F.col("doc_id") % N_CATEGORIES).cast("string")).alias("category"),
         F.substring("text", 1, 80).alias("title"),
-        F.substring("text", 1, 300).alias("summary"),
+        F.col("text").alias("summary"),
         F.col("text").alias("full_text"),
         F.concat(F.lit(URL_PREFIX), F.col("doc_id").cast("string")).alias("url"),
         sentiment_from_labels(F.col("quality"), F.col("toxic")).alias("sentiment"),
-        (F.to_timestamp(F.lit(NEWS_EPOCH))
-         + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * MINUTES_PER_ID).cast("int"))
-         ).alias("published_ts"),
+        minutes_after(NEWS_EPOCH, F.col("doc_id") * MINUTES_PER_ID).alias("published_ts"),
     )
 
 

@@ -44,13 +44,14 @@ def new_vs_table(batch: DataFrame, table: DataFrame, key: str, order_col: str) -
 def exact_copies(docs: DataFrame, id_col: str, text_col: str, order_col: str) -> DataFrame:
     """Map every doc to its copy group's first member: ``(id, rep, n_copies, is_rep)``.
 
-    The group key is the SHA-256 of the text; the representative is the
+    The group key is the SHA-256 of the text (null texts form one group, which
+    has no tokens and therefore no near duplicates); the representative is the
     earliest member in ``order_col`` (then id).  Both steps are aggregates or
     an equi-join on the hash, so a copy group holding a third of all rows is
     combined map-side and split by AQE's skew join, never held by one task.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"),
-                        F.sha2(F.col(text_col), 256).alias("h"))
+                        F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")).alias("h"))
     reps = keyed.groupBy("h").agg(F.min_by("id", F.struct("ord", "id")).alias("rep"),
                                   F.count(F.lit(1)).alias("n_copies"))
     return (keyed.join(reps, "h")
@@ -112,6 +113,28 @@ def greedy_dedup(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), (F.col("reason") == "kept").alias("kept"), "reason")
 
 
+def accounting_by_reason(decisions: DataFrame, reason_col: str = "reason", stay: str = "kept") -> DataFrame:
+    """One pass over a decision column: rows per reason, and whether that reason lets a row stay."""
+    return (decisions.groupBy(F.col(reason_col).alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
+            .withColumn("stays", F.col("reason") == stay))
+
+
+def text_drop_reasons(docs: DataFrame, id_col: str, text_col: str, prefix: int = 250) -> DataFrame:
+    """``(id, reason)`` of D3 then D4 in one pass: 'exact_text', 'prefix' or 'kept' for every row.
+
+    The first row of each text survives D3; D4 keeps the first survivor of each prefix.  The survivor of a
+    prefix is the first row of that prefix, so both firsts are aggregates over the input.
+    """
+    keyed = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h"),
+                        F.sha2(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, prefix), 256).alias("p"))
+    firsts = keyed.groupBy("p", "h").agg(F.min("id").alias("first_h"))
+    top = firsts.groupBy("p").agg(F.min("first_h").alias("first_p"))
+    both = firsts.join(top, "p").select("h", "first_h", "first_p")
+    reason = (F.when(F.col("id") != F.col("first_h"), F.lit("exact_text"))
+               .when(F.col("id") != F.col("first_p"), F.lit("prefix")).otherwise(F.lit("kept")))
+    return keyed.join(both, "h").select("id", reason.alias("reason"))
+
+
 def batch_accounting(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """Row count after each named processing stage, as one long frame (stage, rows).
 

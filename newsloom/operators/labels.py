@@ -70,15 +70,21 @@ def attention_mask(text: Column, max_length: int = 128) -> Column:
     return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length) - n))
 
 
-def sentiment_classifier_spec(num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.01):
-    """K7: RegexTokenizer -> HashingTF -> IDF -> multinomial LogisticRegression."""
+def token_features(df: DataFrame, text_col: str = "text", num_features: int = 1 << 18) -> DataFrame:
+    """K7: add the hashed term counts ``tf`` (RegexTokenizer -> HashingTF; nothing is fitted here)."""
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    tokens = RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=r"[\p{L}\p{N}_]+", gaps=False, toLowercase=True)
+    return HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features).transform(tokens.transform(df))
+
+
+def sentiment_classifier_spec(max_iter: int = 50, reg: float = 0.01):
+    """K7: IDF -> multinomial LogisticRegression over hashed term counts."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml.feature import IDF
 
     return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[\p{L}\p{N}_]+", gaps=False, toLowercase=True),
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_id", predictionCol="prediction",
                            family="multinomial", maxIter=max_iter, regParam=reg),
@@ -94,8 +100,12 @@ def train_and_evaluate(df: DataFrame, languages: Sequence[str], text_col: str =
     data = label_ids(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                                F.col(label_col).alias("label"), "language"), "label").withColumn(
         "label_id", F.col("label_id").cast("double"))
-    data = ranking.split_train_test(data, "id", seed)
     ensure_checkpoint_dir(df.sparkSession)
+    # One pass over the texts: hashed term counts, written once and read by every fit.
+    data = (token_features(ranking.split_train_test(data, "id", seed).filter(F.col("text").isNotNull()))
+            .select("language", "split", "label_id", "tf").checkpoint(eager=True))
+    trained = {r["language"]: r["n"] for r in data.filter(F.col("split") == "train").groupBy("language").agg(
+        F.count(F.lit(1)).alias("n")).collect()}   # one row per language
 
     def fit_one(lang: str) -> DataFrame:
         part = data.filter(F.col("language") == lang)
@@ -105,7 +115,7 @@ def train_and_evaluate(df: DataFrame, languages: Sequence[str], text_col: str =
         scored = model.transform(test).select(F.col("label_id").cast("int").alias("label"),
                                               F.col("prediction").cast("int").alias("pred"))
         met = classification_metrics(scored).withColumn("language", F.lit(lang))
-        return met.withColumn("n_train", F.lit(train.count())).checkpoint(eager=True)
+        return met.withColumn("n_train", F.lit(trained[lang]).cast("long")).checkpoint(eager=True)
 
     # The per-language fits are independent Spark jobs: submit them concurrently.
     from concurrent.futures import ThreadPoolExecutor

@@ -23,10 +23,10 @@ def words(col: Column) -> Column:
 
 def top_keywords(df: DataFrame, text_col: str, n: int = 15, min_len: int = 4) -> DataFrame:
     """Words longer than 3 chars, not stopwords, not all digits; top n by count."""
-    w = df.select(F.explode(words(F.col(text_col))).alias("keyword"))
-    kept = w.filter((F.length("keyword") >= min_len) & ~F.array_contains(T.stopwords(), F.col("keyword"))
-                    & ~F.col("keyword").rlike(r"^\p{Nd}+$"))
-    counts = kept.groupBy("keyword").agg(F.count(F.lit(1)).alias("count"))
+    # Filtered inside the array, so dropped words never become rows; isin is a hash-set test.
+    kept = F.filter(words(F.col(text_col)), lambda w: (F.length(w) >= min_len) & ~w.isin(T.STOPWORDS)
+                    & ~w.rlike(r"^\p{Nd}+$"))
+    counts = df.select(F.explode(kept).alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("count"))
     top = counts.orderBy(F.col("count").desc(), F.col("keyword").asc()).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("keyword").asc())))
 
@@ -39,11 +39,10 @@ def adjacent_pairs(tokens: Column) -> Column:
 
 def top_bigrams(df: DataFrame, text_col: str, n: int = 15, min_len: int = 3) -> DataFrame:
     """Adjacent word pairs, both longer than 2 chars and not stopwords, per document (Q13)."""
-    pairs = df.select(F.explode(adjacent_pairs(words(F.col(text_col)))).alias("p"))
-    sw = T.stopwords()
-    kept = pairs.filter((F.length("p.w1") >= min_len) & (F.length("p.w2") >= min_len)
-                        & ~F.array_contains(sw, F.col("p.w1")) & ~F.array_contains(sw, F.col("p.w2")))
-    counts = (kept.select(F.concat_ws(" ", "p.w1", "p.w2").alias("phrase"))
+    # Dropped words become null in place: a pair stays only if neither side is null.
+    good = F.transform(words(F.col(text_col)), lambda w: F.when((F.length(w) >= min_len) & ~w.isin(T.STOPWORDS), w))
+    kept = F.filter(adjacent_pairs(good), lambda p: p["w1"].isNotNull() & p["w2"].isNotNull())
+    counts = (df.select(F.explode(F.transform(kept, lambda p: F.concat_ws(" ", p["w1"], p["w2"]))).alias("phrase"))
               .groupBy("phrase").agg(F.count(F.lit(1)).alias("count")))
     top = counts.orderBy(F.col("count").desc(), F.col("phrase").asc()).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("phrase").asc())))
@@ -56,8 +55,10 @@ def bigrams_across_documents(df: DataFrame, text_col: str, order: list[Column])
     boundary pair is an equi-join of seq with seq + 1, so no single task
     holds the whole order.
     """
-    t = df.select(*[c for c in df.columns], words(F.col(text_col)).alias("_t")).filter(F.size("_t") > 0)
-    seq = ranking.sequential_ids(t, order, col="_seq").select("_seq", "_t")
-    last = seq.select((F.col("_seq") + 1).alias("_seq"), F.element_at("_t", -1).alias("w1"))
-    first = seq.select("_seq", F.element_at("_t", 1).alias("w2"))
+    # Two words per document are numbered, not the text.
+    t = (df.withColumn("_t", words(F.col(text_col))).filter(F.size("_t") > 0)
+         .withColumn("_first", F.element_at("_t", 1)).withColumn("_last", F.element_at("_t", -1)).drop("_t", text_col))
+    seq = ranking.sequential_ids(t, order, col="_seq")
+    last = seq.select((F.col("_seq") + 1).alias("_seq"), F.col("_last").alias("w1"))
+    first = seq.select("_seq", F.col("_first").alias("w2"))
     return last.join(first, "_seq").select("w1", "w2")

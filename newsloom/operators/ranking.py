@@ -72,12 +72,17 @@ def first_wins(df: DataFrame, key: str | Sequence[str], order_col: str, last: bo
 
     A hash aggregate of ``min_by(struct(row), order)``: map-side partial
     aggregation collapses a hot key to one row per input partition before the
-    shuffle, so no task ever holds a whole group.
+    shuffle, so no task ever holds a whole group.  A null order key counts as
+    latest for first-wins and as earliest for last-wins; ties go to the row of
+    smallest (largest) hash.
     """
     keys = [key] if isinstance(key, str) else list(key)
     others = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
-    agg = df.groupBy(*keys).agg(pick(F.struct(*others), F.col(order_col)).alias("_row"))
+    has_order = F.col(order_col).isNotNull() if last else F.col(order_col).isNull()
+    hashed = [f.name for f in df.schema.fields if f.name not in keys and "map" not in f.dataType.simpleString()]
+    rank = F.struct(has_order.alias("n"), F.col(order_col).alias("o"), F.xxhash64(*hashed).alias("h"))
+    agg = df.groupBy(*keys).agg(pick(F.struct(*others), rank).alias("_row"))
     return agg.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 

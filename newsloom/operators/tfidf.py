@@ -54,7 +54,7 @@ def term_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "text"
 
 def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text",
           copies_col: str | None = None, n_docs: Column | None = None,
-          with_term_ids: bool = False, term_ids: str = "hash") -> DataFrame:
+          with_term_ids: bool = False) -> DataFrame:
     """L2-normalised TF-IDF rows ``(id, term, df[, tid], w)``.
 
     ``copies_col`` lets callers pass one row per distinct text with its copy
@@ -69,7 +69,7 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     dfreq = tf.groupBy("term").agg(F.sum(mult).cast("long").alias("df"))
     cols = ["id", "term", "df"]
     if with_term_ids:
-        dfreq = with_term_ids_column(dfreq, term_ids)
+        dfreq = with_term_ids_column(dfreq)
         cols.append("tid")
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     raw = tf.join(dfreq, "term").select(*cols, (F.col("tf") * idf).alias("w"))
@@ -77,22 +77,13 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     return raw.select(*cols, (F.col("w") / norm).alias("w"))
 
 
-def with_term_ids_column(dfreq: DataFrame, mode: str = "hash") -> DataFrame:
-    """Add exact integer term ids ``tid`` to a one-row-per-term dictionary.
+def with_term_ids_column(dfreq: DataFrame) -> DataFrame:
+    """Add dense integer term ids ``tid`` to a one-row-per-term dictionary.
 
-    ``mode="hash"``: ``xxhash64(term)``, checked inside the same plan by a
-    window over the dictionary partitioned by hash (groups of one unless two
-    terms collide); a collision fails the query instead of merging terms.
-    ``mode="dense"``: ids from a distributed sort, for the rare corpus whose
-    vocabulary has a 64-bit collision.  Equal ids always mean equal terms.
+    The ids come from a distributed sort of the dictionary, so equal ids always
+    mean equal terms, at any vocabulary size.
     """
-    if mode == "dense":
-        return ranking.sequential_ids(dfreq, [F.col("term").asc()], col="tid")
-    h = F.xxhash64("term")
-    n_same = F.count(F.lit(1)).over(Window.partitionBy(h))
-    return dfreq.withColumn(
-        "tid", F.when(n_same > 1, F.raise_error(F.lit("term hash collision: rerun with term_ids='dense'")))
-        .otherwise(h).cast("long"))
+    return ranking.sequential_ids(dfreq, [F.col("term").asc()], col="tid")
 
 
 def prefix_entries(vec: DataFrame, threshold: float) -> DataFrame:

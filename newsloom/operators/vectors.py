@@ -158,7 +158,7 @@ def _window_best_kernel(window_s: float):
         iq = qs["id"].to_numpy(dtype="int64")[:, None]
         ic = cs["id"].to_numpy(dtype="int64")[None, :]
         earlier = (oc < oq) | ((oc == oq) & (ic < iq))
-        valid = earlier & (tc >= tq - window_s) & (tc <= tq) & okq[:, None] & okc[None, :]
+        valid = earlier & (tc > tq - window_s) & (tc <= tq) & okq[:, None] & okc[None, :]
         s = np.where(valid, s, -np.inf)
         best = np.argmax(s, axis=1)
         bs = s[np.arange(len(qs)), best]

@@ -46,8 +46,7 @@ SELECT r.url, r.language, r.source FROM r JOIN m USING (language, source, run_ts
 """)
 def a3_landing_latest_run_ingest(spark, sf):
     root = files.scratch_dir(spark, "landing")
-    (raw_articles(spark, sf).write.partitionBy("lang_dir", "outlet_dir", "run_ts")
-     .option("maxRecordsPerFile", 200).json(root))
+    raw_articles(spark, sf).write.partitionBy("lang_dir", "outlet_dir", "run_ts").json(root)
     found = files.latest_per_folder(files.list_files(spark, root, "*.json"))
     recs = files.read_json_records(spark, found, require_any=("full_text", "summary"), lines=True)
     return recs.select("url", "language", "source")
@@ -103,11 +102,16 @@ WITH {NEWS_CTE}
 SELECT id, source FROM news
 """)
 def a13_find_news_table(spark, sf):
-    news(spark, sf).select("id", "source").createOrReplaceTempView("daily_news_adapter")
-    found = catalog.find_table(spark, candidates=["no_such_table_a", "no_such_table_b"])
-    if found is None:
-        raise RuntimeError("no news table found")
-    return spark.table(found[0])
+    import uuid
+    view = f"aaa_{uuid.uuid4().hex[:8]}_news_adapter"   # a name of this call's own, first among the views
+    news(spark, sf).select("id", "source").createOrReplaceTempView(view)
+    try:
+        found = catalog.find_table(spark, candidates=["no_such_table_a", "no_such_table_b"])
+        if found is None or found[0] != view:
+            raise RuntimeError(f"expected {view}, found {found}")
+        return spark.table(view)
+    finally:
+        spark.catalog.dropTempView(view)   # the returned frame no longer needs its name
 
 
 @register("a15_append_with_generated_ids", sql=f"""
@@ -300,8 +304,7 @@ def s31_processor_run(spark, sf):
     """Rows-only: the raw -> processed lifecycle over the landed news rows (English signature)."""
     from newsloom.plans import jobs
     root = files.scratch_dir(spark, "proc")
-    (raw_articles(spark, sf).write.partitionBy("lang_dir", "outlet_dir", "run_ts")
-     .option("maxRecordsPerFile", 200).json(f"{root}/landing"))
+    raw_articles(spark, sf).write.partitionBy("lang_dir", "outlet_dir", "run_ts").json(f"{root}/landing")
     return jobs.processor_run(spark, f"{root}/landing", f"{root}/seen", f"{root}/processed", "en",
                               "20240113_070000").select("url", "source", "sentiment")
 

@@ -34,7 +34,7 @@ NEWS_CTE = """
 news AS (
   SELECT d.doc_id AS id, d.source AS source, d.lang AS language,
          'cat' || CAST(d.doc_id % 7 AS VARCHAR) AS category,
-         substr(d.text, 1, 80) AS title, substr(d.text, 1, 300) AS summary, d.text AS full_text,
+         substr(d.text, 1, 80) AS title, d.text AS summary, d.text AS full_text,
          'https://n.example/' || CAST(d.doc_id AS VARCHAR) AS url,
          CASE WHEN l.toxic = 1 THEN 'Negative' WHEN l.quality = 1 THEN 'Positive' ELSE 'Neutral' END AS sentiment,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(d.doc_id * 37 AS BIGINT)) AS published_ts

@@ -191,6 +191,17 @@ def d7_greedy_near_dedup(spark, sf):
     return dedup.greedy_dedup(_docs(spark, sf), "doc_id", "text", "doc_id", THRESHOLD)
 
 
+@register("e19_accounting_by_reason", sql="""
+WITH exact AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents),
+pre AS (SELECT doc_id, row_number() OVER (PARTITION BY substr(text, 1, 250) ORDER BY doc_id) AS rn FROM exact WHERE rn = 1),
+r AS (SELECT CASE WHEN e.rn > 1 THEN 'exact_text' WHEN p.rn > 1 THEN 'prefix' ELSE 'kept' END AS reason
+      FROM exact e LEFT JOIN pre p USING (doc_id))
+SELECT reason, count(*) AS rows, reason = 'kept' AS stays FROM r GROUP BY reason
+""")
+def e19_accounting_by_reason(spark, sf):
+    return dedup.accounting_by_reason(dedup.text_drop_reasons(_docs(spark, sf), "doc_id", "text"))
+
+
 @register("e19_batch_accounting", sql="""
 WITH exact AS (SELECT doc_id, text FROM (
                  SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1),

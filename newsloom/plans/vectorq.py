@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import loader, vectors
+from newsloom.operators import adapt, loader, vectors
 from newsloom.plans.registry import register
 from newsloom.sources.tables import table
 
@@ -20,8 +20,7 @@ NOW_LOAD = "2024-01-07 00:00:00"
 
 def vecs(spark, sf):
     e = table(spark, sf, "embeddings")
-    ts = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(
-        F.lit(0), F.lit(0), (F.col("vec_id") * 37).cast("int"))
+    ts = adapt.minutes_after("2024-01-01 00:00:00", F.col("vec_id") * 37)
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label", ts.alias("ts"))
 
 
@@ -62,7 +61,7 @@ def d10_topk_nearest_vectors(spark, sf):
 @register("c3_window_nearest_neighbour", sql=f"""
 WITH {VEC_CTE},
 s AS (SELECT a.id AS q, b.id AS c, {cos_sql('a', 'b')} AS sim FROM v a JOIN v b
-      ON (b.ts < a.ts OR (b.ts = a.ts AND b.id < a.id)) AND b.ts >= a.ts - INTERVAL 48 HOUR),
+      ON (b.ts < a.ts OR (b.ts = a.ts AND b.id < a.id)) AND b.ts > a.ts - INTERVAL 48 HOUR),
 r AS (SELECT q, c, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS rn FROM s WHERE sim IS NOT NULL)
 SELECT q, c, round(sim, 6) AS sim FROM r WHERE rn = 1
 """)
@@ -74,7 +73,7 @@ def c3_window_nearest_neighbour(spark, sf):
 @register("c3_semantically_unique", sql=f"""
 WITH {VEC_CTE},
 s AS (SELECT a.id AS q, max({cos_sql('a', 'b')}) AS best FROM v a JOIN v b
-      ON (b.ts < a.ts OR (b.ts = a.ts AND b.id < a.id)) AND b.ts >= a.ts - INTERVAL 48 HOUR GROUP BY a.id)
+      ON (b.ts < a.ts OR (b.ts = a.ts AND b.id < a.id)) AND b.ts > a.ts - INTERVAL 48 HOUR GROUP BY a.id)
 SELECT v.id, coalesce(s.best < {THRESHOLD}, true) AS is_unique FROM v LEFT JOIN s ON v.id = s.q
 """)
 def c3_semantically_unique(spark, sf):
@@ -147,7 +146,7 @@ hist AS (SELECT id, 'https://v.example/' || CAST(id AS VARCHAR) AS url, vec, nrm
 bat AS (SELECT id + 1000000 AS id, 'https://v.example/' || CAST(id AS VARCHAR) AS url, vec, nrm, ts AS seq FROM v
         WHERE ts >= TIMESTAMP '{NOW_LOAD}'),
 b1 AS (SELECT * FROM bat WHERE url NOT IN (SELECT url FROM hist)),
-hh AS (SELECT DISTINCT b.id FROM b1 b JOIN hist h ON h.inserted_at >= TIMESTAMP '{NOW_LOAD}' - INTERVAL 48 HOUR
+hh AS (SELECT DISTINCT b.id FROM b1 b JOIN hist h ON h.inserted_at > TIMESTAMP '{NOW_LOAD}' - INTERVAL 48 HOUR
        WHERE {cos_sql('b', 'h')} >= {THRESHOLD}),
 b2 AS (SELECT b.*, row_number() OVER (ORDER BY seq, id) AS rn FROM b1 b WHERE id NOT IN (SELECT id FROM hh)),
 pairs AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM b2 x JOIN b2 y ON x.rn < y.rn

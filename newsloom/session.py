@@ -67,14 +67,19 @@ def get_session(master: str | None = None, app: str = "newsloom", **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting a scratch one only if unset."""
+    """Return the reliable checkpoint folder, setting a scratch one only if unset.
+
+    A scratch folder of this machine is only seen by executors that run on it, so it is made for local
+    masters alone; on a cluster the shared folder has to be named in ``spark.checkpoint.dir``.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached when the cluster names no shared folder (tests, local runs).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="newsloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

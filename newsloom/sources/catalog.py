@@ -25,13 +25,14 @@ NEWS_DDL_COLUMNS = [
 ]
 
 
-def find_table(spark: SparkSession, candidates: Sequence[str] = CANDIDATE_TABLES) -> tuple[str, list[str]] | None:
-    """First existing candidate, else the first table/view whose name contains 'news'."""
+def find_table(spark: SparkSession, candidates: Sequence[str] = CANDIDATE_TABLES,
+               include_temporary: bool = True) -> tuple[str, list[str]] | None:
+    """First existing candidate, else the first table/view (by name) whose name contains 'news'."""
     for name in candidates:
         if spark.catalog.tableExists(name):
             return name, [c.name for c in spark.catalog.listColumns(name)]
     for t in sorted(spark.catalog.listTables(), key=lambda t: t.name):
-        if "news" in t.name.lower():
+        if "news" in t.name.lower() and (include_temporary or not t.isTemporary):
             return t.name, [c.name for c in spark.catalog.listColumns(t.name)]
     return None
 

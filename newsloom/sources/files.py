@@ -76,18 +76,26 @@ def read_json_records(spark: SparkSession, paths: list[str] | DataFrame, schema:
     skipped.  ``lines=True`` reads JSON-lines files line by line, so a large
     Spark-written file is split across tasks.  ``require_any`` admits a
     record only if one of those keys is *present* (explicit null counts, Q19),
-    which a fixed schema alone cannot tell.  Adds ``source_file``.
+    which a fixed schema alone cannot tell.  Adds ``source_file`` and the
+    record's place in it, ``source_pos`` (sorts in file order: block of the
+    file, then number in the block).
     """
     if isinstance(paths, DataFrame):
-        paths = [r.path for r in paths.select("path").collect()]
+        paths = run_paths(paths)
     if not paths:
-        return spark.createDataFrame([], schema.add("source_file", T.StringType()))
+        empty = T.StructType([*schema.fields, T.StructField("source_file", T.StringType())])
+        return spark.createDataFrame([], empty).withColumn(
+            "source_pos", F.struct(F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("n")))
+    meta = F.col("_metadata.file_path").alias("source_file")
+    seen = F.lower(F.col("_metadata.file_name")).contains("seen")
     if lines:
-        raw = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("source_file"))
+        raw = spark.read.text(paths).filter(~seen).select(
+            F.col("value"), meta, F.struct(F.col("_metadata.file_block_start").alias("block"),
+                                           F.monotonically_increasing_id().alias("n")).alias("source_pos"))
         m = F.from_json(F.col("value"), "map<string,string>")
-        recs = raw.select("source_file", m.alias("m")).filter(F.col("m").isNotNull())
+        recs = raw.select("source_file", "source_pos", m.alias("m")).filter(F.col("m").isNotNull())
         return _project_records(recs, schema, require_any)
-    raw = spark.read.text(paths, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("source_file"))
+    raw = spark.read.text(paths, wholetext=True).filter(~seen).select(F.col("value"), meta)
     body = F.trim(F.col("value"))
     non_blank = F.filter(F.split(body, r"\r?\n"), lambda ln: F.trim(ln) != "")
     parsed_lines = F.transform(non_blank, lambda ln: F.from_json(ln, "map<string,string>"))
@@ -96,17 +104,36 @@ def read_json_records(spark: SparkSession, paths: list[str] | DataFrame, schema:
     as_maps = (F.when(body.startswith("["), F.from_json(body, "array<map<string,string>>"))
                 .when((F.size(parsed_lines) > 0) & all_lines_ok, parsed_lines)
                 .when(single.isNotNull(), F.array(single)))
-    recs = raw.select("source_file", F.explode(as_maps).alias("m"))
+    recs = raw.select("source_file", F.posexplode(as_maps).alias("n", "m")).withColumn(
+        "source_pos", F.struct(F.lit(0).cast("long").alias("block"), F.col("n").cast("long").alias("n")))
     return _project_records(recs, schema, require_any)
 
 
+def run_paths(files: DataFrame) -> list[str]:
+    """What to read of the chosen files: the folder of a run, or the one newest file of a flat folder.
+
+    One path per outlet folder, however many part files a run has.
+    """
+    in_run = F.col("path").rlike(r"/run_ts=[^/]+/[^/]*$")
+    unit = F.when(in_run, F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.col("path"))
+    return sorted(r.p for r in files.select(unit.alias("p")).distinct().collect())
+
+
+def unreadable_lines(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
+    """``(source_file, lines)`` of non-blank JSON lines that do not parse (skipped by the reader)."""
+    paths = run_paths(paths) if isinstance(paths, DataFrame) else paths
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"))
+    bad = (F.trim("value") != "") & F.from_json(F.col("value"), "map<string,string>").isNull()
+    return raw.filter(bad).groupBy("source_file").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _project_records(recs: DataFrame, schema: T.StructType, require_any: tuple[str, ...]) -> DataFrame:
     if require_any:
         present = F.lit(False)
         for k in require_any:
             present = present | F.map_contains_key("m", k)
         recs = recs.filter(present)
-    return recs.select(*[F.col("m").getItem(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], "source_file")
+    return recs.select(*[F.col("m").getItem(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], "source_file", "source_pos")
 
 
 def load_seen(spark: SparkSession, path: str) -> DataFrame:
@@ -121,21 +148,28 @@ def load_seen(spark: SparkSession, path: str) -> DataFrame:
 
 def save_seen(spark: SparkSession, new_keys: DataFrame, path: str, reason: str = "processed",
               now: str | None = None) -> DataFrame:
-    """Append only keys not already seen (anti join); returns the appended rows."""
+    """Append only keys not already seen (anti join); returns the appended rows.
+
+    A ``reason`` column of ``new_keys`` gives each key its own reason.
+    """
     seen = load_seen(spark, path)
     ts = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
-    fresh = (new_keys.select("url").filter(F.col("url").isNotNull()).distinct()
+    why = F.min("reason") if "reason" in new_keys.columns else F.first(F.lit(reason))
+    fresh = (new_keys.filter(F.col("url").isNotNull()).groupBy("url").agg(why.alias("reason"))
              .join(seen.select("url"), "url", "left_anti")
-             .select("url", F.lit(reason).alias("reason"), ts.alias("first_seen")))
+             .select("url", "reason", ts.alias("first_seen")))
     fresh.write.mode("append").parquet(path)
     return fresh
 
 
 def write_json_run(df: DataFrame, root: str, run_ts: str | None = None) -> str:
-    """Append records as JSON under ``root/run_ts=YYYYMMDD_HHMMSS`` (UTF-8, not escaped)."""
+    """Records as JSON under ``root/run_ts=YYYYMMDD_HHMMSS`` (UTF-8, not escaped).
+
+    A run owns its folder: writing the run again replaces it.
+    """
     run_ts = run_ts or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
     out = f"{root.rstrip('/')}/run_ts={run_ts}"
-    df.write.mode("append").json(out)
+    df.write.mode("overwrite").json(out)
     return out
 
 

@@ -65,7 +65,7 @@ def test_nyt_image_fallback(spark):
 
 def test_demo_rows_and_zero_input_kpis(spark):
     d = demo.demo_rows(spark, "2025-01-01 12:00:00")
-    assert d.count() == 20 and d.select("source").distinct().count() == 5
+    assert d.count() == 20 and d.select("source").distinct().count() == len(demo.SOURCES)
     empty = enrich_for_analysis(d.limit(0))
     row = sentiment_kpis(empty).first()
     assert (row.total, row.positive, row.negative, row.neutral, row.pos_rate, row.sentiment_score) == (0, 0, 0, 0, 0.0, 0.0)

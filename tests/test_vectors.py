@@ -48,7 +48,7 @@ def test_incremental_load_matches_sequential_loader(spark):
         if i in table_urls or i in expected:
             expected[i + 1_000_000] = "url_duplicate"
             continue
-        recent = [h for h, at in table_urls.items() if at >= now - dt.timedelta(hours=48)] + inserted_now
+        recent = [h for h, at in table_urls.items() if at > now - dt.timedelta(hours=48)] + inserted_now
         sims = [float(m[pos[i]] @ m[pos[h]]) for h in recent]
         if sims and max(sims) >= vectorq.THRESHOLD:
             hist_hit = any(float(m[pos[i]] @ m[pos[h]]) >= vectorq.THRESHOLD for h in recent if h not in inserted_now)
@@ -98,7 +98,7 @@ def test_streaming_semantic_dedup_matches_daily_loader_walk(spark):
     for day in sorted(days):
         batch = sorted(days[day], key=lambda i: (ts[i], i))
         now = max(ts[i] for i in batch).replace(microsecond=0)
-        recent = [h for h, at in history.items() if at >= now - dt.timedelta(hours=48)]
+        recent = [h for h, at in history.items() if at > now - dt.timedelta(hours=48)]
         accepted = []
         for i in batch:
             hist_hit = any(float(m[pos[i]] @ m[pos[h]]) >= vectorq.THRESHOLD for h in recent)
