@@ -155,10 +155,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text_col:
             at += gap
     if holes:
         queue = positions_by_key(spare, "pool", [F.col("rank"), F.col("row")], key="row")
-        gaps = F.broadcast(_table(spark, "s, lo, hi, first", holes))   # at most one row per shard
-        filled = queue.join(gaps, (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
-        fine = fine.unionByName(filled.select("row", F.col("s").cast("int").alias("shard"),
-                                              (F.col("first") + F.col("pos") - F.col("lo")).alias("slot")))
+        # The place in the queue decides the shard: one branch per shard at most.
+        place = None
+        for s, lo, hi, first in holes:
+            there = F.struct(F.lit(s).alias("shard"), (F.col("pos") - lo + first).alias("slot"))
+            inside = (F.col("pos") >= lo) & (F.col("pos") < hi)
+            place = F.when(inside, there) if place is None else place.when(inside, there)
+        fine = fine.unionByName(queue.select("row", place.alias("p")).select("row", "p.shard", "p.slot"))
     return (nodes.join(fine, "row")
             .select(*out, *law, "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")))
 
