@@ -25,10 +25,11 @@ from newsloom.functions.text import collapse_ws, py_strip
 
 # ---------------------------------------------------------------- fixed values
 JUNK_TAGS = ["script", "style", "noscript", "nav", "aside", "footer", "header", "iframe"]
-# Class or id tokens whose element is junk (ads, consent banners, share/related widgets).
-JUNK_CLASS_PATTERN = (r"ad|ads|adsbygoogle|fc-consent-root|fc-dialog-container|fc-dialog-overlay|"
-                      r"related-articles|article-footer|carousel|carousel-inner|YoutubeOneNews|"
-                      r"[a-z-]*related[a-z-]*|[a-z-]*share[a-z-]*|google_ads[a-z_-]*")
+# Class or id tokens whose element is junk (ads, consent banners, share/related widgets), exact or contained.
+JUNK_CLASS_TOKENS = ["ad", "ads", "adsbygoogle", "fc-consent-root", "fc-dialog-container", "fc-dialog-overlay",
+                     "related-articles", "article-footer", "carousel", "carousel-inner", "YoutubeOneNews"]
+JUNK_CLASS_SUBSTRINGS = ["related", "share", "google_ads"]
+JUNK_CLASS_PATTERN = "|".join([*JUNK_CLASS_TOKENS, *(rf"[a-z_-]*{s}[a-z_-]*" for s in JUNK_CLASS_SUBSTRINGS)])
 JUNK_CLASS_TAGS = ["div", "section", "ins", "span"]
 BLOCK_TAGS = r"div|article|section|main|body|html|h[1-6]|ul|ol|li|table|footer|header|aside|nav|blockquote|form|figure"
 # Paragraph keywords that mark navigation/boilerplate paragraphs (lower-cased match).

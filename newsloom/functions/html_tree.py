@@ -16,12 +16,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.html import JUNK_TAGS, normalize_url
+from newsloom.functions.html import (JUNK_CLASS_SUBSTRINGS, JUNK_CLASS_TOKENS, JUNK_TAGS, get_text, keep_paragraph,
+                                     normalize_url, paragraphs)
+from newsloom.functions.text import collapse_ws, py_strip
 
-# class/id tokens (exact or contained) that mark junk containers.
-JUNK_CLASS_TOKENS = ["ad", "ads", "adsbygoogle", "fc-consent-root", "fc-dialog-container", "fc-dialog-overlay",
-                     "related-articles", "article-footer", "carousel", "carousel-inner", "YoutubeOneNews"]
-JUNK_CLASS_SUBSTRINGS = ["related", "share", "google_ads"]
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
              "track", "wbr"}
 
@@ -107,6 +105,107 @@ def remove_junk_nested(html: Column, tags: Sequence[str] = JUNK_TAGS,
     return strip(html)
 
 
+def _parse_selector(selector: str) -> tuple[str, str, str]:
+    """``tag``, ``tag.class``, ``.class``, ``tag#id`` or ``#id`` as (tag, class, id)."""
+    if "#" in selector:
+        tag, _, ident = selector.partition("#")
+        return tag.lower(), "", ident
+    tag, _, cls = selector.partition(".")
+    return tag.lower(), cls, ""
+
+
+def _inner_elements(html: str, selectors: Sequence[tuple[str, str, str]]) -> list[str]:
+    """Inner HTML of all elements of the first selector that matches any non-blank element (nesting-aware).
+
+    An element inside another match of the same selector belongs to that match.
+    """
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.out: list[str] = []
+            self.open: list[tuple[str, list[int], int]] = []   # tag, selectors it matches, where its content begins
+            self.found: list[list[str]] = [[] for _ in selectors]
+
+        def handle_starttag(self, tag, attrs):
+            have = dict(attrs)
+            classes = (have.get("class") or "").split()
+            hit = [k for k, (t, c, i) in enumerate(selectors)
+                   if t in ("", tag) and (not c or c in classes) and (not i or i == have.get("id"))]
+            self.out.append(self.get_starttag_text() or "")
+            if tag not in VOID_TAGS:
+                inside = {k for _, ks, _ in self.open for k in ks}
+                self.open.append((tag, [k for k in hit if k not in inside], len(self.out)))
+
+        def handle_startendtag(self, tag, attrs):
+            self.out.append(self.get_starttag_text() or "")
+
+        def _close(self):
+            _, hit, at = self.open.pop()
+            for k in hit:
+                self.found[k].append("".join(self.out[at:]))
+
+        def handle_endtag(self, tag):
+            if any(t == tag for t, _, _ in self.open):
+                while self.open[-1][0] != tag:   # unclosed children end with their parent
+                    self._close()
+                self._close()
+            self.out.append(f"</{tag}>")
+
+        def handle_data(self, data):
+            self.out.append(data)
+
+        def handle_entityref(self, name):
+            self.out.append(f"&{name};")
+
+        def handle_charref(self, name):
+            self.out.append(f"&#{name};")
+
+    p = P()
+    p.feed(html)
+    p.close()
+    while p.open:
+        p._close()
+    return next(([x for x in xs if x.strip()] for xs in p.found if any(x.strip() for x in xs)), [])
+
+
+def inner_elements(html: Column, selectors: Sequence[str]) -> Column:
+    """H2/H5: inner HTML of every element of the first selector that matches, in page order."""
+    parsed = [_parse_selector(s) for s in selectors]
+
+    @F.pandas_udf("array<string>")
+    def pick(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda h: [] if h is None else _inner_elements(h, parsed))
+
+    return pick(html)
+
+
+# Fallback order of the article containers (class and id containers of the outlets, then plain tags).
+CONTAINERS = ("div.newsStory", "#articleBody", "div.DetialsNews", "article", "main", "body")
+
+
+def container(html: Column, selectors: Sequence[str] = CONTAINERS) -> Column:
+    """H2: inner HTML of the first container in fallback order, else the whole page."""
+    return F.coalesce(F.try_element_at(inner_elements(html, selectors), F.lit(1)), html)
+
+
+def merged_blocks(html: Column, selectors: Sequence[str] = CONTAINERS) -> Column:
+    """H5: text of every block of the first selector that matches, each cleaned, in page order."""
+    texts = F.transform(inner_elements(remove_junk_nested(html), selectors), lambda b: collapse_ws(get_text(b, " ")))
+    return collapse_ws(F.array_join(F.filter(texts, lambda t: t != ""), " "))
+
+
+def article_text(html: Column, filtered: bool = False, junk_phrases: Sequence[str] = (),
+                 selectors: Sequence[str] = CONTAINERS) -> Column:
+    """H1 -> H2 -> H3 (-> H4), nesting-aware: paragraphs of the article container without junk elements."""
+    paras = paragraphs(container(remove_junk_nested(html), selectors))
+    if filtered:
+        paras = F.filter(paras, lambda p: keep_paragraph(p, junk_phrases=junk_phrases))
+    return py_strip(F.array_join(paras, " "))
+
+
 def resolve_url(href: Column, base: Column) -> Column:
     """I10 with dot segments: RFC 3986 ``urljoin`` for relative hrefs containing './' or '../',
     the native rule for everything else."""

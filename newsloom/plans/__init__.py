@@ -13,6 +13,7 @@ PLAN_MODULES = (
     "newsloom.plans.ingestq",
     "newsloom.plans.modelq",
     "newsloom.plans.streamq",
+    "newsloom.plans.variedq",
 )
 
 

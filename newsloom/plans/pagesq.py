@@ -211,7 +211,9 @@ def b10_exclude_video_pages(spark, sf):
 
 def article_rows(p):
     """Landing page -> article row (title, text, image, date, summary), short pages rejected."""
-    body = T.clean_text_remove_dates(H.paragraph_text(F.col("html"), filtered=True, junk_phrases=T.COOKIE_JUNK_STARTERS))
+    from newsloom.functions import html_tree as HT
+    body = T.clean_text_remove_dates(HT.article_text(F.coalesce("html", F.lit("")), filtered=True,
+                                                     junk_phrases=T.COOKIE_JUNK_STARTERS))
     rows = p.select("page_id", "url", H.title(F.col("html")).alias("title"), body.alias("full_text"),
                     H.image(F.col("html")).alias("image_url"), H.published(F.col("html")).alias("published_date"))
     rows = rows.withColumn("summary", T.lead_summary(F.col("full_text")))
