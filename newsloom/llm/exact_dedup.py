@@ -1,7 +1,9 @@
 """Exact dedup by a content sort.
 
-Rows are range-partitioned on ``(text, id descending)`` with sampled splitters, each range is sorted
-externally, and neighbouring texts are compared in full.  The id is part of the splitter key, so a text
+Rows are range-partitioned on ``(first characters, digest, id descending)`` of their text with sampled
+splitters, each range is sorted externally, which places equal texts next to each other, and neighbouring
+texts are compared in full.  A splitter is a hundred bytes however long the texts are, so the sample that
+Spark takes to the driver stays small.  The id is part of the splitter key, so a text
 that holds a third of all rows is spread over many ranges; runs that cross a range border are closed by
 comparing the last text of a range with the first text of the next one (two rows per range).  No row is
 dropped: the result has one row per input row.
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import drop_ids, load, prepare
 
+HEAD_CHARS = 16   # characters of the text in a splitter
+
 _RUNS = "doc_id long, text_sha256 string, pid int, run long, is_first boolean, edge string, edge_last boolean"
 
 
@@ -72,9 +76,10 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     prepare(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.col("text"), F.col("doc_id").desc_nulls_last()]
+    base = base.withColumn("text_sha256", F.sha2("text", 256)).withColumn("head", F.substring("text", 1, HEAD_CHARS))
+    order = [F.col("head"), F.col("text_sha256"), F.col("doc_id").desc_nulls_last()]
     ranges = base.repartitionByRange(*order).sortWithinPartitions(*order)
-    tagged = (ranges.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    tagged = (ranges.select("doc_id", "text", "text_sha256")
               .mapInArrow(_tag_runs, _RUNS).checkpoint())
 
     # Border rows: at most two per range.
