@@ -32,7 +32,8 @@ SAMPLE_CHARS = 1500    # characters used of each of them
 MAX_FEATURES = 60_000  # most frequent features of the sample
 LEXICON_WORDS = 8_000  # most frequent words of the sample
 SEGMENT = 256          # words of one chain
-MEMO_WORDS = 300_000   # words whose emission scores a worker remembers
+MEMO_WORDS = 150_000   # words whose emission scores a worker remembers
+SLICE_ROWS = 2_000     # texts labelled at once
 UNKNOWN = "und"
 
 
@@ -202,25 +203,40 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return fit([(lang, words) for lang, _, words in samples])
 
 
-_MEMO: dict = {}
+class _Memo:
+    """Emission scores of the words a worker has met."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.index = model, {}
+        self.table = np.zeros((MEMO_WORDS, len(model.langs)), np.float32)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        known = self.index
+        at = np.array([known.get(w, -1) for w in words], np.int64)
+        out = np.empty((len(words), self.table.shape[1]))
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        out[old] = self.table[at[old]]
+        if len(new):
+            fresh = [words[i] for i in new]
+            out[new] = rows = self.model.emissions(fresh)
+            if len(known) + len(fresh) > MEMO_WORDS:
+                known.clear()
+            for w, r in zip(fresh, rows):
+                if len(w) <= 64 and len(known) < MEMO_WORDS:
+                    self.table[len(known)] = r
+                    known[w] = len(known)
+        return out
+
+
+_MEMOS: list[_Memo] = []   # one per worker process
 
 
 def _labeller(model: Model):
     """Posterior language shares of many texts at once."""
     k = len(model.langs)
-
-    def scores_of(words: list[str]) -> np.ndarray:
-        memo = _MEMO.setdefault(id(model), {})
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [w for w in words if w not in memo]
-        if new:
-            memo.update(zip(new, model.emissions(new)))
-        out = np.array([memo[w] for w in words]).reshape(len(words), k)
-        for w in new:
-            if len(w) > 64:
-                del memo[w]
-        return out
+    if not _MEMOS or _MEMOS[0].model is not model:
+        _MEMOS[:] = [_Memo(model)]
+    memo = _MEMOS[0]
 
     def shares(codes: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Summed posteriors per text."""
@@ -234,15 +250,15 @@ def _labeller(model: Model):
         ends = np.minimum(starts + SEGMENT, offsets[1:][owners])
         size = ends - starts
         order = np.argsort(-size, kind="stable")
-        for at in range(0, len(order), 1000):
-            part = order[at:at + 1000]
+        for at in range(0, len(order), 500):
+            part = order[at:at + 500]
             width = int(size[part[0]])
             place = np.minimum(starts[part][:, None] + np.arange(width), len(codes) - 1)
             gamma, _ = forward_backward(table[codes[place]], size[part], model.transitions, model.start)
             np.add.at(out, owners[part], gamma.sum(axis=1))
         return out
 
-    return scores_of, shares
+    return memo.scores, shares
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -259,7 +275,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col
 
         scores_of, shares = _labeller(shared.value)
         langs = np.array([*shared.value.langs, UNKNOWN], dtype=object)
-        for batch in batches:
+        slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+        for batch in slices:
             words = batch.column(1)
             lengths = np.diff(words.offsets.to_numpy())
             coded = words.flatten().dictionary_encode()
