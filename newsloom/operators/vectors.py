@@ -133,6 +133,25 @@ def topk_nearest(df: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def topk_of_queries(queries: DataFrame, df: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "vec",
+                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """D10 for a stated query set: exact top-k rows of ``df`` for every row of ``queries`` (itself left out).
+
+    Each (query block, row block) is one bounded task that emits k rows per query.  A row travels once per
+    query block, so the work is |queries| x |df|, not |df| squared.
+    """
+    nq, nb = _n_blocks(queries, block_rows), _n_blocks(df, block_rows)
+    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.lit(0).alias("_side"),
+                       F.pmod(F.xxhash64(id_col), F.lit(nq)).cast("int").alias("_qb"),
+                       F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_cb"))
+    c = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.lit(1).alias("_side"),
+                  F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("_qb"),
+                  F.pmod(F.xxhash64(id_col), F.lit(nb)).cast("int").alias("_cb"))
+    cand = q.unionByName(c).groupBy("_qb", "_cb").applyInPandas(_query_block_topk(k), TOPK_SCHEMA)
+    w = Window.partitionBy("q").orderBy(F.col("sim").desc(), F.col("c").asc())
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 # -------------------------------------------------- time-windowed neighbours
 
 BEST_SCHEMA = T.StructType([T.StructField("q", T.LongType()), T.StructField("c", T.LongType()),
@@ -409,7 +428,8 @@ def _query_block_topk(k: int):
         s[:, ~okc] = -np.inf
         s[iq[:, None] == ic[None, :]] = -np.inf
         kk = min(k, s.shape[1])
-        idx = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
+        # Similarity first, then the smaller id, so equal vectors at the border are cut the same way everywhere.
+        idx = np.lexsort((np.broadcast_to(ic, s.shape), -s), axis=1)[:, :kk]
         sims = np.take_along_axis(s, idx, axis=1).ravel()
         keep = np.isfinite(sims)
         return pd.DataFrame({"q": np.repeat(iq, kk)[keep], "c": ic[idx].ravel()[keep], "sim": sims[keep]})

@@ -232,8 +232,31 @@ SELECT count(*) AS total,
 FROM f
 """)
 def s33_dashboard_request_kpis(spark, sf):
+    """The KPIs of one request as the reference computes them: over the fetched rows, so after the limit."""
     from newsloom.plans.common import news
     from newsloom.plans.headlines import HeadlineQuery
     q = HeadlineQuery(now="2024-01-20 00:00:00", days=14, limit=200,
                       filters={"sources": ["src1", "src2", "src3", "src4", "src5", "src6"]})
     return dashboard_panels(news(spark, sf), q)["kpis"]
+
+
+@register("s33_unlimited_request_kpis", sql=f"""
+WITH {VIZ_CTE},
+f AS (SELECT * FROM viz WHERE published_ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 14 DAY
+        AND source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6')),
+n AS (SELECT count(*) AS total, count(*) FILTER (WHERE sentiment_lower = 'positive') AS positive,
+             count(*) FILTER (WHERE sentiment_lower = 'negative') AS negative FROM f)
+SELECT total, positive, negative, total - positive - negative AS neutral,
+       round(coalesce(100.0 * positive / nullif(total, 0), 0), 6) AS pos_rate,
+       round(coalesce(100.0 * negative / nullif(total, 0), 0), 6) AS neg_rate,
+       round(coalesce(100.0 * (total - positive - negative) / nullif(total, 0), 0), 6) AS neu_rate,
+       round(coalesce(100.0 * (positive - negative) / nullif(total, 0), 0), 6) AS sentiment_score
+FROM n
+""")
+def s33_unlimited_request_kpis(spark, sf):
+    """The same request without a fetch limit: KPIs over every row that passes the filters."""
+    from newsloom.plans.common import news
+    from newsloom.plans.headlines import HeadlineQuery
+    q = HeadlineQuery(now="2024-01-20 00:00:00", days=14, limit=None,
+                      filters={"sources": ["src1", "src2", "src3", "src4", "src5", "src6"]})
+    return dashboard_panels(news(spark, sf), q)["kpis"]

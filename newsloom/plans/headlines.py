@@ -34,7 +34,7 @@ class HeadlineQuery:
 
     now: str
     days: int = 30
-    limit: int = 5000
+    limit: int | None = 5000   # None: every row that passes the filters
     search: str | None = None
     filters: Mapping[str, Sequence[str]] = field(default_factory=dict)
     sort: str = "newest"
@@ -49,6 +49,8 @@ class HeadlineQuery:
 
     def fetch(self, news: DataFrame) -> DataFrame:
         """newest ``limit`` rows after all filters."""
+        if self.limit is None:
+            return self.frame(news)
         return ranking.global_cap(self.frame(news), sort_order("newest"), self.limit)
 
     def feed_page(self, news: DataFrame, page_no: int, per_page: int) -> DataFrame:

@@ -309,13 +309,49 @@ def s31_processor_run(spark, sf):
                               "20240113_070000").select("url", "source", "sentiment")
 
 
-@register("s32_loader_run")
+LOAD_NOW = "2024-01-27 00:00:00"
+
+
+def _loader_walk_sql():
+    """The loader's row-by-row walk over the news rows: French rows first, then the others, by url."""
+    from newsloom.plans.modelq import EMBED_CTE
+    return f"""
+WITH RECURSIVE {NEWS_CTE}, {EMBED_CTE},
+hist AS (SELECT id, url, id % 20 = 0 AS recent FROM news WHERE id % 10 = 0),
+b1 AS (SELECT id, url, row_number() OVER (ORDER BY language <> 'fr', url) AS seq FROM news WHERE id % 10 <> 0),
+pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM ev a JOIN ev b ON a.cell = b.cell AND a.id <> b.id
+                       GROUP BY a.id, b.id HAVING sum(a.v * b.v) >= 0.85),
+hh AS (SELECT DISTINCT b1.id FROM b1 JOIN pairs p ON p.b = b1.id JOIN hist h ON h.id = p.a AND h.recent),
+b2 AS (SELECT id, row_number() OVER (ORDER BY seq) AS rn FROM b1 WHERE id NOT IN (SELECT id FROM hh)),
+walk(rn, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.rn + 1, CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.b = o.id AND list_contains(w.kept, p.a))
+                        THEN w.kept ELSE list_append(w.kept, o.id) END
+  FROM walk w JOIN b2 o ON o.rn = w.rn + 1),
+final AS (SELECT kept FROM walk ORDER BY rn DESC LIMIT 1),
+mx AS (SELECT coalesce(max(id), 0) AS m FROM hist)
+SELECT news.url, CASE WHEN list_contains(f.kept, news.id) THEN 'inserted' WHEN news.id IN (SELECT id FROM hh) THEN 'semantic_history'
+                      WHEN news.id IN (SELECT id FROM b1) THEN 'semantic_batch' ELSE 'url_duplicate' END AS decision,
+       CASE WHEN list_contains(f.kept, news.id) THEN mx.m + list_position(f.kept, news.id) END AS new_id
+FROM news, final f, mx
+"""
+
+
+@register("s32_loader_run", sql=_loader_walk_sql())
 def s32_loader_run(spark, sf):
-    """Rows-only: processed rows -> embedding -> incremental semantic load against an empty table."""
+    """Processed rows -> embedding -> incremental semantic load against a table that holds every tenth row.
+
+    Half of the history is inside the 48 h window, half is older, so all four decisions occur.
+    """
+    from newsloom.operators import enrich
     from newsloom.plans import jobs
     n = news(spark, sf)
     processed = n.select("source", "language", "category", "title", "url", "summary", "full_text")
-    history = spark.createDataFrame([], "id long, url string, vec array<float>, inserted_at timestamp")
+    now = F.to_timestamp(F.lit(LOAD_NOW))
+    held = enrich.embed_articles(n.filter(F.col("id") % 10 == 0), out="vec")
+    history = held.select("id", "url", "vec", F.when(F.col("id") % 20 == 0, now - F.expr("INTERVAL 10 HOURS"))
+                          .otherwise(now - F.expr("INTERVAL 100 HOURS")).alias("inserted_at")).checkpoint(eager=True)
     out = jobs.loader_run(spark, processed.filter(F.col("language") == "fr"), processed.filter(F.col("language") != "fr"),
-                          history, "2024-01-27 00:00:00", threshold=0.85)
+                          history, LOAD_NOW, threshold=0.85)
     return out.select("url", "decision", "new_id")

@@ -58,6 +58,19 @@ def d10_topk_nearest_vectors(spark, sf):
     return out.select("q", "c", F.round("sim", 6).alias("sim"), "rank")
 
 
+@register("d10_topk_of_query_set", sql=f"""
+WITH {VEC_CTE},
+s AS (SELECT a.id AS q, b.id AS c, {cos_sql('a', 'b')} AS sim FROM v a JOIN v b ON a.id <> b.id AND a.id % 100 = 0),
+r AS (SELECT q, c, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS rank FROM s)
+SELECT q, c, round(sim, 6) AS sim, rank FROM r WHERE rank <= 5
+""")
+def d10_topk_of_query_set(spark, sf):
+    """A stated query set (ids divisible by 100) against all rows."""
+    v = vecs(spark, sf)
+    out = vectors.topk_of_queries(v.filter(F.col("id") % 100 == 0), v, k=5, block_rows=256)
+    return out.select("q", "c", F.round("sim", 6).alias("sim"), "rank")
+
+
 @register("c3_window_nearest_neighbour", sql=f"""
 WITH {VEC_CTE},
 s AS (SELECT a.id AS q, b.id AS c, {cos_sql('a', 'b')} AS sim FROM v a JOIN v b
@@ -178,10 +191,33 @@ def d13_incremental_semantic_dedup(spark, sf):
                                    order_col="seq", block_rows=256)
 
 
-@register("d12_news_highlights_by_sentiment")
+def _news_highlights_sql():
+    from newsloom.plans.modelq import EMBED_CTE
+    from newsloom.plans.registry import NEWS_CTE
+    # The walk stops at five kept rows, so the newest 60 of a sentiment are replayed.
+    return f"""
+WITH RECURSIVE {NEWS_CTE}, {EMBED_CTE},
+r AS (SELECT * FROM (SELECT id, lower(sentiment) AS g, row_number() OVER (PARTITION BY lower(sentiment) ORDER BY published_ts DESC, id) AS rn
+                     FROM news) WHERE rn <= 60),
+rv AS (SELECT r.g, r.id, ev.cell, ev.v FROM r JOIN ev USING (id)),
+pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM rv a JOIN rv b ON a.g = b.g AND a.cell = b.cell AND a.id <> b.id
+                       GROUP BY a.id, b.id HAVING sum(a.v * b.v) > 0.85),
+walk(g, rn, kept) AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM r
+  UNION ALL
+  SELECT w.g, w.rn + 1,
+         CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.b = x.id AND list_contains(w.kept, p.a))
+              THEN w.kept ELSE list_append(w.kept, x.id) END
+  FROM walk w JOIN r x ON x.g = w.g AND x.rn = w.rn + 1),
+final AS (SELECT g, arg_max(kept, rn) AS kept FROM walk GROUP BY g)
+SELECT g AS sentiment, unnest(list_slice(kept, 1, 5)) AS id, unnest(range(1, len(list_slice(kept, 1, 5)) + 1)) AS rank FROM final
+"""
+
+
+@register("d12_news_highlights_by_sentiment", sql=_news_highlights_sql())
 def d12_news_highlights_by_sentiment(spark, sf):
-    """Rows-only: the dashboard's use of D12 — newest five per sentiment over news rows, skipping any
-    whose embedding (K5 stand-in encoder on title + summary) has cosine > 0.85 to a chosen one."""
+    """The dashboard's use of D12 — newest five per sentiment over news rows, skipping any whose
+    embedding (K5 stand-in encoder on title + summary) has cosine > 0.85 to a chosen one."""
     from newsloom.operators import enrich
     from newsloom.plans.common import news
     n = news(spark, sf).select("id", "title", "summary", F.lower("sentiment").alias("sentiment"), "published_ts")
