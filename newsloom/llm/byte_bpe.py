@@ -17,6 +17,7 @@ encoded like any other row; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from itertools import islice
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import load, prepare
 
 MAX_VOCABULARY_BYTES = 64 << 20   # broadcast bound
-MEMO_PIECES, MEMO_PAIRS = 300_000, 1_000_000   # memo sizes of one worker; a full memo starts anew
+# Memo sizes of one worker.  Pieces are kept in two generations of this size: when the young one is full it
+# becomes the old one, so frequent pieces stay; a full pair memo starts anew.
+MEMO_PIECES, MEMO_PAIRS = 250_000, 1_000_000
 LONG_TEXT = 1 << 20   # texts above this many characters are split into pieces lazily
 
 
@@ -51,25 +54,54 @@ class Encoder:
         self.automaton.make_automaton()
         self.window = max(map(len, ranks), default=1)
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
+        self.split: dict[int, tuple[int, int]] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """Plain BPE of a short string: merge the neighbours of lowest rank, leftmost first."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+    def parts_of(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes ``token`` (a single byte: itself twice)."""
+        parts = self.split.get(token)
+        if parts is None:
+            data = self.token[token]
+            pieces = [data[i:i + 1] for i in range(len(data))]
+            while len(pieces) > 2:   # merge the neighbours of lowest rank, leftmost first
+                at = min(range(len(pieces) - 1), key=lambda i: self.ranks.get(pieces[i] + pieces[i + 1], 1 << 60))
+                pieces[at:at + 2] = [pieces[at] + pieces[at + 1]]
+            parts = (token, token) if len(pieces) < 2 else (self.ranks[pieces[0]], self.ranks[pieces[1]])
+            self.split[token] = parts
+        return parts
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= MEMO_PAIRS:
-                self.fits.clear()
-            known = self.fits[left, right] = self.merge(self.token[left] + self.token[right]) == [left, right]
+        """Whether BPE keeps the border between two neighbouring tokens.
+
+        The tokens are taken apart in the reverse order of their merges; the border goes if, at some moment,
+        the two parts that touch it would have been merged before the merge that is being undone.
+        """
+        pair = (left, right)
+        known = self.fits.get(pair)
+        if known is not None:
+            return known
+        token, ranks, split = self.token, self.ranks, self.parts_of
+        before, known = 1 << 60, True
+        while True:
+            joined = ranks.get(token[left] + token[right])
+            if joined is not None and joined < before:
+                known = False
+                break
+            # Undo the later of the two merges; a part that is a single byte can't be undone.
+            undo_left = left > right
+            if len(token[left if undo_left else right]) == 1:
+                undo_left = not undo_left
+                if len(token[left if undo_left else right]) == 1:
+                    break
+            if undo_left:
+                before, left = left, split(left)[1]
+            else:   # the merge on the right came after an equal one on the left
+                before, right = right + 1, split(right)[0]
+        if len(self.fits) >= MEMO_PAIRS:
+            self.fits.clear()
+        self.fits[pair] = known
         return known
 
     def next_shorter(self, token: int) -> int | None:
@@ -110,22 +142,27 @@ class Encoder:
                 at -= len(self.token[token])
 
     def _packed(self, piece: str) -> bytes:
-        ids = self.encode_piece(piece.encode("utf-8"))
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        packed = self.old_pieces.get(piece)
+        if packed is None:
+            ids = self.encode_piece(piece.encode("utf-8"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self.pieces) >= MEMO_PIECES:
-                self.pieces.clear()
             self.pieces[piece] = packed
         return packed
 
+    def _pack_all(self, pieces: list[str]) -> bytes:
+        if len(self.pieces) >= MEMO_PIECES:
+            self.old_pieces, self.pieces = self.pieces, {}
+        known, packed = self.pieces.get, self._packed
+        return b"".join([known(p) or packed(p) for p in pieces])
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        known, packed = self.pieces.get, self._packed
         if len(text) <= LONG_TEXT:
-            return b"".join([known(p) or packed(p) for p in self.pattern.findall(text)])
+            return self._pack_all(self.pattern.findall(text))
         found, out = self.pattern.finditer(text), []
         while block := [m.group() for m in islice(found, 100_000)]:
-            out.append(b"".join([known(p) or packed(p) for p in block]))
+            out.append(self._pack_all(block))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
