@@ -299,12 +299,38 @@ def c9_card_page_fallback(spark, sf):
     return cards.join(pg, "url", "left").select("url", F.coalesce(F.nullif("image", F.lit("")), F.col("page_image")).alias("image"))
 
 
-@register("s31_processor_run")
+def _processor_walk_sql():
+    """Newest run per outlet, greedy walk over title + summary in path order, then the offline model's label."""
+    from newsloom.plans.modelq import NEG_SQL, POS_SQL
+    from newsloom.plans.textdedup import GREEDY_WALK_SQL
+    sig = f"""{NEWS_CTE},
+runs AS (SELECT *, published_ts >= TIMESTAMP '{RUN_SPLIT}' AS late FROM news),
+latest AS (SELECT language, source, bool_or(late) AS late FROM runs GROUP BY language, source),
+picked AS (SELECT r.*, row_number() OVER (ORDER BY r.language || '/outlet_dir=' || r.source || '/', r.id) AS seq
+           FROM runs r JOIN latest USING (language, source, late)),
+sig AS (SELECT seq AS doc_id, coalesce(title, '') || ' ' || coalesce(summary, '') AS text FROM picked),"""
+    walk = GREEDY_WALK_SQL.replace("FROM documents", "FROM sig").replace("WITH RECURSIVE", f"WITH RECURSIVE {sig}", 1)
+    head, tail = walk.rsplit("SELECT c.doc_id", 1)
+    return head.rstrip() + f""",
+decided AS (SELECT c.doc_id{tail}),
+body AS (SELECT p.url, p.source, coalesce(nullif(full_text, ''), nullif(summary, '')) AS src FROM picked p
+         JOIN decided d ON d.doc_id = p.seq WHERE d.kept),
+lex AS (SELECT url, source, regexp_extract_all(lower(CASE WHEN length(src) > 1500
+           THEN substr(src, 1, 1000) || chr(10) || '... [middle removed] ...' || chr(10) || substr(src, length(src) - 499)
+           ELSE coalesce(src, '') END), '[\\p{{L}}\\p{{N}}_]+') AS t FROM body),
+score AS (SELECT url, source, len(list_filter(t, lambda w: w IN ({POS_SQL}))) - len(list_filter(t, lambda w: w IN ({NEG_SQL}))) AS s FROM lex)
+SELECT url, source, CASE WHEN s > 0 THEN 'Positive' WHEN s < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM score
+"""
+
+
+@register("s31_processor_run", sql=_processor_walk_sql())
 def s31_processor_run(spark, sf):
-    """Rows-only: the raw -> processed lifecycle over the landed news rows (English signature)."""
+    """The raw -> processed lifecycle over the landed news rows (English signature)."""
     from newsloom.plans import jobs
     root = files.scratch_dir(spark, "proc")
-    raw_articles(spark, sf).write.partitionBy("lang_dir", "outlet_dir", "run_ts").json(f"{root}/landing")
+    # Each outlet's file holds its rows by id, which is their order of arrival.
+    landing = raw_articles(spark, sf).sortWithinPartitions("lang_dir", "outlet_dir", "run_ts", "id")
+    landing.write.partitionBy("lang_dir", "outlet_dir", "run_ts").json(f"{root}/landing")
     return jobs.processor_run(spark, f"{root}/landing", f"{root}/seen", f"{root}/processed", "en",
                               "20240113_070000").select("url", "source", "sentiment")
 
