@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import drop_ids, load, prepare, words_of
+from newsloom.llm.common import drop_ids, hot_lookup, load, prepare, words_of
 from newsloom.llm.components import components
 
 WORDS = 5              # words of a shingle
@@ -299,10 +299,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     smallest = labels.join(nodes, "node").groupBy("label").agg(F.min("rep").alias("class_id"))
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = labels.join(smallest, "label").join(counts, "node").select("node", "class_id", "n_links")
-    # Only nodes with copies or links are looked up; AQE splits the rows of a node with very many copies.
+    # Only nodes with copies or links are looked up.
     info = (nodes.join(linked, "node", "left").filter("n_copies > 1 OR n_links IS NOT NULL")
-            .select("node", F.coalesce("class_id", "rep").alias("class_id"), "n_links", "n_copies"))
-    return (signed.select("doc_id", "node").join(info, "node", "left")
+            .select("node", F.coalesce("class_id", "rep").alias("class_id"), "n_links", "n_copies").checkpoint())
+    worded = signed.filter("node IS NOT NULL").select("doc_id", "node")
+    wordless = signed.filter("node IS NULL").select("doc_id", "node")
+    found = hot_lookup(worded, info, "node", "n_copies", signed.count()).select("doc_id", "node", "class_id", "n_links", "n_copies")
+    return (found.unionByName(wordless, allowMissingColumns=True)
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")))
