@@ -378,17 +378,44 @@ def _nearest_cells(centroids, nprobe: int):
     return cells
 
 
-def ivf_topk(df: DataFrame, k: int = 5, lists: int = 16, nprobe: int = 4, id_col: str = "id",
-             vec_col: str = "vec", seed: int = 7, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+PROBE_SAMPLE = 128   # queries whose exact neighbours decide the number of probed cells
+
+
+def probes_for_recall(assigned: DataFrame, centroids: list, k: int, recall: float, sample: int = PROBE_SAMPLE,
+                      block_rows: int = DEFAULT_BLOCK_ROWS) -> int:
+    """The number of cells to probe so that ``recall`` of the exact top-k of a query sample lie in them.
+
+    The sample is hash-picked and bounded; its exact neighbours come from one pass over all rows, and for each
+    of them it is enough to know how far down the query's list of nearest cells its own cell stands.
+    """
+    queries = assigned.orderBy(F.xxhash64("id", F.lit(31)), "id").limit(sample).select("id", "vec")
+    exact = topk_of_queries(queries, assigned, k, block_rows=block_rows).select("q", "c")
+    order = queries.select(F.col("id").alias("q"), _nearest_cells(centroids, len(centroids))(F.col("vec")).alias("cells"))
+    ranks = (exact.join(order, "q").join(assigned.select(F.col("id").alias("c"), "cell"), "c")
+             .select(F.array_position("cells", F.col("cell").cast("int")).alias("r")))
+    found = sorted(r.r for r in ranks.collect())   # at most sample x k numbers
+    return int(found[min(len(found) - 1, math.ceil(recall * len(found)) - 1)]) if found else 1
+
+
+def ivf_topk(df: DataFrame, k: int = 5, lists: int | None = None, nprobe: int | None = None, id_col: str = "id",
+             vec_col: str = "vec", seed: int = 7, block_rows: int = DEFAULT_BLOCK_ROWS, recall: float = 0.95) -> DataFrame:
     """Approximate top-k: probe the ``nprobe`` nearest cells, verify exactly inside them.
 
-    The centroid matrix (``lists`` x d, a fixed bound) travels in the probing
-    UDF's closure.  Verification is blocked per cell (query blocks x member
+    ``lists`` defaults to the square root of the row count and ``nprobe`` to what ``recall`` needs on a sample.
+
+    The centroid matrix (``lists`` x d, so the square root of the rows) travels
+    in the probing UDF's closure.  Verification is blocked per cell (query blocks x member
     blocks), so a cell holding a third of all vectors is spread over many
     bounded tasks and only top-k rows per query leave each task.
     """
+    if lists is None:
+        lists = max(1, math.isqrt(df.count()))
     model, assigned = ivf_index(df, lists, id_col, vec_col, seed)
     centroids = [[float(x) for x in c] for c in model.clusterCenters()]
+    if nprobe is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        assigned = assigned.checkpoint(eager=True)
+        nprobe = probes_for_recall(assigned, centroids, k, recall, block_rows=block_rows)
     probe = assigned.select(F.col("id").alias("q"), F.col("vec").alias("qv"),
                             F.explode(_nearest_cells(centroids, nprobe)(F.col("vec"))).alias("cell"))
     # Per cell: members and probing queries are split into blocks of <= block_rows; each
