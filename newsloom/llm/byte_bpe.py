@@ -29,7 +29,7 @@ from newsloom.llm.common import load, prepare
 MAX_VOCABULARY_BYTES = 64 << 20   # broadcast bound
 # Memo sizes of one worker.  Pieces are kept in two generations of this size: when the young one is full it
 # becomes the old one, so frequent pieces stay; a full pair memo starts anew.
-MEMO_PIECES, MEMO_PAIRS = 250_000, 1_000_000
+MEMO_PIECES, MEMO_PAIRS = 120_000, 200_000
 LONG_TEXT = 1 << 20   # texts above this many characters are split into pieces lazily
 
 
@@ -166,9 +166,14 @@ class Encoder:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        import numpy as np
+        return decode_ids(self.token, ids)
 
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def decode_ids(token: dict[int, bytes], ids: bytes) -> bytes:
+    """The bytes that packed ids stand for."""
+    import numpy as np
+
+    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}   # one per worker process and vocabulary
@@ -206,16 +211,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``(doc_id, ids, decoded)``: the bytes that the ids stand for."""
     vocabulary = _vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = _encoder(vocabulary.value, pattern)
+        token = {rank: token for token, rank in parse_ranks(vocabulary.value).items()}
         for batch in batches:
-            out = pa.array([encoder.decode(i.as_py()) for i in batch.column(1)], pa.binary())
+            out = pa.array([decode_ids(token, i.as_py()) for i in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
@@ -226,7 +231,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return decode(encode(docs, path, pattern), path, pattern).select(
+    return decode(encode(docs, path, pattern), path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

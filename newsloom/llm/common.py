@@ -12,9 +12,17 @@ from newsloom.sources.tables import table
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
+# Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by its Python worker.
+ARROW_ROWS = 1000
+_ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """The shared checkpoint folder is set and the package importable in Python workers."""
+    """The shared checkpoint folder is set, Arrow batches are small, and workers can import the package."""
     ensure_checkpoint_dir(spark)
+    rows = int(spark.conf.get(_ARROW_ROWS_KEY, "0"))
+    if not 0 < rows <= ARROW_ROWS:
+        spark.conf.set(_ARROW_ROWS_KEY, str(ARROW_ROWS))
     ship_package(spark)
 
 

@@ -32,8 +32,8 @@ SAMPLE_CHARS = 1500    # characters used of each of them
 MAX_FEATURES = 60_000  # most frequent features of the sample
 LEXICON_WORDS = 8_000  # most frequent words of the sample
 SEGMENT = 256          # words of one chain
-MEMO_WORDS = 150_000   # words whose emission scores a worker remembers
-SLICE_ROWS = 2_000     # texts labelled at once
+MEMO_WORDS = 100_000   # words whose emission scores a worker remembers
+SLICE_ROWS = 1_000     # texts labelled at once
 UNKNOWN = "und"
 
 
