@@ -5,8 +5,9 @@ substituted word under a zero does not hide a match.  Seeds of the benchmark ite
 seeds at every word position of every document.  A hit fixes how the item lies over the document; the
 words on that diagonal are then compared one by one.  A document is contaminated when some stretch of
 ``WINDOW`` words of an item (the whole item if it is shorter) lies in it with at least ``MIN_MATCH`` of
-the words equal.  The masks lose nothing: every way to place two substitutions in 13 words leaves a seed
-whole (checked in the tests).
+the words equal.  The masks lose nothing for these values: every way to place two substitutions in 12 or 13
+words leaves a seed whole, and shorter items have masks by their length (``SHORT_MASKS``) that survive every
+way to place the one or two substitutions which ``MIN_MATCH`` allows them (checked in the tests).
 
 While the benchmark has at most ``BROADCAST_SEEDS`` seeds, they are broadcast and documents are scanned
 in one pass without a shuffle of words; a larger benchmark is joined by shuffling seed hashes, and only the
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import drop_ids, load, prepare, words_of
 
 MASKS = ("11001011", "11010011")
+SHORT_MASKS = {5: ("1111", "10111", "11011", "11101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11111", "110111"),
+               9: ("110111",), 10: ("11001011", "11010011", "110111"), 11: ("11001011", "11010011", "110111")}
+LONG_ITEM = 12                # items of so many words use MASKS
 WINDOW = 13
 MIN_MATCH = 0.8
 MIN_WORDS = 5
@@ -44,19 +48,26 @@ def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str
             .groupBy("item_key", "item_words").agg(F.min("item_id").alias("item_id")))
 
 
-def _masks_for(items: DataFrame, masks: tuple[str, ...]) -> list[str]:
-    """The masks, and whole-item masks for the lengths of items that are shorter than a mask."""
-    span = max(map(len, masks))
-    short = items.filter(F.size("item_words") < span).select(F.size("item_words").alias("n")).distinct().collect()
-    return [*masks, *("1" * n for n in sorted(r["n"] for r in short))]   # at most span - MIN_WORDS of them
+def _masks_for(items: DataFrame, masks: tuple[str, ...]) -> dict[str, F.Column]:
+    """The masks in use, each with the condition on the length of the items that it is for."""
+    n = F.size("item_words")
+    short = items.filter(n < LONG_ITEM).select(n.alias("n")).distinct().collect()   # one row per length at most
+    lengths: dict[str, list[int]] = {m: [] for m in masks}
+    for r in sorted(short):
+        for m in SHORT_MASKS[r["n"]]:
+            lengths.setdefault(m, []).append(r["n"])
+    return {m: n.isin(own) | ((n >= LONG_ITEM) & F.lit(m in masks)) for m, own in lengths.items()}
 
 
-def _with_seeds(df: DataFrame, words: str, masks: list[str], kept: list[str]) -> DataFrame:
-    """One row per word position and mask: ``kept`` columns, ``at`` and ``key``."""
+def _with_seeds(df: DataFrame, words: str, masks: list[str], kept: list[str],
+                uses: dict[str, F.Column] | None = None) -> DataFrame:
+    """One row per word position and mask (whose ``uses`` holds): ``kept`` columns, ``at`` and ``key``."""
     last = F.size(words) - min(map(len, masks))
     at = df.withColumn("at", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
-    keys = [F.when(F.col("at") + len(m) <= F.size(words), _seed(F.col(words), F.col("at"), i, m))
-            for i, m in enumerate(masks)]
+    keys = []
+    for i, m in enumerate(masks):
+        fits = F.col("at") + len(m) <= F.size(words)
+        keys.append(F.when(fits & uses[m] if uses else fits, _seed(F.col(words), F.col("at"), i, m)))
     return at.select(*kept, "at", F.explode(F.array(*keys)).alias("key")).filter("key IS NOT NULL")
 
 
@@ -70,8 +81,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = M
     """
     prepare(docs.sparkSession)
     items = benchmark_items(benchmark).checkpoint()
-    all_masks = _masks_for(items, masks)
-    seeds = (_with_seeds(items, "item_words", all_masks, ["item_key", "item_words"])
+    uses = _masks_for(items, masks)
+    all_masks = list(uses)
+    seeds = (_with_seeds(items, "item_words", all_masks, ["item_key", "item_words"], uses)
              .select("key", "item_key", F.col("at").alias("item_at"), F.size("item_words").alias("n_item")))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     worded = texts.select("doc_id", words_of(F.col("text")).alias("words"))

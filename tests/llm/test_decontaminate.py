@@ -69,6 +69,32 @@ def test_against_brute_force(spark, seeds):
     assert got <= want
 
 
+def test_short_masks_survive_every_allowed_substitution():
+    for n in range(D.MIN_WORDS, D.WINDOW + 1):
+        masks = D.MASKS if n >= D.LONG_ITEM else D.SHORT_MASKS[n]
+        offsets = [[s + k for k, c in enumerate(m) if c == "1"] for m in masks for s in range(n - len(m) + 1)]
+        for bad in combinations(range(n), n - math.ceil(n * D.MIN_MATCH)):
+            assert any(not set(bad) & set(o) for o in offsets), (n, bad)
+
+
+@pytest.mark.parametrize("seeds", [D.BROADCAST_SEEDS, 0])
+def test_short_items_against_brute_force(spark, seeds):
+    """Every allowed substitution of an item of 5 to 13 words, and one substitution too many."""
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(D.MIN_WORDS, D.WINDOW + 1)]
+    docs = []
+    for n, text in items:
+        allowed = n - math.ceil(n * D.MIN_MATCH)
+        for bad in [*combinations(range(n), allowed), *combinations(range(n), allowed + 1)]:
+            changed = ["changed" if k in bad else w for k, w in enumerate(words(text))]
+            docs += [(len(docs), " ".join(changed)), (len(docs) + 1, " ".join(["before", *changed, "after"]))]
+    docs += [(len(docs), " ".join(w for _, t in items for w in words(t)[1:]))]
+    found = D.find_leaks(documents(spark, docs), benchmark(spark, items), broadcast_seeds=seeds).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == brute(docs, items)
+    random_docs, random_items = make(5)
+    found = D.find_leaks(documents(spark, random_docs), benchmark(spark, random_items), broadcast_seeds=seeds).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == brute(random_docs, random_items)
+
+
 def test_keep_clean(spark):
     docs, items = make(3)
     df = documents(spark, docs + [(900, None), (901, ""), (None, "nothing here")])
