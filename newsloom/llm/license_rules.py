@@ -2,8 +2,9 @@
 
 A rule is ``label | priority | confidence | keyword | pattern``.  Patterns run over the words of a text,
 lower-cased and joined by single blanks ("2.0" is "2 0"), and match whole words only.  A rule is tried
-only where its keyword occurs.  Lower priority numbers win: 1 verbatim license text, 2 notices and names
-with a version, 3 identifiers and names without a version, 4 hints.
+only where its keyword occurs, so every match of the pattern has to contain the keyword.  Lower priority
+numbers win: 1 verbatim license text, 2 notices and names with a version, 3 identifiers and names without a
+version, 4 hints.
 """
 
 from __future__ import annotations
@@ -50,12 +51,12 @@ bsd-4-clause | 2 | 0.9 | bsd | (?:4 clause|original) bsd(?: license| licence)?
 bsd-3-clause | 3 | 0.9 | bsd 3 clause | bsd 3 clause
 bsd-2-clause | 3 | 0.9 | bsd 2 clause | bsd 2 clause
 0bsd | 2 | 0.9 | zero clause bsd | zero clause bsd
-bsd | 3 | 0.7 | bsd license | bsd(?: style)? license
+bsd | 3 | 0.7 | bsd | bsd(?: style)? license
 bsd | 3 | 0.6 | bsd style | bsd style
 isc | 1 | 0.95 | permission to use copy modify | permission to use copy modify and or distribute this software for any purpose with or without fee
 isc | 2 | 0.85 | isc license | (?:the )?isc license
 zlib | 1 | 0.95 | altered source versions | altered source versions must be plainly marked as such
-zlib | 2 | 0.85 | zlib license | zlib(?: libpng)? license
+zlib | 2 | 0.85 | zlib | zlib(?: libpng)? license
 libpng | 2 | 0.85 | libpng license | libpng license
 unlicense | 1 | 0.95 | unencumbered software | this is free and unencumbered software released into the public domain
 unlicense | 2 | 0.85 | the unlicense | the unlicense
@@ -120,7 +121,7 @@ ofl-1.1 | 3 | 0.8 | open font license | open font license
 ms-pl | 2 | 0.9 | microsoft public license | microsoft public license
 ms-rl | 2 | 0.9 | microsoft reciprocal license | microsoft reciprocal license
 ncsa | 2 | 0.9 | ncsa open source license | (?:university of illinois )?ncsa open source license
-postgresql | 2 | 0.9 | postgresql license | postgresql licen[cs]e
+postgresql | 2 | 0.9 | postgresql | postgresql licen[cs]e
 openssl | 2 | 0.9 | openssl license | openssl license
 openssl | 1 | 0.9 | openssl project | this product includes software developed by the openssl project
 ssleay | 2 | 0.9 | ssleay license | original ssleay license
@@ -142,7 +143,7 @@ osl | 3 | 0.8 | open software license | open software license
 ecl-2.0 | 2 | 0.9 | educational community license | educational community license(?:{_VER} 2(?: 0)?)?
 rpl-1.5 | 2 | 0.9 | reciprocal public license | reciprocal public license(?:{_VER} 1 5)?
 qpl-1.0 | 2 | 0.9 | q public license | q public license(?:{_VER} 1(?: 0)?)?
-sleepycat | 2 | 0.9 | sleepycat license | sleepycat(?: software)? license
+sleepycat | 2 | 0.9 | sleepycat | sleepycat(?: software)? license
 upl-1.0 | 2 | 0.9 | universal permissive license | universal permissive license(?:{_VER} 1(?: 0)?)?
 sspl-1.0 | 2 | 0.9 | server side public license | server side public license(?:{_VER} 1(?: 0)?)?
 busl-1.1 | 2 | 0.9 | business source license | business source license(?:{_VER} 1 1)?
@@ -156,7 +157,7 @@ cdla-permissive-2.0 | 2 | 0.9 | community data license agreement | community dat
 cdla-sharing-1.0 | 2 | 0.9 | community data license agreement | community data license agreement sharing(?:{_VER} 1(?: 0)?)?
 ogl-3.0 | 2 | 0.9 | open government licence | open government licence{_VER} 3(?: 0)?
 ogl | 3 | 0.8 | open government licence | open government licence
-openrail-m | 2 | 0.9 | openrail | (?:creativeml )?open ?rail m(?: license)?
+openrail-m | 2 | 0.9 | rail m | (?:creativeml )?open ?rail m(?: license)?
 llama-community | 2 | 0.9 | community license agreement | llama(?: [0-9]+)* community license agreement
 beerware | 2 | 0.9 | beer ware license | the beer ware license
 curl | 3 | 0.7 | curl license | curl license

@@ -1,5 +1,7 @@
+import itertools
 import random
 import re
+from re import _constants, _parser
 
 from newsloom.llm import license_scan as S
 from newsloom.llm.license_rules import BASE_PHRASES, all_rules
@@ -66,6 +68,53 @@ def test_gates_change_nothing():
                 assert r.keyword in line, (r, t)
 
 
+def expand(parsed):
+    """Strings that a parsed rule pattern matches: all branches, fewest and most (at most 3) repeats."""
+    parts = []
+    for op, arg in parsed:
+        if op is _constants.LITERAL:
+            parts.append({chr(arg)})
+        elif op is _constants.NOT_LITERAL:
+            parts.append({"x"})
+        elif op is _constants.IN:
+            if arg[0][0] is _constants.NEGATE:
+                parts.append({"x"})
+            else:
+                parts.append({chr(v if o is _constants.LITERAL else v[0]) for o, v in arg})
+        elif op is _constants.SUBPATTERN:
+            parts.append(set(expand(arg[3])))
+        elif op is _constants.BRANCH:
+            parts.append({s for branch in arg[1] for s in expand(branch)})
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT):
+            low, high, inner = arg
+            inner = sorted(expand(inner))
+            parts.append({"".join(p) for n in {low, min(high, max(low, 3))} for p in itertools.product(inner, repeat=n)})
+        else:
+            raise AssertionError(op)
+    return ["".join(p) for p in itertools.product(*map(sorted, parts))]
+
+
+def test_every_match_passes_its_gate():
+    """Strings expanded from each rule's pattern contain its keyword."""
+    rules = all_rules()
+    for r, p in zip(rules, S.Scanner(rules).patterns):
+        strings = expand(_parser.parse(r.pattern))
+        assert strings
+        for s in strings:
+            if p.fullmatch(s):
+                assert r.keyword in s, (r, s)
+        assert any(p.fullmatch(s) for s in strings), r
+
+
+def test_names_behind_wider_gates():
+    scan = S.Scanner(all_rules()).scan
+    assert scan("CreativeML Open RAIL-M")[5] == "openrail-m"
+    assert scan("CreativeML OpenRAIL-M license")[5] == "openrail-m"
+    assert scan("PostgreSQL Licence")[5] == "postgresql"
+    assert scan("Sleepycat Software License")[5] == "sleepycat"
+    assert scan("the zlib/libpng License")[5] == "zlib"
+
+
 def test_suppression_against_brute_force():
     random.seed(1)
     for _ in range(1500):
