@@ -7,6 +7,10 @@ blocks and successive blocks of one parent are tied by edges whose capacity fall
 the element tree.  The maximum flow separates article from boilerplate, and the article's blocks are joined
 in page order.
 
+Boilerplate words in a class or id mark what lies below them, but not on ``html``, ``body``, ``main`` and
+outermost ``article`` elements and not on elements around the page's article (the ``article`` element with
+most text, or else the ``main`` element with most text): those hold the article itself.
+
 Defined cases: a null or empty page, and a page without an article block, give an empty text; broken
 markup (unclosed or stray tags, cut-off pages, unknown entities) is read as browsers do: what opens ends
 with its parent; repeated rows and null urls pass through; an empty table gives an empty result; other
@@ -27,8 +31,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import load, prepare
 
 # Elements whose content is never text of the page.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "canvas",
-       "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "select", "canvas", "audio", "video",
+       "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # Elements that begin and end blocks.
 BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div",
@@ -48,9 +52,11 @@ search pagination pager widget widgets copyright legal toolbar tags skip paywall
 ARTICLE_TAGS = {"article", "main"}
 ARTICLE_WORDS = set("article story entry post content articlebody storybody main".split())
 HEADER = "header"
+# Elements that hold a page or an article: boilerplate words on them say what else they hold.
+WHOLE_TAGS = {"html", "body", "main"}
 
 # Log-odds of the block classifier.
-W_START, W_ARTICLE, W_CONTAINER, W_BOILER, W_OUTSIDE = -1.0, 5.0, 2.0, -12.0, -3.0
+W_START, W_ARTICLE, W_CONTAINER, W_BOILER, W_OUTSIDE = -1.0, 5.0, 2.0, -9.0, -3.0
 W_WORD, MAX_WORDS, W_SENTENCE, MAX_SENTENCES, W_LINKS, W_HEADING = 0.1, 30, 0.4, 4, -4.0, 0.5
 SMOOTH, SMOOTH_SIBLING = 1.0, 0.5    # capacity between neighbours and between successive blocks of one parent
 SCALE = 1000                         # capacities are whole numbers
@@ -84,8 +90,10 @@ def _attribute_words(attributes: str) -> tuple[set[str], bool]:
 
 def parse_blocks(page: str) -> tuple[list[Block], bool]:
     """Blocks of text with their log-odds, and whether the page has an article element."""
-    # Open elements: (tag, node number, inside an article, inside an article container, inside boilerplate).
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # Open elements: (tag, node number, inside an article, inside an article container, inside boilerplate by its
+    # tag, nodes around it that are boilerplate unless they hold the page's article).
+    stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = [("", 0, False, False, False, ())]
+    articles: dict[int, tuple[str, tuple[int, ...]]] = {}   # tag and nodes around
     found: list[tuple[str, int, int, tuple, tuple[int, ...], str]] = []
     parts: list[str] = []
     linked, in_link, nodes, any_article = 0, False, 0, False
@@ -151,17 +159,35 @@ def parse_blocks(page: str) -> tuple[list[Block], bool]:
                 pop_to(*CLOSES[tag])
             if tag in VOID:
                 continue
-            _, _, article, container, boiler = stack[-1]
+            _, _, article, container, boiler, marks = stack[-1]
             words, hidden = _attribute_words(attributes) if attributes else (set(), False)
-            article = article or tag in ARTICLE_TAGS
-            any_article = any_article or tag in ARTICLE_TAGS
-            container = container or bool(words & ARTICLE_WORDS)
-            boiler = boiler or hidden or tag in BOILER_TAGS or bool(words & BOILER_WORDS) or (
-                (tag == HEADER or HEADER in words) and not article)
             nodes += 1
-            stack.append((tag, nodes, article, container, boiler))
+            # An article inside an article is a comment or a card: its words count.
+            whole = tag in WHOLE_TAGS or (tag == "article" and all(e[0] != "article" for e in stack))
+            if tag in ARTICLE_TAGS:
+                articles[nodes] = (tag, tuple(e[1] for e in stack))
+                article = any_article = True
+            container = container or bool(words & ARTICLE_WORDS)
+            boiler = boiler or hidden or (tag in BOILER_TAGS and tag != "form") or (tag == HEADER and not article)
+            if tag == "form" or (not whole and (words & BOILER_WORDS or (HEADER in words and not article))):
+                marks = (*marks, nodes)
+            stack.append((tag, nodes, article, container, boiler, marks))
     close()
-    return [_score(*b, any_article) for b in found], any_article
+    around = _around_article(found, articles) if any(place[3] for _, _, _, place, _, _ in found) else set()
+    return [_score(text, linked, parent, (*place[:2], place[2] or not around.issuperset(place[3])), path, tag, any_article)
+            for text, linked, parent, place, path, tag in found], any_article
+
+
+def _around_article(found: list[tuple], articles: dict[int, tuple[str, tuple[int, ...]]]) -> set[int]:
+    """Nodes around the page's article: of the article elements, or else the main elements, that with most text."""
+    size = dict.fromkeys(articles, 0)
+    for text, _, _, place, path, _ in found:
+        if not place[2]:
+            for node in path:
+                if node in size:
+                    size[node] += len(text)
+    best = max((n for n in size if size[n]), key=lambda n: (articles[n][0] == "article", size[n], -n), default=None)
+    return set() if best is None else set(articles[best][1])
 
 
 def _score(text: str, linked: int, parent: int, place: tuple, path: tuple, tag: str, any_article: bool) -> Block:
@@ -173,10 +199,10 @@ def _score(text: str, linked: int, parent: int, place: tuple, path: tuple, tag:
         score += W_ARTICLE
     elif any_article:
         score += W_OUTSIDE
-    if container:
-        score += W_CONTAINER
     if boiler:
         score += W_BOILER
+    elif container:
+        score += W_CONTAINER
     if tag in HEADINGS:
         score += W_HEADING
     return Block(text, score, parent, path)

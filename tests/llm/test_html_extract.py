@@ -28,6 +28,34 @@ def test_page_without_article_element():
     assert text.startswith("A long") and "Short one." in text and "Weather" not in text and "Home" not in text
 
 
+STORY = ("<p>A long paragraph of the story, with many words in it. It has two sentences.</p>"
+         "<p>Another long paragraph of the story, with many words in it. It ends here.</p>")
+STORY_TEXT = STORY.replace("</p><p>", " ").replace("<p>", "").replace("</p>", "")
+
+
+def test_boilerplate_words_around_the_article():
+    """One such word on an element that holds the article does not lose it; beside and inside it, it counts."""
+    card = "<div class='related'><article><p>A card of another story. Read it.</p></article></div>"
+    for page in (f"<html class='no-search'><body class='has-sidebar'><article>{STORY}</article></body></html>",
+                 f"<body><div id='page-with-menu'><article>{STORY}</article>{card}</div></body>",
+                 f"<body><article class='post social'>{STORY}<div class='comments'><p>I say no. Never.</p></div></article></body>",
+                 f"<body class='sidebar'><main class='page-with-menu'>{STORY}</main></body>",
+                 f"<body><div class='nav-header'><main><div class='has-sidebar'><article>{STORY}</article></div></main></div></body>",
+                 f"<body><form id='f'><div class='sidebar'><p>Weather today. Sunny.</p></div><article>{STORY}</article></form>"):
+        assert H.main_text(page) == STORY_TEXT, page
+    nested = f"<article>{STORY}<article class='comment'><p>I disagree with all of this. It is wrong.</p></article></article>"
+    assert H.main_text(nested) == STORY_TEXT
+    # Boilerplate words on one long paragraph: its neighbours in the article decide.
+    long = "Several words are in here now. " * 8
+    assert H.main_text(f"<article>{STORY}<p class='notice'>{long}</p>{STORY}</article>") == f"{STORY_TEXT} {long}{STORY_TEXT}"
+
+
+def test_text_of_formulas_and_drawings():
+    page = ("<article><p>We know that <math><mi>a</mi><mo>=</mo><mi>b</mi><annotation>a=b</annotation></math> holds, and "
+            "<svg><title>t</title><text>so</text></svg> does <object data='x'>this text</object> here.</p></article>")
+    assert H.main_text(page) == "We know that a=b holds, and so does this text here."
+
+
 def test_broken_markup():
     for page in ("", "<", "<p", "<article>a<b>c</i></article", "<!--", "<script>", "</p></div>", "<p>&#x110000; &bogus; &", "<a href='x>y"):
         assert isinstance(H.main_text(page), str)
