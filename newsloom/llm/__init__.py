@@ -9,7 +9,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("exact_dedup", "chat_format", "byte_bpe", "language_id", "jaccard_join", "decontaminate", "secret_scan", "sharding", "license_scan", "html_extract",
-           "token_counts", "lexical_search")
+           "token_counts", "lexical_search", "collocations")
 
 
 def load_all() -> tuple[dict, dict]:
