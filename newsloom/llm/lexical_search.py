@@ -26,6 +26,7 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +35,11 @@ from newsloom.session import ensure_checkpoint_dir
 
 # Fixed by the task: what is no part of a term, and the weights of the score.
 NO_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLANKS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOP = 10
 
-SHARD_TERMS = 2_000_000
+SHARD_TERMS = 500_000
 STRATA_ROWS = 1_000_000
 QUERY_ROWS = 500_000
 
@@ -62,15 +62,23 @@ def terms_of(text) -> F.Column:
 def _lists(values, starts):
     """pyarrow list array of ``values`` cut at ``starts`` (numpy, with the end appended)."""
     import numpy as np
-    import pyarrow as pa
 
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values)
 
 
+def _count_terms(texts: pa.Array) -> pa.Array:
+    """Number of terms of each text."""
+    import numpy as np
+
+    from newsloom.llm import bytewords
+
+    found = bytewords.cut(texts.cast(pa.string()), bytewords.class_table(BLANKS))
+    return pa.array(np.bincount(found.row, minlength=len(texts)).astype(np.int64))
+
+
 def _index_shard(key, table):
     """One shard of the index from the rows ``(doc_id, text, m)`` of its documents."""
     import numpy as np
-    import pyarrow as pa
 
     from newsloom.llm import bytewords
 
@@ -127,8 +135,9 @@ def build_index(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     spark = docs.sparkSession
     prepare(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"),
-                       F.regexp_count(text, F.lit(TERM)).cast("long").alias("n")).filter("n > 0")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    # Marked as nondeterministic so that filters on it are not pushed below it, which would count twice.
+    rows = rows.withColumn("n", F.arrow_udf(_count_terms, "long").asNondeterministic()("text")).filter("n > 0")
     rows.groupBy("n").agg(F.count("*").alias("docs")).write.parquet(f"{path}/lengths")
     lengths = spark.read.parquet(f"{path}/lengths")
     n_docs, n_terms, distinct = lengths.agg(F.coalesce(F.sum("docs"), F.lit(0)),
@@ -195,7 +204,6 @@ def _search_shard(queries, k: int):
 
     def run(table):
         import numpy as np
-        import pyarrow as pa
 
         names, strata, sizes, ids = table.column("term").to_pylist(), None, None, None
         cells = {}

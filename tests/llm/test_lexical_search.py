@@ -10,7 +10,7 @@ from newsloom.session import ensure_checkpoint_dir
 
 from .fixtures import documents, empty, messy
 
-TERM = re.compile(L.TERM)
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 ITEM_SCHEMA = "item_id long, text string, doc_id long, term string, rank int, score long"
 
 
