@@ -24,7 +24,7 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import load, prepare
+from newsloom.llm.common import load, prepare, trimmed, worker_state
 
 MAX_VOCABULARY_BYTES = 64 << 20   # broadcast bound
 # Memo sizes of one worker.  Pieces are kept in two generations of this size: when the young one is full it
@@ -176,14 +176,9 @@ def decode_ids(token: dict[int, bytes], ids: bytes) -> bytes:
     return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}   # one per worker process and vocabulary
-
-
 def _encoder(data: bytes, pattern: str) -> Encoder:
-    key = (hash(data), len(data), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(parse_ranks(data), pattern)
-    return _ENCODERS[key]
+    """The encoder of this worker process."""
+    return worker_state(("byte_bpe", hash(data), len(data), pattern), lambda: Encoder(parse_ranks(data), pattern))
 
 
 def _vocabulary(spark: SparkSession, path: str):
@@ -194,36 +189,47 @@ def _vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(data)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, ids)`` per row; ``ids`` holds the token ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id",
+           decoded: bool = False) -> DataFrame:
+    """``(doc_id, ids)`` per row; ``ids`` holds the token ids as little-endian unsigned 32-bit integers.
+
+    With ``decoded`` a third column holds the bytes that :func:`decode_ids` makes of the ids, in the same pass.
+    """
     prepare(docs.sparkSession)
     vocabulary = _vocabulary(docs.sparkSession, path)
+    names = ["doc_id", "ids", "decoded"] if decoded else ["doc_id", "ids"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         encoder = _encoder(vocabulary.value, pattern)
         for batch in batches:
-            ids = pa.array([encoder.encode(t.as_py()) for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            ids = [encoder.encode(t.as_py()) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array([encoder.decode(i) for i in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + (", decoded binary" if decoded else "")
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, ids, decoded)``: the bytes that the ids stand for."""
+    """``(doc_id, ids, decoded)``: the bytes that stored ids stand for."""
     vocabulary = _vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        token = {rank: token for token, rank in parse_ranks(vocabulary.value).items()}
+        data = vocabulary.value
+        token = worker_state(("byte_bpe tokens", hash(data), len(data)),
+                             lambda: {rank: token for token, rank in parse_ranks(data).items()})
         for batch in batches:
             out = pa.array([decode_ids(token, i.as_py()) for i in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, ids binary, decoded binary")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
@@ -231,7 +237,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return decode(encode(docs, path, pattern), path).select(
+    return encode(docs, path, pattern, decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +43,50 @@ def utf8_size(text) -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in the one-column frame ``ids`` (null-safe on the id)."""
-    gone = ids.select(F.col(ids.columns[0]).alias("__gone_id"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left_anti")
+BROADCAST_IDS = 2_000_000   # rows of a drop list that is broadcast (about 100 MB as a hash table); more are shuffled
+
+
+def text_key(text) -> F.Column:
+    """Tells rows of one id apart by their texts (null and empty texts are alike)."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(29))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, key: F.Column, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose (id, ``key``) is not in the two-column frame ``gone`` (null-safe on the id).
+
+    The drop list is materialised and counted.  Up to ``BROADCAST_IDS`` rows it is broadcast, so no text is
+    shuffled; a longer list is joined by shuffle.
+    """
+    gone = gone.select(F.col(gone.columns[0]).alias("__gone_id"), F.col(gone.columns[1]).alias("__gone_key")).distinct().checkpoint()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    keyed = docs.withColumn("__key", key)
+    same = keyed[id_col].eqNullSafe(gone["__gone_id"]) & (keyed["__key"] == gone["__gone_key"])
+    return keyed.join(gone, same, "left_anti").drop("__key")
+
+
+# What the running operator keeps in a worker process (vocabularies, memos): one entry, so that a worker which
+# Spark reuses for the next operator does not hold the state of the one before.
+_STATE: dict = {}
+
+
+def worker_state(key: tuple, build: Callable):
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build()
+    return _STATE[key]
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches; behind the last one the worker returns its free memory to the system."""
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # another C library: nothing to trim
+        pass
 
 
 def positions_by_key(df: DataFrame, group: str, order: list, rows_per_bucket: int = 50_000,

@@ -13,8 +13,9 @@ While the benchmark has at most ``BROADCAST_SEEDS`` seeds, they are broadcast an
 in one pass without a shuffle of words; a larger benchmark is joined by shuffling seed hashes, and only the
 documents that were hit are read again.
 
-Defined cases: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words are too short
-to identify and match nothing; items of equal words count as one, with the smallest id; repeated document
+Defined cases: null and empty texts match nothing; items without a word match
+nothing; items of one to four words must stand in the document whole and unchanged (80 % of them is all of them);
+items of equal words count as one, with the smallest id; repeated document
 rows give one result row per id and item; empty tables give an empty result; other columns are ignored
 (:func:`keep_clean` carries them through).
 """
@@ -24,15 +25,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import drop_ids, load, prepare, words_of
+from newsloom.llm.common import drop_rows, load, prepare, text_key, words_of
 
 MASKS = ("11001011", "11010011")
-SHORT_MASKS = {5: ("1111", "10111", "11011", "11101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11111", "110111"),
+SHORT_MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "10111", "11011", "11101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11111", "110111"),
                9: ("110111",), 10: ("11001011", "11010011", "110111"), 11: ("11001011", "11010011", "110111")}
 LONG_ITEM = 12                # items of so many words use MASKS
 WINDOW = 13
 MIN_MATCH = 0.8
-MIN_WORDS = 5
 BROADCAST_SEEDS = 1_000_000   # about 50 MB in memory
 
 
@@ -43,7 +43,7 @@ def _seed(words, at, mask_no: int, mask: str) -> F.Column:
 def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``(item_key, item_id, item_words)``: one row per different word sequence."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("item_words"))
-    return (items.filter(F.size("item_words") >= MIN_WORDS)
+    return (items.filter(F.size("item_words") > 0)
             .withColumn("item_key", F.xxhash64(F.md5(F.array_join("item_words", " "))))
             .groupBy("item_key", "item_words").agg(F.min("item_id").alias("item_id")))
 
@@ -124,10 +124,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = M
                     (F.col("t.matched") / F.col("t.n_item")).alias("overlap")))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` (all columns) without the contaminated documents."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, **options)
-    return drop_ids(docs, leaks.select("doc_id").distinct(), id_col)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` (all columns) without the contaminated rows; rows that share an id are decided by their own texts."""
+    key = text_key(F.col(text_col))
+    keyed = docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), key.alias("key")))
+    leaks = find_leaks(keyed, benchmark, id_col="__row", text_col=text_col, **options)
+    return drop_rows(docs, leaks.select("doc_id.id", "doc_id.key"), key, id_col)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import drop_ids, load, prepare
+from newsloom.llm.common import drop_rows, load, prepare
 
 HEAD_CHARS = 16   # characters of the text in a splitter
 
@@ -121,22 +121,23 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def keep_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` (all columns) without the rows that an equal text with a larger id replaces."""
-    groups = exact_groups(docs, text_col, id_col).checkpoint()
-    by_id = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("k")).checkpoint()
-    left = drop_ids(docs, by_id.filter("NOT k").select("doc_id"), id_col)
-    # Ids that occur on several rows (repeated rows, or one id on several texts): decided by text as well.
-    repeated = by_id.filter("n > 1 AND k")
+    """``docs`` (all columns) without the rows that an equal text with a larger id replaces.
+
+    Rows are decided by id and text; of rows that repeat both, one stays.
+    """
+    groups = exact_groups(docs, text_col, id_col)
+    by_row = (groups.groupBy("doc_id", F.xxhash64("text_sha256").alias("key"))
+              .agg(F.count("*").alias("n"), F.max("kept").alias("k")).filter("n > 1 OR NOT k").checkpoint())
+    key = F.xxhash64(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    left = drop_rows(docs, by_row.filter("NOT k").select("doc_id", "key"), key, id_col)
+    repeated = by_row.filter("k").select("doc_id", "key")
     if repeated.isEmpty():
         return left
-    ids = repeated.select("doc_id")
-    plain = drop_ids(left, ids, id_col)
-    good = groups.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    hit = left.withColumn("__s", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    hit = (hit.join(ids.select(F.col("doc_id").alias("__r")), hit[id_col].eqNullSafe(F.col("__r")), "left_semi"))
-    hit = hit.join(good, hit[id_col].eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")), "left_semi")
-    one = hit.withColumn("__rn", F.row_number().over(Window.partitionBy(id_col, "__s").orderBy("__s")))
-    return plain.unionByName(one.filter("__rn = 1").drop("__rn", "__s"))
+    once = drop_rows(left, repeated, key, id_col)
+    again = left.withColumn("__key", key)
+    again = again.join(repeated, again[id_col].eqNullSafe(repeated["doc_id"]) & (again["__key"] == repeated["key"]), "left_semi")
+    one = again.withColumn("__rn", F.row_number().over(Window.partitionBy(id_col, "__key").orderBy("__key")))
+    return once.unionByName(one.filter("__rn = 1").drop("__rn", "__key"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from newsloom.llm.common import drop_ids, hot_lookup, load, prepare, words_of
+from newsloom.llm.common import drop_rows, hot_lookup, load, prepare, text_key, words_of
 from newsloom.llm.components import components
 
 WORDS = 5              # words of a shingle
@@ -258,10 +259,12 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     """``(doc_id, class_id, n_links, n_copies)`` for every row."""
     prepare(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = docs.schema[id_col].dataType
+    id_type = id_type.simpleString() if isinstance(id_type, StructType) else "bigint"
+    texts = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).alias("text"))
     hashed = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
     signed = (texts.select("doc_id", hashed.alias("words"))
-              .mapInArrow(_signatures(n, bands, rows), "doc_id long, node binary, bands array<long>").checkpoint())
+              .mapInArrow(_signatures(n, bands, rows), f"doc_id {id_type}, node binary, bands array<long>").checkpoint())
     nodes = (signed.filter("node IS NOT NULL").groupBy("node")
              .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")).checkpoint())
 
@@ -312,10 +315,15 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
 
 
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` (all columns) with the document of smallest id of each class."""
-    classes = jaccard_classes(docs, text_col=text_col, id_col=id_col, **options)
-    stays = F.max(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return drop_ids(docs, classes.groupBy("doc_id").agg(stays.alias("stays")).filter("NOT stays"), id_col)
+    """``docs`` (all columns) with the document of smallest id of each class (null ids last).
+
+    Rows that share an id are decided by their own texts; a row that repeats id and text stays or goes with the other.
+    """
+    key = text_key(F.col(text_col))
+    keyed = docs.withColumn("__row", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")))
+    classes = jaccard_classes(keyed, text_col=text_col, id_col="__row", **options)
+    gone = classes.filter(F.col("doc_id") != F.col("class_id"))
+    return drop_rows(docs, gone.select("doc_id.id", "doc_id.key"), key, id_col)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

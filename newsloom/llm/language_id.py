@@ -5,33 +5,38 @@ transitions tie neighbouring words, so code-switched text is labelled word by wo
 forward-backward posteriors.  A document's prediction is the language with the largest posterior share
 of its words; the share is the score.
 
-Training uses a bounded, hash-picked sample of labelled rows (``SAMPLE_DOCS`` over all languages,
-``SAMPLE_CHARS`` characters each): snippets of documents of different languages are strung together, so
-the transitions see switches as well as runs.  The fit is deterministic.  Inference reads every word of
-every text, in segments of ``SEGMENT`` words (each segment is one chain), vectorised over segments.
+Training uses a bounded, hash-picked sample of labelled rows (``SAMPLE_DOCS`` over all languages), and of each
+``SNIPPETS`` snippets spread evenly over its whole text: snippets of documents of different languages are strung
+together, so the transitions see switches as well as runs.  The fit is deterministic.  Inference reads every word
+of every text as one chain.  For speed the chain is worked on in segments of ``SEGMENT`` words side by side: the
+product of a segment's matrices carries the messages over it, so every segment gets the exact messages from the
+words before and behind it, and its length changes nothing.
 
 Defined cases: a null text or a text without a letter gets ``und`` with score 0; without any labelled row
 every text gets ``und``; ties go to the language that sorts first; a null id is never held out; repeated
-rows are predicted like any other; other columns are ignored.
+rows are predicted like any other; of rows that share an id and a language the smallest snippets train;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import load, prepare
+from newsloom.llm.common import load, prepare, trimmed, worker_state
 
 SAMPLE_DOCS = 480     # labelled rows fetched for training, over all languages (at least 8 of each)
-SAMPLE_CHARS = 1500    # characters used of each of them
+SNIPPETS, SNIPPET_WORDS = 12, 20   # snippets of each of them, spread over the whole text, and their length
 MAX_FEATURES = 60_000  # most frequent features of the sample
 LEXICON_WORDS = 8_000  # most frequent words of the sample
-SEGMENT = 256          # words of one chain
+SEGMENT = 256          # words worked on side by side
 MEMO_WORDS = 100_000   # words whose emission scores a worker remembers
 SLICE_ROWS = 1_000     # texts labelled at once
 UNKNOWN = "und"
@@ -72,18 +77,22 @@ def _sum_rows(weights: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.nd
     return out
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray
-                     ) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray,
+                     entry: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of padded chains and expected transition counts.
 
-    ``scores`` is chains x steps x labels (log space), chains sorted by falling length.
+    ``scores`` is chains x steps x labels (log space), chains sorted by falling length.  A chain that is a part
+    of a longer one has the message from the words before it in ``entry`` (in place of ``start``) and the one from
+    the words behind it in ``leave``.
     """
     n, steps, k = scores.shape
     e = np.exp(scores - scores.max(axis=2, keepdims=True))
     t = np.exp(transitions - transitions.max())
     alpha, beta = np.zeros_like(e), np.ones_like(e)
+    if leave is not None:
+        beta[np.arange(n), lengths - 1] = leave
     active = [int(np.searchsorted(-lengths, -s, side="left")) for s in range(steps + 1)]   # chains longer than s
-    a = e[:, 0] * np.exp(start - start.max())
+    a = e[:, 0] * (np.exp(start - start.max()) if entry is None else entry)
     alpha[:, 0] = a / a.sum(axis=1, keepdims=True)
     for s in range(1, steps):
         m = active[s]
@@ -105,6 +114,19 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return gamma, pairs
 
 
+def segment_products(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """What each padded chain does to a message that enters at its first word: chains x labels x labels, scaled."""
+    n, steps, k = scores.shape
+    e = np.exp(scores - scores.max(axis=2, keepdims=True))
+    t = np.exp(transitions - transitions.max())
+    out = np.eye(k)[None] * e[:, 0][:, None, :]
+    for s in range(1, steps):
+        m = int(np.searchsorted(-lengths, -s, side="left"))
+        p = (out[:m] @ t) * e[:m, s][:, None, :]
+        out[:m] = p / p.max(axis=(1, 2), keepdims=True)
+    return out
+
+
 def fit(samples: list[tuple[str, list[str]]], rounds: int = 40, rate: float = 0.3, decay: float = 1e-4) -> Model | None:
     """Fit the field on ``(language, words)`` samples by full-batch gradient steps (Adam)."""
     langs = sorted({lang for lang, words in samples if words})
@@ -196,9 +218,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     h = F.xxhash64("doc_id", F.lit(11))
     picked = (labelled.select("lang", "doc_id", h.alias("h")).groupBy("lang", F.pmod("h", F.lit(per_lang)).alias("b"))
               .agg(F.min(F.struct("h", "doc_id")).alias("m")).select("m.doc_id").distinct())
+    words = _words(F.col("text"))
+    # Snippets begin at even distances; those of a text shorter than all of them together are its words.
+    step = F.greatest(F.size("words") / float(SNIPPETS), F.lit(float(SNIPPET_WORDS)))
+    snippets = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SNIPPETS - 1)), lambda i: F.when(
+        i * step < F.size("words"), F.slice("words", F.floor(i * step).cast("int") + 1, F.lit(SNIPPET_WORDS)))
+        .otherwise(F.array().cast("array<string>"))))
     rows = (labelled.join(F.broadcast(picked), "doc_id")   # at most max(SAMPLE_DOCS, 8 x languages) ids
-            .select("doc_id", "lang", _words(F.substring("text", 1, SAMPLE_CHARS)).alias("words"))
-            .dropDuplicates(["doc_id", "lang"]).collect())
+            .select("doc_id", "lang", words.alias("words")).select("doc_id", "lang", snippets.alias("words"))
+            .groupBy("doc_id", "lang").agg(F.min("words").alias("words")).collect())
     samples = sorted((r["lang"], r["doc_id"], list(r["words"])) for r in rows)
     return fit([(lang, words) for lang, _, words in samples])
 
@@ -228,71 +256,99 @@ class _Memo:
         return out
 
 
-_MEMOS: list[_Memo] = []   # one per worker process
-
-
-def _labeller(model: Model):
-    """Posterior language shares of many texts at once."""
-    k = len(model.langs)
-    if not _MEMOS or _MEMOS[0].model is not model:
-        _MEMOS[:] = [_Memo(model)]
-    memo = _MEMOS[0]
-
-    def shares(codes: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Summed posteriors per text."""
-        out = np.zeros((len(offsets) - 1, k))
-        starts, owners = [], []
-        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-            cut = np.arange(a, b, SEGMENT)
-            starts.append(cut)
-            owners.append(np.full(len(cut), i))
-        starts, owners = np.concatenate(starts), np.concatenate(owners)
-        ends = np.minimum(starts + SEGMENT, offsets[1:][owners])
-        size = ends - starts
-        order = np.argsort(-size, kind="stable")
+def _shares(codes: np.ndarray, offsets: np.ndarray, table: np.ndarray, model: Model) -> np.ndarray:
+    """Summed posteriors of each text's words, every text one chain."""
+    texts, k = len(offsets) - 1, len(model.langs)
+    out = np.zeros((texts, k))
+    sizes = np.diff(offsets)
+    per_text = -(-sizes // SEGMENT)
+    owner = np.repeat(np.arange(texts), per_text)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    starts = offsets[:-1][owner] + nth * SEGMENT
+    size = np.minimum(starts + SEGMENT, offsets[1:][owner]) - starts
+
+    def parts(segments: np.ndarray):
+        order = segments[np.argsort(-size[segments], kind="stable")]
         for at in range(0, len(order), 500):
             part = order[at:at + 500]
-            width = int(size[part[0]])
-            place = np.minimum(starts[part][:, None] + np.arange(width), len(codes) - 1)
-            gamma, _ = forward_backward(table[codes[place]], size[part], model.transitions, model.start)
-            np.add.at(out, owners[part], gamma.sum(axis=1))
-        return out
+            place = np.minimum(starts[part][:, None] + np.arange(int(size[part[0]])), len(codes) - 1)
+            yield part, table[codes[place]]
+
+    t = np.exp(model.transitions - model.transitions.max())
+    entry = np.tile(np.exp(model.start - model.start.max()), (len(owner), 1))
+    leave = np.ones((len(owner), k))
+    cut = np.flatnonzero(per_text[owner] > 1)
+    if len(cut):   # messages over the borders: forward, then backward, all texts side by side
+        products = np.zeros((len(owner), k, k))
+        for part, scores in parts(cut):
+            products[part] = segment_products(scores, size[part], model.transitions)
+        last = per_text[owner] - 1
+        for step in range(int(per_text.max()) - 1):
+            at = cut[(nth[cut] == step) & (last[cut] > step)]
+            message = np.einsum("ij,ijk->ik", entry[at], products[at]) @ t
+            entry[at + 1] = message / message.sum(axis=1, keepdims=True)
+        for step in range(int(per_text.max()) - 1, 0, -1):
+            at = cut[nth[cut] == step]
+            message = np.einsum("ijk,ik->ij", products[at], leave[at]) @ t.T
+            leave[at - 1] = message / message.sum(axis=1, keepdims=True)
+    for part, scores in parts(np.arange(len(owner))):
+        gamma, _ = forward_backward(scores, size[part], model.transitions, model.start, entry[part], leave[part])
+        np.add.at(out, owner[part], gamma.sum(axis=1))
+    return out
+
 
-    return memo.scores, shares
+def labels(docs: DataFrame, model: Model | None, text_col: str = "text") -> F.Column:
+    """A struct column ``(lang_pred, score, n_words)`` for the rows of ``docs``."""
+    spark = docs.sparkSession
+    prepare(spark)
+    words = _words(F.col(text_col))
+    if model is None:
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.size(words).cast("long").alias("n_words"))
+    shared = spark.sparkContext.broadcast(model)   # at most MAX_FEATURES rows of weights
+    fitted = uuid.uuid4().hex
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        memo = worker_state(("language_id", fitted), lambda: _Memo(model))
+        langs = np.array([*model.langs, UNKNOWN], dtype=object)
+        for column in columns:
+            found = []
+            for at in range(0, len(column), SLICE_ROWS):
+                part = column.slice(at, SLICE_ROWS)
+                lengths = np.diff(part.offsets.to_numpy())
+                coded = part.flatten().dictionary_encode()
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
+                sums = np.zeros((len(lengths), len(langs) - 1))
+                if offsets[-1]:
+                    sums = _shares(coded.indices.to_numpy(), offsets, memo.scores(coded.dictionary.to_pylist()), model)
+                best = np.where(lengths > 0, sums.argmax(axis=1), len(langs) - 1)
+                score = np.where(lengths > 0, sums.max(axis=1) / np.maximum(lengths, 1), 0.0).clip(0, 1)
+                found.append(pa.StructArray.from_arrays(
+                    [pa.array(langs[best], pa.string()), pa.array(score), pa.array(lengths.astype(np.int64))],
+                    names=["lang_pred", "score", "n_words"]))
+            yield pa.concat_arrays(found) if found else pa.array([], pa.struct(
+                [("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64())]))
+
+    def trim(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return trimmed(run(columns))
+
+    # Marked as nondeterministic so that a filter on the labels is not pushed below them and labels twice.
+    return F.arrow_udf(trim, "lang_pred string, score double, n_words long").asNondeterministic()(words)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, lang_pred, score, n_words)`` of every row."""
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if model is None:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
-                           F.size(_words(F.col("text"))).cast("long").alias("n_words"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)   # at most MAX_FEATURES rows of weights
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        scores_of, shares = _labeller(shared.value)
-        langs = np.array([*shared.value.langs, UNKNOWN], dtype=object)
-        slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
-        for batch in slices:
-            words = batch.column(1)
-            lengths = np.diff(words.offsets.to_numpy())
-            coded = words.flatten().dictionary_encode()
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            sums = np.zeros((len(lengths), len(langs) - 1))
-            if offsets[-1]:
-                table = scores_of(coded.dictionary.to_pylist())
-                sums = shares(coded.indices.to_numpy(), offsets, table)
-            best = np.where(lengths > 0, sums.argmax(axis=1), len(langs) - 1)
-            score = np.where(lengths > 0, sums.max(axis=1) / np.maximum(lengths, 1), 0.0).clip(0, 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs[best], pa.string()), pa.array(score), pa.array(lengths.astype(np.int64))],
-                names=["doc_id", "lang_pred", "score", "n_words"])
-
-    return (rows.select("doc_id", _words(F.col("text")).alias("words"))
-            .mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long"))
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), labels(docs, model, text_col).alias("found"))
+    return found.select("doc_id", "found.*")
+
+
+def keep_known(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """``docs`` (all columns) with the rows whose language is known and holds ``least`` of their words.
+
+    Every row is decided by its own text in the pass that reads it, so nothing is shuffled.
+    """
+    found = docs.withColumn("__found", labels(docs, model, text_col))
+    return found.filter((F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") >= least)).drop("__found")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import load, prepare
+from newsloom.llm.common import load, prepare, trimmed, worker_state
 
 MAX_VOCABULARY_BYTES = 64 << 20   # broadcast bound
 LIMIT = 2048                      # tokens above which a document is marked over_limit
@@ -224,15 +224,9 @@ class Counter:
         return found + sum(self._plain_count(s) for part in parts for s in self._slices(part))
 
 
-_COUNTERS: dict[tuple, Counter] = {}   # one per worker process and vocabulary
-
-
 def _counter(data: bytes, proven: dict) -> Counter:
-    key = (hash(data), len(data))
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(data, proven)
-    return _COUNTERS[key]
+    """The counter of this worker process."""
+    return worker_state(("token_counts", hash(data), len(data)), lambda: Counter(data, proven))
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -257,7 +251,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, n_bytes long, n_tokens long")
 
 
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ def brute(docs, items):
     keyed = {}
     for i, t in items:
         w = tuple(words(t))
-        if len(w) >= D.MIN_WORDS:
+        if w:
             keyed[w] = min(i, keyed.get(w, i))
     for doc, t in docs:
         w = words(t)
@@ -70,7 +70,7 @@ def test_against_brute_force(spark, seeds):
 
 
 def test_short_masks_survive_every_allowed_substitution():
-    for n in range(D.MIN_WORDS, D.WINDOW + 1):
+    for n in range(1, D.WINDOW + 1):
         masks = D.MASKS if n >= D.LONG_ITEM else D.SHORT_MASKS[n]
         offsets = [[s + k for k, c in enumerate(m) if c == "1"] for m in masks for s in range(n - len(m) + 1)]
         for bad in combinations(range(n), n - math.ceil(n * D.MIN_MATCH)):
@@ -80,7 +80,7 @@ def test_short_masks_survive_every_allowed_substitution():
 @pytest.mark.parametrize("seeds", [D.BROADCAST_SEEDS, 0])
 def test_short_items_against_brute_force(spark, seeds):
     """Every allowed substitution of an item of 5 to 13 words, and one substitution too many."""
-    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(D.MIN_WORDS, D.WINDOW + 1)]
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, D.WINDOW + 1)]
     docs = []
     for n, text in items:
         allowed = n - math.ceil(n * D.MIN_MATCH)

@@ -88,3 +88,44 @@ def test_nothing_to_learn_from(spark):
     assert L.train(unlabelled) is None
     assert {r.lang_pred for r in L.predict(messy(spark), None).collect()} == {"und"}
     assert documents(spark, []).count() == 0
+
+
+def test_segments_of_a_chain_change_nothing(spark, monkeypatch):
+    """Messages cross the borders of segments: the same shares as over one chain."""
+    model = L.train(frame(spark, corpus()))
+    rng = np.random.default_rng(4)
+    words = [w for v in VOCABULARY.values() for w in v.split()] + ["zzz"]
+    codes = rng.integers(0, len(words), 700)
+    offsets = np.array([0, 0, 1, 8, 15, 400, 400, 700])
+    table = model.emissions(words)
+    whole = []
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        if a == b:
+            whole.append(np.zeros(3))
+        else:
+            gamma, _ = L.forward_backward(table[codes[a:b]][None], np.array([b - a]), model.transitions, model.start)
+            whole.append(gamma[0].sum(axis=0))
+    for size in (1, 2, 7, 64, 1000):
+        monkeypatch.setattr(L, "SEGMENT", size)
+        assert np.allclose(L._shares(codes, offsets, table, model), whole), size
+
+
+def test_training_reads_whole_texts_and_is_deterministic(spark):
+    """The tail of a long text trains, and rows that share an id give the same model in any order."""
+    data = [(i, "same words here " * 400 + f"{lang} tail{lang} end{lang} " * 100, lang) for i, lang in
+            [(k, ("en", "de")[k % 2]) for k in range(1, 60)]]
+    model = L.train(frame(spark, data))
+    assert any("tailen" in f for f in model.index)
+    twice = data + [(i, "other text for this id", lang) for i, _, lang in data]
+    one, two = L.train(frame(spark, twice).repartition(1)), L.train(frame(spark, twice[::-1]).repartition(5))
+    assert one.index == two.index and np.array_equal(one.weights, two.weights)
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    model = L.train(frame(spark, corpus()))
+    rows_ = [(1, "the of house water", "en"), (1, "12 !!", "en"), (None, "le et maison", "fr"), (None, None, "fr")]
+    kept = L.keep_known(frame(spark, rows_), model, 0.3)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "le et maison"), (1, "the of house water")]
+    assert kept.columns == frame(spark, rows_).columns
+    assert L.keep_known(empty(spark), model, 0.3).collect() == []
+    assert L.keep_known(frame(spark, rows_), None, 0.3).collect() == []

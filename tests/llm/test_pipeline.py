@@ -53,3 +53,34 @@ def test_stages_use_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "exact_dedup", "ngram_jaccard_join", "benchmark_decontamination", "byte_bpe"]
     assert all((language_id, exact_dedup, jaccard_join, decontaminate, byte_bpe))
+
+
+def _stages(spark, docs, folder, count):
+    for _, stage in corpus_pipeline.STAGES[:count]:
+        docs = stage(spark, docs, folder)
+    return docs
+
+
+def test_rows_that_share_an_id(spark, folder):
+    """Repeated rows, one id on several texts, and null ids: every row is decided by its own text."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    clean, other, third = [r.text for r in docs.filter("doc_id IN (10, 12, 14)").orderBy("doc_id").collect()]
+    rows = [(1, clean), (1, clean), (1, other + " " + item + " " + other), (1, "!!!"), (None, third), (None, item + " " + third), (2, clean + " s"), (1, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, "w", "n", 1, 1, True, "x", "v", 1) for i, t in rows], DOC_SCHEMA)
+
+    def left(count):
+        return sorted([(r.doc_id or 0, r.text) for r in _stages(spark, frame, folder, count).collect()])
+
+    known = [(i or 0, t) for i, t in rows if t and t != "!!!"]
+    assert left(1) == sorted(known)
+    known.remove((1, clean))
+    assert left(2) == sorted(known)
+    assert left(3) == sorted(set(known) - {(2, clean + " s")})
+    assert left(4) == sorted([(1, clean), (0, third)])
+
+
+def test_empty_table(spark, folder):
+    nothing = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 0")
+    for count in range(1, 6):
+        assert _stages(spark, nothing, folder, count).collect() == []
