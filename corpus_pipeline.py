@@ -3,6 +3,10 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a frame that is written as Parquet in the shared
 checkpoint folder and read again as the next stage's input, so a lost executor costs one stage at most.
 All stages but the last return the columns of ``docs``.
+
+Defined cases: every stage decides by row, so rows that share an id (or have none) are decided by their own texts;
+of rows that repeat id and text one is left behind the second stage; empty tables give empty results; without a
+labelled row the first stage knows no language and every document goes.
 """
 
 from __future__ import annotations
@@ -10,10 +14,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from newsloom.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id
-from newsloom.llm.common import drop_ids, load, prepare
+from newsloom.llm.common import load, prepare
 from newsloom.session import ensure_checkpoint_dir
 
 ORACLE_SQL = None   # the first stage is a trained model and has no SQL form
@@ -27,9 +30,7 @@ def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model is fitted on the labelled rows of the table ``documents`` that are not held out.
     """
     prepare(spark)
-    found = language_id.predict(docs, language_id.train(load(spark, sf_dir, "documents")))
-    good = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)
-    return drop_ids(docs, found.groupBy("doc_id").agg(F.max(good).alias("good")).filter("NOT good"))
+    return language_id.keep_known(docs, language_id.train(load(spark, sf_dir, "documents")), MIN_LANGUAGE_SHARE)
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
