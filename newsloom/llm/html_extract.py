@@ -5,11 +5,13 @@ block a log-odds of being article text from its ancestors, class and id words, l
 density.  Positive log-odds become capacities from the source, negative ones to the sink; neighbouring
 blocks and successive blocks of one parent are tied by edges whose capacity falls with their distance in
 the element tree.  The maximum flow separates article from boilerplate, and the article's blocks are joined
-in page order.
+in page order.  What is marked as boilerplate by its element, class or id costs more than everything that could
+speak for it, so it goes at any length, also inside the article.  A page without an article element or container
+has the prior that what is not marked belongs to its text.
 
-Boilerplate words in a class or id mark what lies below them, but not on ``html``, ``body``, ``main`` and
-outermost ``article`` elements and not on elements around the page's article (the ``article`` element with
-most text, or else the ``main`` element with most text): those hold the article itself.
+Boilerplate words in a class or id mark what lies below them, but not on ``html``, ``body`` and ``main`` elements
+and not on the page's article or elements around it (the ``article`` element with most text, or else the ``main``
+element with most text): those hold the article itself.
 
 Defined cases: a null or empty page, and a page without an article block, give an empty text; broken
 markup (unclosed or stray tags, cut-off pages, unknown entities) is read as browsers do: what opens ends
@@ -21,9 +23,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,12 +54,14 @@ social share sharing comment comments disqus reply replies related recommended n
 search pagination pager widget widgets copyright legal toolbar tags skip paywall outbrain taboola""".split())
 ARTICLE_TAGS = {"article", "main"}
 ARTICLE_WORDS = set("article story entry post content articlebody storybody main".split())
+# On an article element these say that it is no article of the page's own.
+OTHER_WORDS = set("ad ads advert advertisement sponsored promo promotion comment comments reply replies related recommended".split())
 HEADER = "header"
 # Elements that hold a page or an article: boilerplate words on them say what else they hold.
 WHOLE_TAGS = {"html", "body", "main"}
 
 # Log-odds of the block classifier.
-W_START, W_ARTICLE, W_CONTAINER, W_BOILER, W_OUTSIDE = -1.0, 5.0, 2.0, -9.0, -3.0
+W_START, W_ARTICLE, W_CONTAINER, W_BOILER, W_OUTSIDE, W_PLAIN = -1.0, 5.0, 2.0, -25.0, -3.0, 1.5
 W_WORD, MAX_WORDS, W_SENTENCE, MAX_SENTENCES, W_LINKS, W_HEADING = 0.1, 30, 0.4, 4, -4.0, 0.5
 SMOOTH, SMOOTH_SIBLING = 1.0, 0.5    # capacity between neighbours and between successive blocks of one parent
 SCALE = 1000                         # capacities are whole numbers
@@ -72,8 +77,24 @@ _SENTENCE = re.compile(r"[.!?…。]")
 class Block:
     text: str
     score: float
-    parent: int
-    path: tuple[int, ...]
+    node: int   # the block's own element
+
+
+@dataclass
+class Page:
+    blocks: list[Block]
+    parent: list[int]   # of every element; the page itself is 0
+    depth: list[int]
+
+
+class _Open(NamedTuple):
+    """An open element, with what holds for the text in it."""
+    tag: str
+    node: int
+    article: int      # the article or main element around
+    container: bool   # inside an article container
+    boiler: bool      # inside boilerplate by its tag
+    mark: int         # the innermost element around that is boilerplate unless it holds the page's article
 
 
 def _attribute_words(attributes: str) -> tuple[set[str], bool]:
@@ -88,32 +109,34 @@ def _attribute_words(attributes: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
-def parse_blocks(page: str) -> tuple[list[Block], bool]:
-    """Blocks of text with their log-odds, and whether the page has an article element."""
-    # Open elements: (tag, node number, inside an article, inside an article container, inside boilerplate by its
-    # tag, nodes around it that are boilerplate unless they hold the page's article).
-    stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = [("", 0, False, False, False, ())]
-    articles: dict[int, tuple[str, tuple[int, ...]]] = {}   # tag and nodes around
-    found: list[tuple[str, int, int, tuple, tuple[int, ...], str]] = []
+def parse_blocks(page: str) -> Page:
+    """Blocks of text with their log-odds, and the element tree."""
+    stack = [_Open("", 0, 0, False, False, 0)]
+    opened: Counter = Counter()   # open elements by tag
+    parent, depth = [0], [0]
+    articles: dict[int, tuple[str, int, bool]] = {}   # tag, the article around, whether its words are boilerplate's
+    found: list[tuple[str, int, _Open]] = []
     parts: list[str] = []
-    linked, in_link, nodes, any_article = 0, False, 0, False
+    linked, in_link = 0, False
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                top = stack[-1]
-                found.append((text, linked, top[1], top[2:], tuple(e[1] for e in stack), top[0]))
+                found.append((text, linked, stack[-1]))
             parts.clear()
         linked = 0
 
     def pop_to(kinds: set[str], fences: set[str] = frozenset()) -> None:
+        if not any(opened[k] for k in kinds):
+            return
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in kinds:
+            if stack[i].tag in kinds:
+                opened.subtract(e.tag for e in stack[i:])
                 del stack[i:]
                 return
-            if stack[i][0] in fences:
+            if stack[i].tag in fences:
                 return
 
     at, end = 0, len(page)
@@ -159,73 +182,91 @@ def parse_blocks(page: str) -> tuple[list[Block], bool]:
                 pop_to(*CLOSES[tag])
             if tag in VOID:
                 continue
-            _, _, article, container, boiler, marks = stack[-1]
+            top = stack[-1]
             words, hidden = _attribute_words(attributes) if attributes else (set(), False)
-            nodes += 1
-            # An article inside an article is a comment or a card: its words count.
-            whole = tag in WHOLE_TAGS or (tag == "article" and all(e[0] != "article" for e in stack))
-            if tag in ARTICLE_TAGS:
-                articles[nodes] = (tag, tuple(e[1] for e in stack))
-                article = any_article = True
-            container = container or bool(words & ARTICLE_WORDS)
-            boiler = boiler or hidden or (tag in BOILER_TAGS and tag != "form") or (tag == HEADER and not article)
-            if tag == "form" or (not whole and (words & BOILER_WORDS or (HEADER in words and not article))):
-                marks = (*marks, nodes)
-            stack.append((tag, nodes, article, container, boiler, marks))
+            node = len(parent)
+            parent.append(top.node)
+            depth.append(depth[top.node] + 1)
+            article = top.article
+            marked = tag == "form" or (tag not in WHOLE_TAGS and (words & BOILER_WORDS or (HEADER in words and not article)))
+            if tag in ARTICLE_TAGS and not (tag == "article" and words & OTHER_WORDS):
+                articles[node] = (tag, article, bool(marked))
+                article = node
+            boiler = top.boiler or hidden or (tag in BOILER_TAGS and tag != "form") or (tag == HEADER and not article)
+            stack.append(_Open(tag, node, article, top.container or bool(words & ARTICLE_WORDS), boiler, node if marked else top.mark))
+            opened[tag] += 1
     close()
-    around = _around_article(found, articles) if any(place[3] for _, _, _, place, _, _ in found) else set()
-    return [_score(text, linked, parent, (*place[:2], place[2] or not around.issuperset(place[3])), path, tag, any_article)
-            for text, linked, parent, place, path, tag in found], any_article
+    around = _around_article(found, articles, parent) if any(place.mark for _, _, place in found) else set()
+    # Marks around the article hold no boilerplate; if the innermost one does not, none of those around it does.
+    places = [place._replace(boiler=place.boiler or bool(place.mark and place.mark not in around)) for _, _, place in found]
+    plain = not articles and not any(p.container and not p.boiler for p in places)
+    blocks = [Block(text, _score(text, linked, place, bool(articles), plain), place.node)
+              for (text, linked, _), place in zip(found, places)]
+    return Page(blocks, parent, depth)
 
 
-def _around_article(found: list[tuple], articles: dict[int, tuple[str, tuple[int, ...]]]) -> set[int]:
-    """Nodes around the page's article: of the article elements, or else the main elements, that with most text."""
-    size = dict.fromkeys(articles, 0)
-    for text, _, _, place, path, _ in found:
-        if not place[2]:
-            for node in path:
-                if node in size:
-                    size[node] += len(text)
-    best = max((n for n in size if size[n]), key=lambda n: (articles[n][0] == "article", size[n], -n), default=None)
-    return set() if best is None else set(articles[best][1])
-
+def _around_article(found: list[tuple], articles: dict[int, tuple[str, int, bool]], parent: list[int]) -> set[int]:
+    """The page's article and the elements around it.
 
-def _score(text: str, linked: int, parent: int, place: tuple, path: tuple, tag: str, any_article: bool) -> Block:
-    article, container, boiler = place
+    It is the article element, or else the main element, with most text; one with boilerplate words of its own only
+    if there is no other.
+    """
+    size = dict.fromkeys(articles, 0)
+    for text, _, place in found:
+        if place.article and not place.boiler:
+            size[place.article] += len(text)
+    for node in sorted(size, reverse=True):   # an article's text is text of the article around it too
+        if articles[node][1]:
+            size[articles[node][1]] += size[node]
+    best = max((n for n in size if size[n]), key=lambda n: (not articles[n][2], articles[n][0] == "article", size[n], -n), default=0)
+    out = set()
+    while best:
+        out.add(best)
+        best = parent[best]
+    return out
+
+
+def _score(text: str, linked: int, place: _Open, any_article: bool, plain: bool) -> float:
     words = text.count(" ") + 1
     score = (W_START + W_WORD * min(words, MAX_WORDS) + W_SENTENCE * min(len(_SENTENCE.findall(text)), MAX_SENTENCES)
              + W_LINKS * min(1.0, linked / len(text)))
-    if article:
+    if place.article:
         score += W_ARTICLE
     elif any_article:
         score += W_OUTSIDE
-    if boiler:
+    if place.boiler:
         score += W_BOILER
-    elif container:
+    elif place.container:
         score += W_CONTAINER
-    if tag in HEADINGS:
+    elif plain:
+        score += W_PLAIN
+    if place.tag in HEADINGS:
         score += W_HEADING
-    return Block(text, score, parent, path)
+    return score
 
 
-def _tree_distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    common = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        common += 1
-    return len(a) + len(b) - 2 * common
+def _tree_distance(page: Page, a: int, b: int) -> int:
+    """Steps between two elements, or more than ``SCALE`` where the way is that long."""
+    parent, depth = page.parent, page.depth
+    steps = 0
+    while a != b and steps <= SCALE:
+        if depth[a] >= depth[b]:
+            a = parent[a]
+        else:
+            b = parent[b]
+        steps += 1
+    return steps
 
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, int]]:
+def smoothness(page: Page) -> list[tuple[int, int, int]]:
     """Edges ``(i, j, capacity)`` between neighbours and between successive blocks of one parent."""
     edges = []
     last_of: dict[int, int] = {}
-    for j, block in enumerate(blocks):
+    for j, block in enumerate(page.blocks):
         if j:
-            edges.append((j - 1, j, int(SCALE * SMOOTH / (1 + _tree_distance(blocks[j - 1].path, block.path)))))
+            edges.append((j - 1, j, int(SCALE * SMOOTH / (1 + _tree_distance(page, page.blocks[j - 1].node, block.node)))))
         # The container is the element around the block's own element.
-        around = block.path[-2] if len(block.path) > 1 else 0
+        around = page.parent[block.node]
         i = last_of.get(around)
         if i is not None and i != j - 1:
             edges.append((i, j, int(SCALE * SMOOTH_SIBLING)))
@@ -301,7 +342,8 @@ def min_cut(unary: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
 
 
 def main_text(page: str) -> str:
-    blocks, _ = parse_blocks(page)
+    tree = parse_blocks(page)
+    blocks = tree.blocks
     if not blocks:
         return ""
     unary = [int(round(SCALE * b.score)) for b in blocks]
@@ -310,7 +352,7 @@ def main_text(page: str) -> str:
     elif max(unary) <= 0:
         content = [False] * len(blocks)
     else:
-        content = min_cut(unary, smoothness(blocks))
+        content = min_cut(unary, smoothness(tree))
     return " ".join(b.text for b, keep in zip(blocks, content) if keep)
 
 

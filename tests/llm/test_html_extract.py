@@ -45,9 +45,62 @@ def test_boilerplate_words_around_the_article():
         assert H.main_text(page) == STORY_TEXT, page
     nested = f"<article>{STORY}<article class='comment'><p>I disagree with all of this. It is wrong.</p></article></article>"
     assert H.main_text(nested) == STORY_TEXT
-    # Boilerplate words on one long paragraph: its neighbours in the article decide.
-    long = "Several words are in here now. " * 8
-    assert H.main_text(f"<article>{STORY}<p class='notice'>{long}</p>{STORY}</article>") == f"{STORY_TEXT} {long}{STORY_TEXT}"
+
+
+JUNK = ([f"<div class='{w}'>{{}}</div>" for w in (
+            "ad", "advert", "sponsored", "cookie-notice", "notice", "gdpr-consent", "sidebar", "menu", "breadcrumbs", "footer",
+            "share-bar", "comments", "related", "newsletter", "signup", "pagination", "copyright", "widget")]
+        + ["<div id='comments'>{}</div>", "<section role='navigation'>{}</section>", "<div hidden>{}</div>", "<p class='ad'>{}</p>"]
+        + [f"<{t}>{{}}</{t}>" for t in ("nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset")]
+        + ["<article class='comment'>{}</article>", "<ul class='related'><li>{}</li></ul>", "<form><fieldset><div>{}</div></fieldset></form>"])
+
+
+def test_junk_goes_at_any_length_and_place():
+    """Every named kind x plain text or a paragraph inside x four lengths x before, between and behind the article's paragraphs, and outside."""
+    first, second = STORY.split("</p>")[0] + "</p>", STORY.split("</p>")[1] + "</p>"
+    for kind, inner, length in itertools.product(JUNK, ("{}", "<p>{}</p>"), (1, 4, 40, 900)):
+        if kind.startswith("<p") and inner != "{}":
+            continue
+        text = " ".join(f"{w}." if i % 9 == 8 else w for i, w in enumerate(["filler", "words", "here"] * length))[:length * 6]
+        junk = kind.format(inner.format(text))
+        for body in (junk + first + second, first + junk + second, first + second + junk, first + junk + junk + second):
+            assert H.main_text(f"<body><article>{body}</article></body>") == STORY_TEXT, junk[:80]
+        for page in (f"{junk}<article>{STORY}</article>", f"<article>{STORY}</article>{junk}", f"{junk}{STORY}", f"{STORY}{junk}",
+                     f"<div class='story'>{first}{junk}{second}</div>"):
+            assert H.main_text(f"<body>{page}</body>") == STORY_TEXT, page[:120]
+
+
+def test_pages_without_containers():
+    assert H.main_text("<body><p>One plain page with no containers.</p><p>Tiny.</p></body>") == "One plain page with no containers. Tiny."
+    assert H.main_text("Just text") == "Just text"
+    assert H.main_text("<h1>Title</h1>Text after<p>and more") == "Title Text after and more"
+    links = "<ul>" + "".join(f"<li><a href='{i}'>Link {i}</a>" for i in range(9)) + "</ul>"
+    assert H.main_text(f"<body>{links}<p>The page says this much and no more.</p></body>") == "The page says this much and no more."
+
+
+def test_given_pages():
+    """The given pages state their article: its blocks, one after the other."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    assert len(rows) > 100
+    for r in rows:
+        inside = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
+        assert H.main_text(r["html"]) == " ".join(b for b in blocks if b), r["page_id"]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    deep = "<div class='side'>" * 20_000 + "x" + "<p>word</p>" * 20_000 + "</span></center>" * 20_000
+    H.main_text(deep)
+    H.main_text("<article>" + "<div><p>some words here.</p>" * 20_000)
+    assert time.time() - start < 60
 
 
 def test_text_of_formulas_and_drawings():
