@@ -60,17 +60,44 @@ def _matrix(series):
     import numpy as np
 
     vals = list(series)
-    dim = next((len(v) for v in vals if v is not None and len(v) > 0), 0)
-    m = np.zeros((len(vals), dim), dtype="float64")
-    for i, v in enumerate(vals):
-        if v is not None and len(v) == dim:
-            m[i] = np.asarray(v, dtype="float64")
+    sizes = np.array([-1 if v is None else len(v) for v in vals])
+    dim = int(next((n for n in sizes if n > 0), 0))
+    if len(vals) and (sizes == dim).all():
+        m = np.concatenate(vals).astype("float64").reshape(len(vals), dim)
+    else:
+        m = np.zeros((len(vals), dim), dtype="float64")
+        same = np.flatnonzero(sizes == dim) if dim else []
+        if len(same):
+            m[same] = np.concatenate([vals[i] for i in same]).astype("float64").reshape(len(same), dim)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     ok = n[:, 0] > 0
     m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
     return m, ok
 
 
+SIM_DIGITS = 12   # a product's last bits depend on the block it is computed in; equal vectors shall tie everywhere
+
+
+def _similarities(a, b):
+    """Cosines of the normalised rows of two matrices, rounded so that equal vectors have equal values."""
+    return (a @ b.T).round(SIM_DIGITS)
+
+
+def _top_of_rows(s, ids, k: int):
+    """(row, column) of the ``k`` largest finite values of each row; equal values by the smaller id."""
+    import numpy as np
+
+    k = min(k, s.shape[1])
+    if k == 0 or s.shape[0] == 0:
+        return np.zeros(0, "int64"), np.zeros(0, "int64")
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    row, column = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    order = np.lexsort((ids[column], -s[row, column], row))
+    row, column = row[order], column[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[nth < k], column[nth < k]
+
+
 TOPK_SCHEMA = T.StructType([T.StructField("q", T.LongType()), T.StructField("c", T.LongType()),
                             T.StructField("sim", T.DoubleType())])
 
@@ -89,7 +116,7 @@ def _topk_kernel(k: int):
         mb, okb = _matrix(b["vec"])
         ia = a["id"].to_numpy(dtype="int64")
         ib = b["id"].to_numpy(dtype="int64")
-        s = ma @ mb.T
+        s = _similarities(ma, mb)
         s[~oka, :] = -np.inf
         s[:, ~okb] = -np.inf
         if pi == pj:
@@ -97,16 +124,8 @@ def _topk_kernel(k: int):
         outs = []
         sides = [(s, ia, ib)] + ([(s.T, ib, ia)] if pi != pj else [])
         for mat, qid, cid in sides:
-            kk = min(k, mat.shape[1])
-            if kk == 0:
-                continue
-            idx = np.argpartition(-mat, kk - 1, axis=1)[:, :kk]
-            sims = np.take_along_axis(mat, idx, axis=1)
-            q = np.repeat(qid, kk)
-            c = cid[idx].ravel()
-            sv = sims.ravel()
-            keep = np.isfinite(sv)
-            outs.append(pd.DataFrame({"q": q[keep], "c": c[keep], "sim": sv[keep]}))
+            row, column = _top_of_rows(mat, cid, k)
+            outs.append(pd.DataFrame({"q": qid[row], "c": cid[column], "sim": mat[row, column]}))
         return pd.concat(outs) if outs else pd.DataFrame({"q": [], "c": [], "sim": []})
 
     return fn
@@ -169,7 +188,7 @@ def _window_best_kernel(window_s: float):
             return pd.DataFrame({"q": [], "c": [], "sim": []})
         mq, okq = _matrix(qs["vec"])
         mc, okc = _matrix(cs["vec"])
-        s = mq @ mc.T
+        s = _similarities(mq, mc)
         tq = qs["_t"].to_numpy(dtype="float64")[:, None]
         tc = cs["_t"].to_numpy(dtype="float64")[None, :]
         oq = qs["_o"].to_numpy(dtype="int64")[:, None]
@@ -179,11 +198,9 @@ def _window_best_kernel(window_s: float):
         earlier = (oc < oq) | ((oc == oq) & (ic < iq))
         valid = earlier & (tc > tq - window_s) & (tc <= tq) & okq[:, None] & okc[None, :]
         s = np.where(valid, s, -np.inf)
-        best = np.argmax(s, axis=1)
-        bs = s[np.arange(len(qs)), best]
-        keep = np.isfinite(bs)
-        return pd.DataFrame({"q": qs["id"].to_numpy(dtype="int64")[keep],
-                             "c": cs["id"].to_numpy(dtype="int64")[best[keep]], "sim": bs[keep]})
+        row, column = _top_of_rows(s, cs["id"].to_numpy(dtype="int64"), 1)
+        return pd.DataFrame({"q": qs["id"].to_numpy(dtype="int64")[row],
+                             "c": cs["id"].to_numpy(dtype="int64")[column], "sim": s[row, column]})
 
     return fn
 
@@ -450,15 +467,11 @@ def _query_block_topk(k: int):
         mc, okc = _matrix(cs["vec"])
         iq = qs["id"].to_numpy(dtype="int64")
         ic = cs["id"].to_numpy(dtype="int64")
-        s = mq @ mc.T
+        s = _similarities(mq, mc)
         s[~okq, :] = -np.inf
         s[:, ~okc] = -np.inf
         s[iq[:, None] == ic[None, :]] = -np.inf
-        kk = min(k, s.shape[1])
-        # Similarity first, then the smaller id, so equal vectors at the border are cut the same way everywhere.
-        idx = np.lexsort((np.broadcast_to(ic, s.shape), -s), axis=1)[:, :kk]
-        sims = np.take_along_axis(s, idx, axis=1).ravel()
-        keep = np.isfinite(sims)
-        return pd.DataFrame({"q": np.repeat(iq, kk)[keep], "c": ic[idx].ravel()[keep], "sim": sims[keep]})
+        row, column = _top_of_rows(s, ic, k)
+        return pd.DataFrame({"q": iq[row], "c": ic[column], "sim": s[row, column]})
 
     return fn

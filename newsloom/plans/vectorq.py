@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import adapt, loader, vectors
+from newsloom.operators import adapt, ann_index, loader, signatures, vectors
 from newsloom.plans.registry import register
 from newsloom.sources.tables import table
 
@@ -96,6 +96,66 @@ def c3_semantically_unique(spark, sf):
         "id", F.coalesce(F.col("sim") < THRESHOLD, F.lit(True)).alias("is_unique"))
 
 
+# Copies and altered copies: copy j of a vector stands j * 100 rows later, and has the first (id + 5 j) % 17 of its
+# numbers set to 0 (cosines from about 0.85 up to 1).
+COPIES_CTE = f"""
+{VEC_CTE},
+vc AS (SELECT id, vec, nrm, ts FROM v UNION ALL
+       SELECT id + 1000000 * j AS id, w AS vec,
+              sqrt(list_sum(list_transform(w, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS nrm, ts + to_minutes(CAST(j * 3700 AS BIGINT)) AS ts
+       FROM (SELECT id, j, ts, list_transform(vec, lambda x, i: CASE WHEN i <= (id + 5 * j) % 17 THEN 0::FLOAT ELSE x END) AS w
+             FROM v, (VALUES (1), (2)) js(j)))"""
+
+
+def copies(spark, sf):
+    """The vectors with two altered copies of each (see ``COPIES_CTE``)."""
+    v = vecs(spark, sf).select("id", "vec", "ts")
+    more = v.withColumn("j", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("zeros", (F.col("id") + 5 * F.col("j")) % 17)
+    cut = F.transform("vec", lambda x, i: F.when(i < F.col("zeros"), F.lit(0.0).cast("float")).otherwise(x))
+    more = more.select((F.col("id") + 1_000_000 * F.col("j")).alias("id"), cut.alias("vec"),
+                       (F.col("ts") + F.make_dt_interval(mins=F.col("j") * 3700)).alias("ts"))
+    return v.unionByName(more)
+
+
+@register("c3_signed_projections", sql=f"""
+WITH {COPIES_CTE},
+s AS (SELECT a.id AS q, b.id AS c, {cos_sql('a', 'b')} AS sim FROM vc a JOIN vc b
+      ON (b.ts < a.ts OR (b.ts = a.ts AND b.id < a.id)) AND b.ts > a.ts - INTERVAL 72 HOUR),
+r AS (SELECT q, c, sim, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rn FROM s WHERE round(sim, 12) >= 0.85)
+SELECT q, c, round(sim, 6) AS sim FROM r WHERE rn = 1
+""")
+def c3_signed_projections(spark, sf):
+    """C3 at the loader's threshold by banded signatures: the nearest earlier row inside 72 h, over altered copies."""
+    out = signatures.nearest_in_window(copies(spark, sf), 0.85, 72)
+    return out.select("q", "c", F.round("sim", 6).alias("sim"))
+
+
+@register("c3_window_nearest_of_copies", sql=f"""
+WITH {COPIES_CTE},
+s AS (SELECT a.id AS q, b.id AS c, {cos_sql('a', 'b')} AS sim FROM vc a JOIN vc b
+      ON (b.ts < a.ts OR (b.ts = a.ts AND b.id < a.id)) AND b.ts > a.ts - INTERVAL 72 HOUR),
+r AS (SELECT q, c, sim, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rn FROM s WHERE sim IS NOT NULL)
+SELECT q, c, round(sim, 6) AS sim FROM r WHERE rn = 1
+""")
+def c3_window_nearest_of_copies(spark, sf):
+    """The exact form over the same rows: equal vectors tie, and the smaller id wins."""
+    out = vectors.window_nearest(copies(spark, sf), window_hours=72, block_rows=256)
+    return out.select("q", "c", F.round("sim", 6).alias("sim"))
+
+
+@register("d10_topk_of_copies", sql=f"""
+WITH {COPIES_CTE},
+s AS (SELECT a.id AS q, b.id AS c, {cos_sql('a', 'b')} AS sim FROM vc a JOIN vc b ON a.id <> b.id AND a.id % 100 = 0),
+r AS (SELECT q, c, sim, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rank FROM s)
+SELECT q, c, round(sim, 6) AS sim, rank FROM r WHERE rank <= 2
+""")
+def d10_topk_of_copies(spark, sf):
+    """A stated query set over rows with equal vectors: ties by neighbour id."""
+    v = copies(spark, sf)
+    out = vectors.topk_of_queries(v.filter(F.col("id") % 100 == 0), v, k=2, block_rows=256)
+    return out.select("q", "c", F.round("sim", 6).alias("sim"), "rank")
+
+
 @register("d14_parse_vector_json", sql="""
 WITH j AS (SELECT vec_id, CASE WHEN label = 3 THEN 'not a vector' ELSE to_json(embedding)::VARCHAR END AS s FROM embeddings),
 p AS (SELECT vec_id, CASE WHEN json_valid(s) THEN CAST(s AS FLOAT[]) END AS v FROM j)
@@ -140,6 +200,18 @@ def d11_ivf_approximate_topk(spark, sf):
     return out.select("q", "c", F.round("sim", 6).alias("sim"), "rank")
 
 
+@register("d11_stored_index_search")
+def d11_stored_index_search(spark, sf):
+    """A stored index: built over the rows up to the load time, the others appended without fitting, then searched by
+    the stated query set.  Approximate by design: tests measure recall against d10 before and after the append."""
+    v = vecs(spark, sf)
+    late = F.col("ts") >= F.to_timestamp(F.lit(NOW_LOAD))
+    path = ann_index.scratch_path(spark)
+    ann_index.build(v.filter(~late), path)
+    ann_index.append(v.filter(late), path)
+    return ann_index.search(spark, path, v.filter(F.col("id") % 100 == 0), k=5)
+
+
 def load_inputs(spark, sf):
     v = vecs(spark, sf)
     url = F.concat(F.lit("https://v.example/"), F.col("id").cast("string"))
