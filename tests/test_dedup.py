@@ -87,3 +87,32 @@ def test_golden_pair_counts_sf001(spark):
     assert _expanded_pair_count(spark, docs) == 190
     sig = docs.select("doc_id", F.concat(F.substring("text", 1, 80), F.lit(" "), F.substring("text", 1, 300)).alias("text"))
     assert _expanded_pair_count(spark, sig) == 176
+
+
+def _greedy(spark, edges, **options):
+    from newsloom.operators import greedy
+    rows = greedy.greedy_select(spark.createDataFrame(edges, "lo long, hi long"), **options).collect()
+    return {r.node for r in rows if r.kept}, {r.node for r in rows}
+
+
+def test_greedy_equals_the_walk_for_any_ranges_and_numbers(spark):
+    import random
+
+    from newsloom.operators import greedy
+    rng = random.Random(5)
+    for size, numbers in ((1, "sorted"), (7, "sorted"), (40, "mixed"), (10_000, "mixed")):
+        order = list(range(60)) if numbers == "sorted" else rng.sample(range(1000), 60)
+        edges = [(order[i], order[j]) for i in range(60) for j in range(i + 1, 60) if rng.random() < 0.08 or j == i + 1]
+        kept, nodes = _greedy(spark, edges + edges[:5], range_edges=size)
+        assert kept == greedy.greedy_python(order, edges) & nodes, (size, numbers)
+
+
+def test_a_chain_of_ten_thousand_settles_in_tens_of_jobs(spark):
+    """Every row is similar to the next one only: each depends on all before it."""
+    n = 10_000
+    spark.sparkContext.setJobGroup("greedy-chain", "chain")
+    kept, _ = _greedy(spark, [(i, i + 1) for i in range(n)], range_edges=2_000)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("greedy-chain"))
+    spark.sparkContext.setJobGroup("", "")
+    assert kept == set(range(0, n + 1, 2))
+    assert jobs < 100, jobs
