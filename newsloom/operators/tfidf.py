@@ -24,6 +24,8 @@ every prefix, which removes the hot-term blow-up without dropping any pair
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +73,11 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     if with_term_ids:
         dfreq = with_term_ids_column(dfreq)
         cols.append("tid")
+    return weighted(tf, dfreq, n_docs, cols)
+
+
+def weighted(tf: DataFrame, dfreq: DataFrame, n_docs: Column, cols: Sequence[str] = ("id", "term", "df")) -> DataFrame:
+    """Normalised weights of term counts ``(id, term, tf)`` under document frequencies ``(term, df)``."""
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     raw = tf.join(dfreq, "term").select(*cols, (F.col("tf") * idf).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))

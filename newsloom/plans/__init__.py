@@ -14,6 +14,7 @@ PLAN_MODULES = (
     "newsloom.plans.modelq",
     "newsloom.plans.streamq",
     "newsloom.plans.variedq",
+    "newsloom.plans.stateq",
 )
 
 
