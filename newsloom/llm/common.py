@@ -77,11 +77,13 @@ def worker_state(key: tuple, build: Callable):
     return _STATE[key]
 
 
-def trimmed(batches: Iterator) -> Iterator:
-    """The batches; behind the last one the worker returns its free memory to the system."""
+def release_memory() -> None:
+    """Give the process's free memory back to the system."""
+    import gc
+
     import pyarrow as pa
 
-    yield from batches
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -89,6 +91,12 @@ def trimmed(batches: Iterator) -> Iterator:
         pass
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches; behind the last one the worker returns its free memory to the system."""
+    yield from batches
+    release_memory()
+
+
 def positions_by_key(df: DataFrame, group: str, order: list, rows_per_bucket: int = 50_000,
                      key: str = "doc_id") -> DataFrame:
     """Add ``pos``: a gapless 0-based position inside each value of ``group``, without one task per group.
