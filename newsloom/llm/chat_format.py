@@ -18,8 +18,8 @@ A conversation may hold a third of all rows, so it is cut into parts of ``2**PAR
 parts are folded and rendered independently and the output has one row per part.  The loss mask of a
 part lists the (start, end) code point spans of the assistant texts in that part's string.
 
-Defined cases: null text and null role are empty; a null turn sorts first; a null conv_id is a
-conversation of its own; rows repeated with the same turn are separate messages ordered by (role, text);
+Defined cases: null text and null role are empty; roles and texts may hold any character (in a role, a newline and
+a backslash are escaped); a null turn sorts first; a null conv_id is a conversation of its own; rows repeated with the same turn are separate messages ordered by (role, text);
 a conversation whose messages were all discarded has no row; an empty table gives an empty result.
 """
 
@@ -46,13 +46,12 @@ def unescape(text) -> F.Column:
 
 
 def _escape_role(role) -> F.Column:
-    """Roles stand on one line: backslash and newline are written as ``\\\\`` and ``\\n``."""
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    r"""Roles stand on one line: a backslash is written as ``\b`` and a newline as ``\n``; no character is special beside."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def _unescape_role(role) -> F.Column:
-    once = F.replace(unescape(role), F.lit("\\\\"), F.lit("\u0000"))
-    return F.replace(F.replace(once, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def _part() -> F.Column:
@@ -66,18 +65,21 @@ def fold_events(events: DataFrame) -> DataFrame:
     that share a turn number (0 where a turn has one message).
     """
     # A regeneration at (seq, turn) discards earlier events of that turn and of all later turns: for an event
-    # it is enough to know the last regeneration of a turn not above its own.
-    regen = events.filter(F.col("kind") == "regenerate")
-    cuts = regen.groupBy("conv_id", "turn").agg(F.max("seq").alias("cut"))
-    below = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = cuts.select("conv_id", "turn", F.max("cut").over(below).alias("cut"),
-                       F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("next_turn"))
-    e = events.filter(F.col("kind") != "regenerate").withColumn("part", _part())
-    c = cuts.select(F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn"), "next_turn", "cut")
-    live = (e.join(c, e["conv_id"].eqNullSafe(c["c_conv"]) & (e["turn"] >= c["c_turn"])
-                   & (c["next_turn"].isNull() | (e["turn"] < c["next_turn"])), "left")
-            .filter(F.col("cut").isNull() | (F.col("seq") > F.col("cut"))))
-    return _fold(live)
+    # it is enough to know the last regeneration of a turn not above its own.  Inside a part that is a running
+    # maximum; of the parts before it, one row per part is summed up.
+    e = events.withColumn("part", _part()).withColumn("cut", F.when(F.col("kind") == "regenerate", F.col("seq")))
+    e = e.repartition("conv_id", "part")
+    so_far = Window.partitionBy("conv_id", "part").orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.withColumn("cut", F.max("cut").over(so_far))
+    regenerated = events.filter(F.col("kind") == "regenerate").select("conv_id", _part().alias("part"), "seq")
+    parts = (events.select("conv_id", _part().alias("part"), F.lit(None).cast(events.schema["seq"].dataType).alias("seq"))
+             .unionByName(regenerated).groupBy("conv_id", "part").agg(F.max("seq").alias("last")))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("conv_id").alias("p_conv"), F.col("part").alias("p_part"), F.max("last").over(before).alias("p_cut"))
+    parts = parts.filter("p_cut IS NOT NULL")
+    e = e.filter(F.col("kind") != "regenerate")
+    live = e.join(parts, e["conv_id"].eqNullSafe(parts["p_conv"]) & (e["part"] == parts["p_part"]), "left")
+    return _fold(live.filter(F.coalesce(F.col("seq") > F.greatest("cut", "p_cut"), F.lit(True))))
 
 
 def _fold(live: DataFrame) -> DataFrame:
@@ -138,22 +140,31 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def events_of_rows(rows: DataFrame) -> DataFrame:
-    """A log in which every row ``(conv_id, turn, role, text)`` was streamed as two deltas.
+    """The log of a session that ends in the rows ``(conv_id, turn, role, text)``, with one ``seq`` per conversation.
 
-    The first half arrives, is replaced by an edit holding the same half, and the rest is appended.
+    Every assistant turn is drafted first (its text backwards), a follow-up already comes in on the turn behind it,
+    and then the turn is regenerated, which discards both.  Every message then arrives with its first half
+    backwards, an edit puts that half right, and the rest is appended.
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = rows.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"),
                        F.coalesce("role", F.lit("")).alias("role"), body.alias("text"),
                        F.monotonically_increasing_id().alias("message"))   # tells rows of one turn apart
     base = base.withColumn("first", F.expr("left(text, length(text) div 2)"))
-    log = F.array(F.struct(F.lit(0).alias("seq"), F.lit("delta").alias("kind"), F.col("first").alias("piece")),
-                  F.struct(F.lit(1).alias("seq"), F.lit("edit").alias("kind"), F.col("first").alias("piece")),
-                  F.struct(F.lit(2).alias("seq"), F.lit("delta").alias("kind"),
-                           F.expr("substr(text, length(text) div 2 + 1)").alias("piece")))
+
+    def event(k: int, kind: str, piece, turns_on: int = 0) -> F.Column:
+        return F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(turns_on).alias("on"), piece.alias("piece"))
+
+    drafted = F.array(event(0, "delta", F.reverse("text")), event(1, "delta", F.lit("And then?"), 1), event(2, "regenerate", F.lit("")))
+    arrived = F.array(event(3, "delta", F.reverse("first")), event(4, "edit", F.col("first")),
+                      event(5, "delta", F.expr("substr(text, length(text) div 2 + 1)")))
+    log = F.when(F.col("role") == TRAINED_ROLE, F.concat(drafted, arrived)).otherwise(arrived)
+    # Eight numbers per turn; a decimal, as turns may be any long.
+    seq = F.col("turn").cast("decimal(20,0)") * 8 + F.col("e.k")
     return (base.withColumn("e", F.explode(log))
-            .select("conv_id", "turn", "message", "role", F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"),
-                    F.col("e.piece").alias("text")))
+            .select("conv_id", F.when(F.col("e.on") == 1, F.col("turn") + 1).otherwise(F.col("turn")).alias("turn"), "message",
+                    F.when(F.col("e.on") == 1, F.lit("user")).otherwise(F.col("role")).alias("role"),
+                    seq.alias("seq"), F.col("e.kind").alias("kind"), F.col("e.piece").alias("text")))
 
 
 def chat_digest(rows: DataFrame) -> DataFrame:
