@@ -162,13 +162,13 @@ def b16_merged_text(spark, sf):
 
 @register("b18_article_text", sql="""
 SELECT conv_id, turn, coalesce(nullif(CASE WHEN role = 'system' THEN '' ELSE text END, ''),
-                               nullif(substr(text, 1, 20), '')) AS body
+                               nullif('In short: ' || text, '')) AS body
 FROM conversations
 """)
 def b18_article_text(spark, sf):
     c = table(spark, sf, "conversations")
     full = F.when(F.col("role") == "system", F.lit("")).otherwise(F.col("text"))
-    return c.select("conv_id", "turn", filters.article_text(full, F.substring("text", 1, 20)).alias("body"))
+    return c.select("conv_id", "turn", filters.article_text(full, F.concat(F.lit("In short: "), "text")).alias("body"))
 
 
 # ---------------------------------------------------------------- F section

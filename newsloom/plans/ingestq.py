@@ -139,11 +139,11 @@ def a15_append_with_generated_ids(spark, sf):
 
 GUARDIAN_ITEMS_SQL = """
 g AS (SELECT d.doc_id,
-  {'webTitle': substr(d.text, 1, 80), 'webUrl': 'https://g.example/' || CAST(d.doc_id AS VARCHAR),
+  {'webTitle': d.text, 'webUrl': 'https://g.example/' || CAST(d.doc_id AS VARCHAR),
    'sectionName': CASE WHEN d.lang = 'en' THEN 'World' END, 'section': d.source,
    'webPublicationDate': strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(d.doc_id * 37 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ'),
-   'fields': {'trailText': CASE WHEN d.lang = 'fr' THEN NULL ELSE substr(d.text, 1, 120) END,
-              'standfirst': CASE WHEN d.lang = 'de' THEN substr(d.text, 1, 60) END,
+   'fields': {'trailText': CASE WHEN d.lang IN ('fr', 'de') THEN NULL ELSE 'Trail: ' || d.text END,
+              'standfirst': CASE WHEN d.lang = 'de' THEN 'First: ' || d.text END,
               'bodyText': CASE WHEN d.lang = 'es' THEN NULL ELSE d.text END,
               'body': '<p>' || d.text || '</p>',
               'thumbnail': CASE WHEN d.lang = 'en' THEN 'https://img.example/' || CAST(d.doc_id AS VARCHAR) || '.jpg' END,
@@ -156,15 +156,15 @@ def guardian_items(spark, sf):
     d = table(spark, sf, "documents")
     ts = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 37).cast("int"))
     fields = F.struct(
-        F.when(F.col("lang") == "fr", F.lit(None).cast("string")).otherwise(F.substring("text", 1, 120)).alias("trailText"),
-        F.when(F.col("lang") == "de", F.substring("text", 1, 60)).alias("standfirst"),
+        F.when(F.col("lang").isin("fr", "de"), F.lit(None).cast("string")).otherwise(F.concat(F.lit("Trail: "), "text")).alias("trailText"),
+        F.when(F.col("lang") == "de", F.concat(F.lit("First: "), "text")).alias("standfirst"),
         F.when(F.col("lang") == "es", F.lit(None).cast("string")).otherwise(F.col("text")).alias("bodyText"),
         F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")).alias("body"),
         F.when(F.col("lang") == "en", F.concat(F.lit("https://img.example/"), F.col("doc_id").cast("string"), F.lit(".jpg"))).alias("thumbnail"),
         F.col("source").alias("byline"))
     tags = F.array(F.struct(F.lit("keyword").alias("type"), F.lit("k").alias("webTitle")),
                    F.struct(F.lit("contributor").alias("type"), F.concat(F.lit("Author "), F.col("source")).alias("webTitle")))
-    item = F.struct(F.substring("text", 1, 80).alias("webTitle"),
+    item = F.struct(F.col("text").alias("webTitle"),
                     F.concat(F.lit("https://g.example/"), F.col("doc_id").cast("string")).alias("webUrl"),
                     F.when(F.col("lang") == "en", F.lit("World")).alias("sectionName"), F.col("source").alias("section"),
                     F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("webPublicationDate"), fields.alias("fields"),
@@ -175,10 +175,10 @@ def guardian_items(spark, sf):
 @register("a16_a18_flatten_guardian", sql=f"""
 WITH {GUARDIAN_ITEMS_SQL},
 i AS (SELECT unnest([item]) AS it FROM g)
-SELECT it.webUrl AS url, coalesce(nullif(it.sectionName, ''), nullif(it.section, '')) AS category,
-       CASE WHEN nullif(it.fields.bodyText, '') IS NOT NULL
+SELECT it.webUrl AS url, coalesce(nullif(it.sectionName, ''), nullif(it.section, '')) AS category, md5(it.webTitle) AS title_md5,
+       md5(CASE WHEN nullif(it.fields.bodyText, '') IS NOT NULL
             THEN coalesce(nullif(it.fields.trailText, ''), nullif(it.fields.standfirst, ''),
-                          substr(it.fields.bodyText, 1, 180) || '...') END AS summary,
+                          substr(it.fields.bodyText, 1, 180) || '...') END) AS summary_md5,
        md5(coalesce(nullif(it.fields.bodyText, ''), nullif(it.fields.body, ''))) AS body_md5,
        nullif(it.fields.thumbnail, '') AS image_url,
        strftime(CAST(it.webPublicationDate AS TIMESTAMP), '%A, %d %B %Y %H:%M:%S') AS published_date,
@@ -188,17 +188,18 @@ FROM i
 def a16_a18_flatten_guardian(spark, sf):
     items = api.explode_results(guardian_items(spark, sf))
     flat = api.normalize_guardian(items, F.lit("2024-01-20T00:00:00+00:00"))
-    return flat.select("url", "category", "summary", F.md5("full_text").alias("body_md5"), "image_url",
+    return flat.select("url", "category", F.md5("title").alias("title_md5"), F.md5("summary").alias("summary_md5"),
+                       F.md5("full_text").alias("body_md5"), "image_url",
                        "published_date", "author")
 
 
 @register("a17_flatten_nyt", sql="""
-WITH n AS (SELECT doc_id, substr(text, 1, 80) AS title, 'https://y.example/' || CAST(doc_id AS VARCHAR) AS url,
+WITH n AS (SELECT doc_id, text AS title, 'https://y.example/' || CAST(doc_id AS VARCHAR) AS url,
                   CASE WHEN lang IN ('en', 'fr') THEN [{'url': 'https://m.example/' || CAST(doc_id AS VARCHAR)}] ELSE [] END AS multimedia,
                   CASE WHEN lang = 'de' THEN [{'media-metadata': [{'url': 'small'}, {'url': 'large-' || CAST(doc_id AS VARCHAR)}]}]
                        ELSE [] END AS media
            FROM documents)
-SELECT url, CASE WHEN len(multimedia) > 0 THEN multimedia[1].url
+SELECT url, md5(title) AS title_md5, md5('About ' || title) AS summary_md5, CASE WHEN len(multimedia) > 0 THEN multimedia[1].url
                  WHEN len(media) > 0 THEN media[1]['media-metadata'][-1].url END AS image_url
 FROM n
 """)
@@ -211,11 +212,12 @@ def a17_flatten_nyt(spark, sf):
                    F.struct(F.concat(F.lit("large-"), F.col("doc_id").cast("string")).alias("url")))
     media = F.when(F.col("lang") == "de", F.array(F.struct(meta.alias("media-metadata"))))
     media = media.otherwise(F.array().cast("array<struct<`media-metadata`:array<struct<url:string>>>>"))
-    items = d.select(F.substring("text", 1, 80).alias("title"),
+    items = d.select(F.col("text").alias("title"),
                      F.concat(F.lit("https://y.example/"), F.col("doc_id").cast("string")).alias("url"),
-                     F.lit(None).cast("string").alias("abstract"), F.lit(None).cast("string").alias("published_date"),
+                     F.concat(F.lit("About "), "text").alias("abstract"), F.lit(None).cast("string").alias("published_date"),
                      mm.alias("multimedia"), media.alias("media"))
-    return api.normalize_nyt(items, F.lit("world"), F.lit("x")).select("url", "image_url")
+    flat = api.normalize_nyt(items, F.lit("world"), F.lit("x"))
+    return flat.select("url", F.md5("title").alias("title_md5"), F.md5("summary").alias("summary_md5"), "image_url")
 
 
 @register("a19_rss_items", sql=f"""

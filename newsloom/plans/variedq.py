@@ -18,6 +18,7 @@ from newsloom.functions import text as T
 from newsloom.operators import dedup, enrich, filters, labels, ranking
 from newsloom.plans.common import news
 from newsloom.plans.modelq import LEXICON_CTE
+from newsloom.plans.pagesq import get_text_sql, paragraphs_sql, sq
 from newsloom.plans.registry import NEWS_CTE, register
 from newsloom.plans.textq import _collapse_sql, _strip_sql
 from newsloom.sources.tables import table
@@ -87,33 +88,45 @@ def h8_published_variants(spark, sf):
 
 
 @register("i22_display_image_variants", sql=f"""
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN '{T.PLACEHOLDER_IMAGE}' WHEN 1 THEN 'https://i.example/' || page_id
-                                 WHEN 2 THEN '{T.PLACEHOLDER_IMAGE}' ELSE '{T.PLACEHOLDER_IMAGE}' END AS image FROM pages
+SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'https://i.example/' || page_id WHEN 3 THEN '/i/' || page_id || '.jpeg'
+                                 ELSE '{T.PLACEHOLDER_IMAGE}' END AS image, md5(html) AS page FROM pages
 """)
 def i22_display_image_variants(spark, sf):
-    pid = F.col("page_id").cast("string")
-    img = (F.when(F.col("page_id") % 4 == 0, F.lit("NaN")).when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://i.example/"), pid))
-           .when(F.col("page_id") % 4 == 2, F.lit("a.pn")))
-    return table(spark, sf, "pages").select("page_id", T.display_image(img).alias("image"))
+    """The image that a page names, from its whole markup, or the placeholder: not a number, a url, too short, a path, none."""
+    p = _with_head(spark, sf, ('<img alt="', '" src="NaN">'), ('<img src="https://i.example/', '">'), ('<img alt="', '" src="a.pn">'),
+                   ('<meta property="og:image" content="/i/', '.jpeg">'))
+    own = F.regexp_replace("html", "(?s)^.*?(?=<!DOCTYPE)", "")   # the page behind the snippet
+    return p.select("page_id", T.display_image(H.image(F.col("html"))).alias("image"), F.md5(own).alias("page"))
 
 
 # ------------------------------------------------------------------ H1, H2, H5: nested and class-marked containers
+OWN = "(?s)<article>(.*)</article>"   # the given pages hold one article each
+
+
 def _nested(spark, sf, opening: str, closing: str):
-    """A page whose story is split by nested elements and surrounded by paragraphs that do not belong to it."""
+    """A page's own article, split by nested elements and surrounded by paragraphs that do not belong to it."""
     pid = F.col("page_id").cast("string")
     junk = ('<div class="related"><div><p>see also this other story</p></div><p>and one more story here</p></div>'
             '<nav><nav><p>menu in a menu here</p></nav><p>menu after the menu</p></nav>')
     page = F.concat(F.lit('<html><body><p>outside words before it</p>' + opening + '<div><p>lead of page '), pid,
-                    F.lit('</p><div class="quote"><p>someone said a few words</p></div></div>' + junk + '<p>tail of page '), pid,
+                    F.lit('</p><div class="quote"><p>someone said a few words</p></div></div><div class="own">'),
+                    F.regexp_extract("html", OWN, 1), F.lit('</div>' + junk + '<p>tail of page '), pid,
                     F.lit('</p>' + closing + '<p>outside words after it</p>'), F.regexp_extract("html", "(?s)<footer>.*$", 0))
     return table(spark, sf, "pages").select("page_id", page.alias("html"))
 
 
-NESTED_SQL = """
-SELECT page_id, 'lead of page ' || page_id || ' someone said a few words tail of page ' || page_id AS text FROM pages
+def _story_sql(before: str = "", after: str = "") -> str:
+    own = f"array_to_string({paragraphs_sql('own')}, ' ')"
+    return f"""
+WITH o AS (SELECT page_id, regexp_extract(html, {sq(OWN)}, 1) AS own FROM pages)
+SELECT page_id, {_strip_sql(f"'{before}lead of page ' || page_id || ' someone said a few words ' || {own} || ' tail of page ' || page_id || '{after}'")} AS text
+FROM o
 """
 
 
+NESTED_SQL = _story_sql()
+
+
 @register("h2_container_by_class", sql=NESTED_SQL)
 def h2_container_by_class(spark, sf):
     p = _nested(spark, sf, '<div class="wide newsStory">', "</div>")
@@ -132,22 +145,21 @@ def h2_container_nested_article(spark, sf):
     return p.select("page_id", HT.article_text(F.col("html")).alias("text"))
 
 
-@register("h1_nested_junk_removed", sql="""
-SELECT page_id, 'outside words before it lead of page ' || page_id || ' someone said a few words tail of page ' || page_id
-                || ' outside words after it' AS text FROM pages
-""")
+@register("h1_nested_junk_removed", sql=_story_sql("outside words before it ", " outside words after it"))
 def h1_nested_junk_removed(spark, sf):
     p = _nested(spark, sf, "<section>", "</section>")
     return p.select("page_id", F.array_join(H.paragraphs(HT.remove_junk_nested(F.col("html"))), " ").alias("text"))
 
 
-@register("h5_merge_class_blocks", sql="""
-SELECT page_id, 'block one of ' || page_id || ' inner words block two of ' || page_id AS text FROM pages
+@register("h5_merge_class_blocks", sql=f"""
+WITH o AS (SELECT page_id, {_collapse_sql(get_text_sql(f"regexp_extract(html, {sq(OWN)}, 1)"))} AS own FROM pages)
+SELECT page_id, {_collapse_sql("'block one of ' || page_id || ' inner words ' || own || ' block two of ' || page_id")} AS text FROM o
 """)
 def h5_merge_class_blocks(spark, sf):
     pid = F.col("page_id").cast("string")
     page = F.concat(F.lit('<body><p>before</p><div class="DetialsNews"><p>block one of '), pid,
-                    F.lit('</p><div>inner <b>words</b></div></div><p>between</p><div class="DetialsNews big"> block  two of '), pid,
+                    F.lit('</p><div>inner <b>words</b></div></div><p>between</p><div class="DetialsNews big">'),
+                    F.regexp_extract("html", OWN, 1), F.lit('</div><p>again</p><div class="DetialsNews"> block  two of '), pid,
                     F.lit("</div><p>after</p>"))
     return table(spark, sf, "pages").select("page_id", HT.merged_blocks(page).alias("text"))
 
@@ -175,13 +187,17 @@ def i17_is_rtl_mixed(spark, sf):
 
 
 @register("i9_consent_and_dates", sql=f"""
-SELECT doc_id, {_collapse_sql("'On 12/05/2024 ' || 'doc ' || doc_id || ' ends'")} AS raw,
-       'On doc ' || doc_id || ' ends' AS cleaned FROM documents
+WITH c AS (SELECT doc_id, 'On 12/05/2024 doc ' || coalesce(text, '') || ' ends' AS t FROM documents)
+SELECT doc_id, md5({_collapse_sql("'On 12/05/2024 doc ' || doc_id || ' ends'")}) AS raw,
+       md5({_collapse_sql(f"regexp_replace(t, {sq('(?i)' + T.DATE_PATTERN)}, ' ', 'g')")}) AS cleaned FROM c
 """)
 def i9_consent_and_dates(spark, sf):
+    """A date before the whole text goes, and so does everything from a consent phrase behind it on."""
     raw = F.concat(F.lit("On 12/05/2024 doc "), F.col("doc_id").cast("string"), F.lit(" ends"))
+    whole = F.concat(F.lit("On 12/05/2024 doc "), F.coalesce("text", F.lit("")), F.lit(" ends"))
     tail = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" TCF vendor "), F.col("text"))).otherwise(F.lit(""))
-    return table(spark, sf, "documents").select("doc_id", raw.alias("raw"), T.clean_text_remove_dates(F.concat(raw, tail)).alias("cleaned"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(raw).alias("raw"), F.md5(
+        T.clean_text_remove_dates(F.concat(whole, F.coalesce(tail, F.lit(""))))).alias("cleaned"))
 
 
 # ------------------------------------------------------------------ K4, E18, C8: every label occurs, two models
