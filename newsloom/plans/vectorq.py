@@ -266,11 +266,9 @@ def d13_incremental_semantic_dedup(spark, sf):
 def _news_highlights_sql():
     from newsloom.plans.modelq import EMBED_CTE
     from newsloom.plans.registry import NEWS_CTE
-    # The walk stops at five kept rows, so the newest 60 of a sentiment are replayed.
     return f"""
 WITH RECURSIVE {NEWS_CTE}, {EMBED_CTE},
-r AS (SELECT * FROM (SELECT id, lower(sentiment) AS g, row_number() OVER (PARTITION BY lower(sentiment) ORDER BY published_ts DESC, id) AS rn
-                     FROM news) WHERE rn <= 60),
+r AS (SELECT id, lower(sentiment) AS g, row_number() OVER (PARTITION BY lower(sentiment) ORDER BY published_ts DESC, id) AS rn FROM news),
 rv AS (SELECT r.g, r.id, ev.cell, ev.v FROM r JOIN ev USING (id)),
 pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM rv a JOIN rv b ON a.g = b.g AND a.cell = b.cell AND a.id <> b.id
                        GROUP BY a.id, b.id HAVING sum(a.v * b.v) > 0.85),
