@@ -8,6 +8,11 @@ Spark's regex functions return matches without positions, so a text is split by
 gaps between matches, exploded with the matches, give all positions by one running sum per text and kind.
 Only matches are shuffled, never texts.
 
+No value is ever stored: what is checkpointed and shuffled is its digest, salted anew in every run (or with the
+caller's ``salt``), and whether it looks random, both computed in the pass that finds it.  The given documents have no
+repository; the query takes ``source`` for the owner and ``source/lang`` as a stand-in for the repository, and
+callers name the columns that really hold them.
+
 Kinds: the base kinds ``assign``, ``access`` and ``hex``; of the method ``github``, ``slack``, ``jwt``,
 ``pem`` (formats that carry their own mark) and ``live``.  Positions are code points, end exclusive; the
 span of ``assign`` is the whole match, its value is the assigned string.
@@ -19,6 +24,8 @@ separately; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,20 +97,22 @@ def _looks_live(value) -> F.Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source",
-         repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+         repo_cols: tuple[str, ...] = ("source", "lang"), salt: str | None = None) -> DataFrame:
     """``(row, doc_id, kind, start, end, value_hash, owners, repos)``; documents without a span have null kinds."""
     prepare(docs.sparkSession)
-    raw = candidates(docs, text_col, id_col, owner_col, repo_cols).checkpoint()
+    raw = candidates(docs, text_col, id_col, owner_col, repo_cols)
+    salted = F.concat(F.lit(salt or uuid.uuid4().hex), "value")
+    raw = raw.withColumn("value_hash", F.when(F.col("good"), F.sha2(salted, 256))).withColumn(
+        "random", F.when(F.col("good"), _looks_live(F.col("value")))).drop("value").checkpoint()
     w = Window.partitionBy("row", "kind_no").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.col("length")).over(w)
     placed = (raw.filter("kind_no IS NOT NULL").withColumn("end", stop)   # failing matches count for positions
-              .filter("good").withColumn("start", F.col("end") - F.col("length"))
-              .withColumn("value_hash", F.md5("value")))
-    used = raw.filter("good").withColumn("value_hash", F.md5("value"))
+              .filter("good").withColumn("start", F.col("end") - F.col("length")))
+    used = raw.filter("good")
     counts = ownership(used).checkpoint()
     total = used.count()
     known = hot_lookup(placed, counts, "value_hash", "uses", total)
-    known = known.withColumn("live", (F.col("owners") == 1) & (F.col("repos") < EXAMPLE_REPOS) & _looks_live(F.col("value")))
+    known = known.withColumn("live", (F.col("owners") == 1) & (F.col("repos") < EXAMPLE_REPOS) & F.col("random"))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind_no") + 1)
     kinds = F.when(F.col("live"), F.array(kind, F.lit(LIVE))).otherwise(F.array(kind))
     spans = known.select("row", "doc_id", F.explode(kinds).alias("kind"), F.col("start").cast("long").alias("start"),

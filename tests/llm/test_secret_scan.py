@@ -56,6 +56,51 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert all(got[i].n_live == 1 and "live:0:" in got[i].spans for i in range(40, 43))
 
 
+def test_live_spans_against_brute_force(spark):
+    """Every good value of the corpus, by its owners, repositories and looks."""
+    import random
+
+    rng = random.Random(4)
+    values = ["Zq8kT3vXw9LmN2pR", "changemeplease123", "aaaaaaaa1111", "Abcdefghijklmnop", "q1w2e3r4t5y6U7i8", "test-Abc123456789x", "0123456789abcdef"]
+    docs = []
+    for i in range(120):
+        v = rng.choice(values)
+        docs.append((i, rng.choice([f"token={v}", f"x password: '{v}' token={rng.choice(values[1:])}", f"deadbeefdeadbeef secret={v}", "none"]),
+                     rng.choice(["en", "de", None]), "solo" if v == values[0] else rng.choice(["a", "b", "c"])))
+    df = spark.createDataFrame([(i, t, lang, o, 1, "w", "n", 5, 1, True, "x", "v", 2) for i, t, lang, o in docs], DOC_SCHEMA).repartition(4)
+    owners, repos, spans = {}, {}, []
+    for i, t, lang, o in docs:
+        for kind, (rx, group, least) in BASE.items():
+            for m in rx.finditer(t):
+                v = m.group(group)
+                if len(v) >= least:
+                    owners.setdefault(v, set()).add(o)
+                    repos.setdefault(v, set()).add((o, lang))
+                    spans.append((i, v, m.start(), m.end()))
+
+    def live(v):
+        odd = re.search("example|changeme|placeholder|your[_-]|xxxx|test", v.lower())
+        return (len(owners[v]) == 1 and len(repos[v]) < S.EXAMPLE_REPOS and len(set(v)) >= S.LIVE_CHARS and re.search("[0-9]", v)
+                and re.search("[A-Za-z]", v) and not odd)
+
+    want = sorted((i, a, b) for i, v, a, b in spans if live(v))
+    examples = Counter(i for i, v, _, _ in spans if len(owners[v]) >= S.EXAMPLE_OWNERS)
+    out = S.span_digest(S.scan(df)).collect()
+    got = sorted((r.doc_id, *map(int, x.split(":")[1:])) for r in out for x in r.spans.split(",") if x.startswith("live:"))
+    assert got == want and want
+    assert all(r.n_example >= examples[r.doc_id] > 0 or examples[r.doc_id] == r.n_example == 0 for r in out)
+
+
+def test_no_value_is_stored(spark):
+    """The result and what was checkpointed hold salted digests only."""
+    found = S.scan(frame(spark, ["token=" + SECRET]))
+    assert SECRET not in str(found.collect())
+    one, two = (S.scan(frame(spark, ["token=" + SECRET]), salt=s).filter("kind = 'assign'").first().value_hash for s in ("a", "b"))
+    assert one != two
+    logical = found._jdf.queryExecution().logical().toString()
+    assert "value#" not in logical.replace("value_hash#", "")
+
+
 def test_messy_and_empty(spark):
     df = messy(spark)
     out = S.span_digest(S.scan(df)).collect()
