@@ -15,7 +15,7 @@ from newsloom.operators import api, dedup
 from newsloom.plans.common import news
 from newsloom.plans.registry import NEWS_CTE, register
 from newsloom.plans.textq import _strip_sql
-from newsloom.sources import catalog, files
+from newsloom.sources import catalog, files, landing
 from newsloom.sources.tables import table
 
 RUN_SPLIT = "2024-01-13 00:00:00"
@@ -52,6 +52,21 @@ def a3_landing_latest_run_ingest(spark, sf):
     return recs.select("url", "language", "source")
 
 
+@register("a3_landing_source", sql=f"""
+WITH {NEWS_CTE},
+r AS (SELECT language, source, url, full_text, CASE WHEN published_ts < TIMESTAMP '{RUN_SPLIT}' THEN '20240101_060000'
+                                             ELSE '20240113_060000' END AS run_ts FROM news),
+m AS (SELECT language, source, max(run_ts) AS run_ts FROM r GROUP BY language, source)
+SELECT r.url, 'lang_dir=' || r.language || '/outlet_dir=' || r.source AS folder, md5(r.full_text) AS body FROM r JOIN m USING (language, source, run_ts)
+""")
+def a3_landing_source(spark, sf):
+    """A1-A5 by the landing data source: the newest run of every outlet folder, records with their folder."""
+    root = files.scratch_dir(spark, "landing")
+    raw_articles(spark, sf).write.partitionBy("lang_dir", "outlet_dir", "run_ts").json(root)
+    rows = landing.admitted(landing.read_landed(spark, root, latest=True, require=("full_text", "summary")))
+    return rows.select("url", F.col("source_folder").alias("folder"), F.md5("full_text").alias("body"))
+
+
 @register("a8_seen_state_roundtrip", sql=f"""
 WITH {NEWS_CTE}
 SELECT id, url FROM news WHERE url NOT IN (SELECT 'https://n.example/' || CAST(doc_id AS VARCHAR) FROM labels)
