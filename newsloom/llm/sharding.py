@@ -3,7 +3,8 @@
 Linked documents (here: those with equal texts) should share a shard while every shard holds the same
 number of rows.  The state is one narrow row per document: its link group and its current shard.
 
-1. Start: documents are dealt out by a hash of their id, unlinked ones as well.
+1. Start: documents are dealt out by a hash of their id and text, unlinked ones as well.  All orders follow that hash,
+   so the result does not depend on how the input is partitioned.
 2. Rounds of iterative joins: a group's members per shard are counted (map-side first), every member wants
    to move to the shard where most of its group already is, and moves are admitted under quotas.  A shard may
    take in as many documents as it has room for, once linked documents that want to leave and unlinked
@@ -33,10 +34,14 @@ ROUNDS = 2 * SHARDS   # at most; rounds end when no group has anywhere to go
 
 
 def text_nodes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(row, doc_id, size, text_crc32, group)``; ``group`` is a digest of the text, null texts share one."""
+    """``(row, doc_id, skey, size, text_crc32, group)``; ``group`` is a digest of the text, null texts share one.
+
+    ``skey`` depends on id and text only and decides all orders; ``row`` tells repeated rows apart.
+    """
     text = F.col(text_col)
     return docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+        F.xxhash64(id_col, F.coalesce(F.md5(text.cast("binary")), F.lit("null")), F.lit(31)).alias("skey"),
         (utf8_size(text) + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.md5(text.cast("binary")), F.lit("null")).alias("group"))
@@ -56,7 +61,7 @@ def _table(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
 def propagate(linked: DataFrame, room: list[int], shards: int, rounds: int) -> DataFrame:
     """Move the members of link groups towards the shard where most of their group is.
 
-    ``linked`` has ``row, group, shard``; ``room[s]`` is the number of linked
+    ``linked`` has ``row, skey, group, shard``; ``room[s]`` is the number of linked
     documents that shard ``s`` may hold in all.
     """
     total = linked.count()
@@ -83,7 +88,7 @@ def propagate(linked: DataFrame, room: list[int], shards: int, rounds: int) -> D
                     .select("group", "goal", "n", F.least(F.col("n"), F.greatest(F.col("room") - F.col("before"), F.lit(0)))
                             .alias("quota")).filter("quota > 0"))
         state = _move(state, admitted, total).checkpoint()
-    return state.select("row", "group", "shard")
+    return state.select("row", "skey", "shard")
 
 
 def _cumulative(df: DataFrame, part: str, amount: str, key: str = "group", rows_per_bucket: int = 50_000) -> DataFrame:
@@ -105,14 +110,14 @@ def _move(state: DataFrame, admitted: DataFrame, total: int) -> DataFrame:
     """Settle up to ``quota`` members of each admitted group in its goal, members already there first."""
     open_rows = state.filter("NOT settled")
     offers = hot_lookup(open_rows, admitted.withColumnRenamed("n", "uses"), "group", "uses", total)
-    none = offers.filter("goal IS NULL").select("row", "group", "shard", F.lit(False).alias("settled"))
+    none = offers.filter("goal IS NULL").select("row", "skey", "group", "shard", F.lit(False).alias("settled"))
     whole = (offers.filter("goal IS NOT NULL AND quota >= uses")
-             .select("row", "group", F.col("goal").cast("int").alias("shard"), F.lit(True).alias("settled")))
+             .select("row", "skey", "group", F.col("goal").cast("int").alias("shard"), F.lit(True).alias("settled")))
     # A group that its goal can't take whole is cut by an exact rank; at most one per shard and round.
     cut = offers.filter("goal IS NOT NULL AND quota < uses").checkpoint()
-    ranked = positions_by_key(cut, "group", [F.when(F.col("shard") == F.col("goal"), 0).otherwise(1), F.col("row")], key="row")
+    ranked = positions_by_key(cut, "group", [F.when(F.col("shard") == F.col("goal"), 0).otherwise(1), F.col("skey"), F.col("row")], key="skey")
     stays = F.col("pos") < F.col("quota")
-    cut = ranked.select("row", "group", F.when(stays, F.col("goal")).otherwise(F.col("shard")).cast("int").alias("shard"),
+    cut = ranked.select("row", "skey", "group", F.when(stays, F.col("goal")).otherwise(F.col("shard")).cast("int").alias("shard"),
                         stays.alias("settled"))
     return state.filter("settled").unionByName(none).unionByName(whole).unionByName(cut)
 
@@ -131,22 +136,22 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text_col:
                             F.lit(None).cast("int").alias("grown_shard"))
     quota = quotas(total, shards)
     groups = nodes.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").checkpoint()
-    start = F.pmod(F.xxhash64("row", F.lit(29)), F.lit(shards)).cast("int").alias("shard")
+    start = F.pmod(F.xxhash64("skey", F.lit(29)), F.lit(shards)).cast("int").alias("shard")
     size_of = groups.withColumnRenamed("n", "uses")
-    dealt = hot_lookup(nodes.select("row", "group"), size_of, "group", "uses", total)
-    linked = dealt.filter("uses IS NOT NULL").select("row", "group", start).checkpoint()
+    dealt = hot_lookup(nodes.select("row", "skey", "group"), size_of, "group", "uses", total)
+    linked = dealt.filter("uses IS NOT NULL").select("row", "skey", "group", start).checkpoint()
     moved = propagate(linked, quota, shards, rounds)
-    single = dealt.filter("uses IS NULL").select("row", "group", start)
+    single = dealt.filter("uses IS NULL").select("row", "skey", start)
     rank = F.lit(0).alias("rank")
-    placed = (moved.select("row", "shard", rank)
-              .unionByName(single.select("row", "shard", F.lit(1).alias("rank"))).checkpoint())
+    placed = (moved.select("row", "skey", "shard", rank)
+              .unionByName(single.select("row", "skey", "shard", F.lit(1).alias("rank"))).checkpoint())
     # Repair: rows beyond the quota of a shard (unlinked ones rank last) fill the free places of the others.
-    numbered = positions_by_key(placed, "shard", [F.col("rank"), F.col("row")], key="row").checkpoint()
+    numbered = positions_by_key(placed, "shard", [F.col("rank"), F.col("skey"), F.col("row")], key="skey").checkpoint()
     counts = {r["shard"]: r["n"] for r in numbered.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     limits = F.broadcast(_table(spark, "s, quota", list(enumerate(quota))))
     numbered = numbered.join(limits, numbered["shard"] == F.col("s")).drop("s")
     fine = numbered.filter("pos < quota").select("row", "shard", F.col("pos").alias("slot"))
-    spare = numbered.filter("pos >= quota").select("row", "rank", F.lit(0).alias("pool")).checkpoint()
+    spare = numbered.filter("pos >= quota").select("row", "skey", "rank", F.lit(0).alias("pool")).checkpoint()
     holes, at = [], 0
     for s in range(shards):
         gap = quota[s] - counts.get(s, 0)
@@ -154,7 +159,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text_col:
             holes.append((s, at, at + gap, counts.get(s, 0)))
             at += gap
     if holes:
-        queue = positions_by_key(spare, "pool", [F.col("rank"), F.col("row")], key="row")
+        queue = positions_by_key(spare, "pool", [F.col("rank"), F.col("skey"), F.col("row")], key="skey")
         # The place in the queue decides the shard: one branch per shard at most.
         place = None
         for s, lo, hi, first in holes:

@@ -39,6 +39,13 @@ def test_hot_group_is_split_by_quota(spark):
     assert len(held) <= 9 and sum(n == 100 for n in held.values()) >= 6
 
 
+def test_same_shards_under_any_partitioning(spark):
+    texts = [(i, f"group {i % 30}" if i < 300 else "hot" if i < 600 else f"own {i}") for i in range(1200)] + [(None, "x"), (5, "group 5"), (5, "group 5")]
+    one, two = (sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in S.shard(documents(spark, t, n)).collect()), key=str)
+                for t, n in ((texts, 1), (texts[::-1], 7)))
+    assert one == two
+
+
 def test_only_links(spark):
     check(spark, [(i, f"g{i % 3}") for i in range(203)])
 
