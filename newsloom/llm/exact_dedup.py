@@ -1,8 +1,8 @@
 """Exact dedup by a content sort.
 
-Rows are range-partitioned on ``(first 256 characters, digest, id descending)`` of their text with sampled
+Rows are range-partitioned on ``(first 64 characters, digest, id descending)`` of their text with sampled
 splitters, each range is sorted externally, which places equal texts next to each other, and neighbouring
-texts are compared in full.  Texts are in the order of their content as far as their first 256 characters tell them
+texts are compared in full.  Texts are in the order of their content as far as their first 64 characters tell them
 apart; those that share them stand in the order of their digests, as a splitter of a whole text could be of any
 size, and the sample that Spark takes to the driver has to stay small.  The id is part of the splitter key, so a text
 that holds a third of all rows is spread over many ranges; runs that cross a range border are closed by
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import drop_rows, load, prepare
 
-HEAD_CHARS = 256   # characters of the text in a splitter
+HEAD_CHARS = 64   # characters of the text in a splitter; with digest and id it takes about a hundred bytes
 
 _RUNS = "doc_id long, text_sha256 string, pid int, run long, is_first boolean, edge string, edge_last boolean"
 
@@ -79,7 +79,7 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("text_sha256", F.sha2("text", 256))
     # An expression, not a column: the head of the text is not shuffled a second time.
-    order = [F.substring("text", 1, HEAD_CHARS), F.col("text_sha256"), F.col("doc_id").desc_nulls_last()]
+    order = [F.substring("text", 1, HEAD_CHARS), F.unhex("text_sha256"), F.col("doc_id").desc_nulls_last()]
     ranges = base.repartitionByRange(*order).sortWithinPartitions(*order)
     tagged = (ranges.select("doc_id", "text", "text_sha256")
               .mapInArrow(_tag_runs, _RUNS).checkpoint())
