@@ -51,8 +51,10 @@ class SeenSet:
         done = _read(self.spark, f"{self.path}/generations", "generation int")
         return done.agg(F.coalesce(F.max("generation"), F.lit(0)).alias("g")).first().g
 
-    def keys(self) -> DataFrame:
-        return _read(self.spark, f"{self.path}/keys-{self._generation()}", "key string, run string").select("key")
+    def keys(self, without: str | None = None) -> DataFrame:
+        """The stored keys (without those of one run)."""
+        stored = _read(self.spark, f"{self.path}/keys-{self._generation()}", "key string, run string")
+        return (stored if without is None else stored.filter(F.col("run") != without)).select("key")
 
     def words(self) -> DataFrame:
         """The merged filter, one row per word with a bit set."""
@@ -70,7 +72,8 @@ class SeenSet:
         A run owns its folder: adding the same run again replaces it.
         """
         run, generation = run or uuid.uuid4().hex, self._generation()
-        fresh = self.unseen(new_keys.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key")).distinct(), "key")
+        # A run that is added again must not meet its own keys: its folder is left out and replaced.
+        fresh = self.unseen(new_keys.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key")).distinct(), "key", run)
         folder = f"{self.path}/keys-{generation}/run={run}"
         fresh.write.mode("overwrite").parquet(folder)
         stored = self.spark.read.schema("key string").parquet(folder)
@@ -110,9 +113,9 @@ class SeenSet:
         # Marked as nondeterministic so that the filters on it are not pushed below it and test twice.
         return F.arrow_udf(test, "boolean").asNondeterministic()(self.places(F.coalesce(key.cast("string"), F.lit(""))))
 
-    def unseen(self, df: DataFrame, key: str = "url") -> DataFrame:
-        """Rows of ``df`` whose key is not in the set; rows with a null key stay."""
-        stored = self.keys().withColumnRenamed("key", "__seen")
+    def unseen(self, df: DataFrame, key: str = "url", without: str | None = None) -> DataFrame:
+        """Rows of ``df`` whose key is not in the set (``without`` one run); rows with a null key stay."""
+        stored = self.keys(without).withColumnRenamed("key", "__seen")
         known = self.maybe_seen(F.col(key))
         if known is None:
             return df.join(stored, F.col(key).cast("string") == F.col("__seen"), "left_anti")

@@ -4,7 +4,8 @@ The rule is stated on event times alone: a row passes if no row of its key that
 before (or, for a row that arrives late, behind) it.  State per key is the time of the last row that passed; a
 timer of event time ends it exactly one window later, so the state holds only keys seen inside the window and the
 watermark's delay.  As nothing depends on when a batch ends, any grouping of the arrivals into batches gives the
-same rows, as long as rows of one key do not arrive in an earlier batch than rows before them.
+same rows, as long as rows of one key do not arrive in an earlier batch than rows before them.  (With a delay longer than
+the window, rows that come more than a window late are judged against each other inside their batch only.)
 """
 
 from __future__ import annotations
@@ -35,17 +36,20 @@ class FirstPerWindow(StatefulProcessor):
         # The key's rows of one batch, as numbers and ids only.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "id"], kind="stable")
         last = self.kept.get()[0] if self.kept.exists() else None
-        before, passed, times = last, [], batch["ts_us"].to_numpy()
+        before, late, passed, times = last, None, [], batch["ts_us"].to_numpy()
         at = 0
         while at < len(times):
             ts = int(times[at])
-            if last is None or abs(ts - last) >= self.window:
+            if last is None or ts - last >= self.window:
                 passed.append(at)
-                # A row from before the window of the last one passes, but does not take its place.
-                last = ts if last is None else max(last, ts)
-                at += 1
-            else:   # on to the first row that can pass
-                at = max(at + 1, int(times.searchsorted(last + self.window, "left")) if ts >= last else at + 1)
+                last = ts
+            elif last - ts >= self.window and (late is None or ts - late >= self.window):
+                passed.append(at)   # from before the window of the last one, whose place it does not take
+                late = ts
+            elif ts >= last:   # on to the first row that can pass
+                at = int(times.searchsorted(last + self.window, "left"))
+                continue
+            at += 1
         if last is not None and last != before:
             self.kept.update((last,))
             self.handle.registerTimer((last + self.window) // 1000)

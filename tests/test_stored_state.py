@@ -50,6 +50,7 @@ def test_seen_set_is_exact(spark, tmp_path, monkeypatch, limit):
     assert seen.unseen(batch).count() == 600
     assert seen.add(_keys(spark, [f"u{i}" for i in range(0, 100)] + [None, "u5", ""]), run="a").count() == 101
     assert seen.add(_keys(spark, [f"u{i}" for i in range(50, 200)]), run="b").count() == 100
+    assert seen.add(_keys(spark, [f"u{i}" for i in range(50, 200)]), run="b").count() == 100   # a replay loses nothing
     known = {f"u{i}" for i in range(200)}
 
     def check(s):
