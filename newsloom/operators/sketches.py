@@ -45,7 +45,34 @@ def daily_items(df: DataFrame, item_col: str, ts_col: str = "published_ts", trac
 
 
 def top_items(days: DataFrame, now: Column, last_days: int, k: int, tracked: int = TRACKED) -> DataFrame:
-    """``(item, count)``: the k most frequent items of the last n days, from the days' sketches."""
+    """``(item, count)``: the k most frequent items of the last n days, from the days' sketches.
+
+    The sketches meet under a (constant) group key: a partition without a day in range then sends nothing, where a
+    global aggregate would send an empty sketch, which Spark cannot write.
+    """
     age = F.datediff(F.to_date(now), F.col("day"))
-    both = days.filter((age >= 0) & (age < last_days)).agg(F.call_function("approx_top_k_combine", F.col("items"), F.lit(tracked)).alias("items"))
+    both = days.filter((age >= 0) & (age < last_days)).groupBy(F.lit(0).alias("all")).agg(
+        F.call_function("approx_top_k_combine", F.col("items"), F.lit(tracked)).alias("items"))
     return both.select(F.explode(F.call_function("approx_top_k_estimate", F.col("items"), F.lit(k))).alias("x")).select("x.item", "x.count")
+
+
+def exact_top_items(df: DataFrame, days: DataFrame, item_col: str, now: Column, last_days: int, k: int, ts_col: str = "published_ts",
+                    tracked: int = TRACKED, candidates: int = 1000) -> DataFrame:
+    """``(item, count)`` of :func:`top_items` with exact counts, equal ones by item.
+
+    A sketch never estimates an item below its count, and no item that it does not follow reaches its lowest estimate.
+    So the k best of the ``candidates`` are the k best of all where the k-th count is above the lowest
+    candidate's estimate; other days are counted whole.
+    """
+    found = top_items(days, now, last_days, candidates, tracked).collect()   # at most ``candidates`` rows
+    age = F.datediff(F.to_date(now), F.to_date(ts_col))
+    rows = df.filter((age >= 0) & (age < last_days) & F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"))
+    order = [F.col("count").desc(), F.col("item").asc()]
+    if not found:
+        return rows.groupBy("item").agg(F.count(F.lit(1)).alias("count")).orderBy(*order).limit(k)
+    few = df.sparkSession.createDataFrame([(r["item"],) for r in found], rows.schema)
+    best = rows.join(F.broadcast(few), "item", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("count")).orderBy(*order).limit(k)
+    counts = [(r["item"], r["count"]) for r in best.collect()]
+    if len(counts) == k and counts[-1][1] > min(r["count"] for r in found):
+        return df.sparkSession.createDataFrame(counts, best.schema)
+    return rows.groupBy("item").agg(F.count(F.lit(1)).alias("count")).orderBy(*order).limit(k)

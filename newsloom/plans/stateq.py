@@ -104,12 +104,13 @@ w AS (SELECT unnest(regexp_extract_all(lower(full_text), '[\\p{{L}}\\p{{N}}_]{{2
 SELECT count FROM (SELECT item, count(*) AS count FROM w GROUP BY item) ORDER BY count DESC, item LIMIT 5
 """)
 def e16_sketch_keywords(spark, sf):
-    """The counts of the five most frequent words of the last week, from daily frequent-items sketches."""
+    """The counts of the five most frequent words of the last week: found by daily frequent-items sketches, counted exactly."""
     from newsloom.operators import tfidf
     words = news(spark, sf).select("published_ts", F.explode(tfidf.tokens(F.col("full_text"))).alias("item"))
     path = files.scratch_dir(spark, "items")
     sketches.daily_items(words, "item").write.parquet(path)
-    return sketches.top_items(spark.read.parquet(path), F.to_timestamp(F.lit(NOW)), 7, 5).select("count")
+    days = spark.read.parquet(path)
+    return sketches.exact_top_items(words, days, "item", F.to_timestamp(F.lit(NOW)), 7, 5).select("count")
 
 
 @register("j6_weekly_from_panes", sql=f"""

@@ -137,3 +137,20 @@ def test_panes_are_repeated_not_events(spark):
                                   "window_start timestamp, count long, positive long, negative long")
     got = {r.window_start.day if r.window_start.month == 1 else -r.window_start.day: r["count"] for r in S.windows_from_panes(panes, 3).collect()}
     assert got == {-30: 10, -31: 30, 1: 30, 2: 20, 3: 50, 4: 50, 5: 50}
+
+
+def test_top_items_over_days_out_of_range_and_many_words(spark, tmp_path):
+    """Partitions without a day in range, and more words than the sketches follow."""
+    from newsloom.operators import sketches
+    words = [("2024-01-%02d 08:00:00" % (1 + i % 26), f"w{i % 6000}") for i in range(30000)]
+    words += [("2024-01-%02d 09:00:00" % (20 + i % 7), f"top{i % 5}") for i in range(1500 + 10)] + [("2024-01-25 09:00:00", "top0")] * 7
+    df = spark.createDataFrame(words, "ts string, item string").withColumn("published_ts", F.to_timestamp("ts")).repartition(4)
+    now = F.to_timestamp(F.lit("2024-01-26 00:00:00"))
+    path = str(tmp_path / "items")
+    sketches.daily_items(df, "item", tracked=100).repartition(8, "day").write.parquet(path)
+    days = spark.read.parquet(path).repartition(16)
+    got = [(r["item"], r["count"]) for r in sketches.exact_top_items(df, days, "item", now, 7, 5, tracked=100, candidates=50).collect()]
+    want = (df.filter("published_ts >= '2024-01-20' AND published_ts < '2024-01-27'").groupBy("item").count()
+            .orderBy(F.col("count").desc(), "item").limit(5).collect())
+    assert got == [(r["item"], r["count"]) for r in want] and got[0][1] > 300
+    assert sketches.top_items(days, F.to_timestamp(F.lit("2023-01-01 00:00:00")), 7, 5, 100).collect() == []
