@@ -87,7 +87,9 @@ def sentiment_classifier_spec(max_iter: int = 50, reg: float = 0.01):
     return Pipeline(stages=[
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_id", predictionCol="prediction",
-                           family="multinomial", maxIter=max_iter, regParam=reg),
+                           family="multinomial", maxIter=max_iter, regParam=reg,
+                           # Gradients are dense (classes x features), so few of them may reach the driver at a time.
+                           aggregationDepth=4),
     ])
 
 
