@@ -146,6 +146,13 @@ def normalize_arabic_date(s: Column, tz: str = LOCAL_TZ) -> Column:
     return F.date_format(F.from_utc_timestamp(parse_datestr(s, tz), tz), ARABIC_LONG_FORMAT)
 
 
+def with_arabic_date(df: DataFrame, src: str, out: str, tz: str = LOCAL_TZ) -> DataFrame:
+    """Add ``out`` = I3 of column ``src``, for whole tables: the string is prepared and parsed once per row."""
+    tmp = f"_{out}_ts"
+    return (with_parsed_date(df, src, tmp, tz)
+            .withColumn(out, F.date_format(F.from_utc_timestamp(F.col(tmp), tz), ARABIC_LONG_FORMAT)).drop(tmp))
+
+
 def long_form(iso: Column) -> Column:
     """ISO timestamp -> 'Wednesday, 22 October 2025 15:17:57' (UTC); bad input returned unchanged."""
     return F.coalesce(F.date_format(F.try_to_timestamp(iso), LONG_FORMAT), iso)

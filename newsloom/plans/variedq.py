@@ -290,4 +290,4 @@ SELECT event_id, strftime(timezone('Africa/Cairo', ts AT TIME ZONE 'UTC'), '%A,
 def i3_arabic_date_string(spark, sf):
     from newsloom.plans.datesq import _events, arabic_rendering
     e = _events(spark, sf).withColumn("a", arabic_rendering(F.col("ts")))
-    return e.select("event_id", D.normalize_arabic_date(F.col("a")).alias("s"))
+    return D.with_arabic_date(e, "a", "s").select("event_id", "s")
