@@ -59,21 +59,17 @@ def exact_copies(docs: DataFrame, id_col: str, text_col: str, order_col: str) ->
 
 
 def tfidf_on_distinct(docs: DataFrame, id_col: str, text_col: str, order_col: str,
-                      copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF over one row per distinct text, with df/n counting every copy.
-
-    Returns ``(vec, order)`` where ``order`` is ``(id, ord)`` for representatives.
-    """
+                      copies: DataFrame | None = None) -> DataFrame:
+    """TF-IDF over one row per distinct text, with df/n counting every copy: packed rows ``(id, ord, tids, ws)``."""
     copies = copies if copies is not None else exact_copies(docs, id_col, text_col, order_col)
     reps = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(order_col).alias("ord"))
             .join(copies.filter("is_rep").select("id", "n_copies"), "id"))
     vec = tfidf.tfidf(reps, "id", "text", copies_col="n_copies", with_term_ids=True)
-    # The vectors (with each document's order key) feed the prefix join and
-    # the packed vectors; a reliable checkpoint computes them once and cuts
+    # The packed vectors are read several times; a reliable checkpoint computes them once and cuts
     # the lineage there.
     ensure_checkpoint_dir(docs.sparkSession)
-    vec = vec.join(reps.select("id", "ord"), "id").checkpoint(eager=True)
-    return vec, vec.select("id", "ord").distinct()
+    packed = tfidf.packed_vectors(vec.select("id", "tid", "w"))
+    return packed.join(reps.select("id", "ord"), "id").select("id", "ord", "tids", "ws").checkpoint(eager=True)
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "text",
@@ -81,8 +77,8 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "t
                          strict: bool = False, hot_rows: int = tfidf.HOT_TERM_ROWS) -> DataFrame:
     """C4 over distinct texts: ``(doc_a, doc_b, cosine)`` between copy-group representatives."""
     order_col = order_col or id_col
-    vec, order = tfidf_on_distinct(docs, id_col, text_col, order_col)
-    pairs = tfidf.similar_pairs(vec, order, threshold, strict=strict, hot_rows=hot_rows)
+    vec = tfidf_on_distinct(docs, id_col, text_col, order_col)
+    pairs = tfidf.similar_pairs(vec, threshold, strict=strict, hot_rows=hot_rows)
     return pairs.select(F.col("lo").alias("doc_a"), F.col("hi").alias("doc_b"), "cosine")
 
 
@@ -98,8 +94,8 @@ def greedy_dedup(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     """
     order_col = order_col or id_col
     copies = exact_copies(docs, id_col, text_col, order_col)
-    vec, order = tfidf_on_distinct(docs, id_col, text_col, order_col, copies)
-    edges = tfidf.similar_pairs(vec, order, threshold)
+    vec = tfidf_on_distinct(docs, id_col, text_col, order_col, copies)
+    edges = tfidf.similar_pairs(vec, threshold)
     decided = greedy.greedy_select(edges, "lo", "hi")
     # A text without tokens has a zero vector (cosine 0 with anything, its
     # copies included), so its copies are kept like the reference keeps them.

@@ -8,18 +8,19 @@ maximal runs of two or more letters, digits or underscores after lower-casing
 (``[\\p{L}\\p{N}_]{2,}``), which is the Unicode word rule without combining
 marks (Q10).
 
-Similarity join (exact, no all-pairs step).  Order terms globally rare-first
-(df ascending, then term).  If cos(x, y) >= t and k is the first shared term
-in that order, Cauchy-Schwarz over the terms at or after k gives
-||x[>=k]|| >= t and ||y[>=k]|| >= t.  So every qualifying pair shares a term
-whose suffix norm is >= t in *both* documents — the "prefix" terms.  Only
-prefix entries are self-joined (on an exact integer term id); three more exact
-bounds prune the joined rows and pairs (max-weight suffix bound, suffix-norm
-product at the first shared term, partial dot + bound on the rest).  Each
-surviving candidate is verified with its full dot product on packed sorted
-vectors.  Common terms sit at the end of the order and so fall out of almost
-every prefix, which removes the hot-term blow-up without dropping any pair
+Similarity join (exact).  Term ids number the dictionary rare-first (df
+ascending, then term).  A document's head are its terms up to the point where
+the norm of the rest falls under ``HEAD_REST``.  If y's head ends no earlier
+than x's, all shared terms before the end of x's head are in both heads, and the
+others add at most the norm of x's rest (Cauchy-Schwarz, unit vectors).  So a
+pair at cosine >= t has a dot product of heads of at least t minus the larger of
+the two rests; only pairs that reach it are verified with the full dot product.
+Common terms sit at the end of the order and so fall out of almost every head
 (tests compare with brute force).
+
+The pairs themselves are never shuffled: documents are dealt into blocks of
+bounded size, two blocks meet in one task, and what leaves it are the similar
+pairs.  A vector travels once per block, whatever its terms have in common.
 """
 
 from __future__ import annotations
@@ -31,12 +32,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.operators import ranking
-from newsloom.session import ensure_checkpoint_dir
 
 # The token rule.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-# Slack on the prefix bound so float rounding never loses a candidate.
-PREFIX_EPS = 1e-9
+# Slack on the head bound so float rounding never loses a candidate.
+HEAD_EPS = 1e-7
+# The norm under which a document's rest is left out of its head (less where the threshold is low).
+HEAD_REST = 0.8
+# A block's terms at most, on average, and its documents (times ``hot_rows``).
+BLOCK_TERMS = 4_000_000
+HOT_TERM_ROWS = 1024
+BLOCK_DOCS_PER_ROW = 16
+# Products that a task holds at a time.
+CHUNK = 4_000_000
 
 
 def tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
@@ -88,143 +96,146 @@ def with_term_ids_column(dfreq: DataFrame) -> DataFrame:
     """Add dense integer term ids ``tid`` to a one-row-per-term dictionary.
 
     The ids come from a distributed sort of the dictionary, so equal ids always
-    mean equal terms, at any vocabulary size.
+    mean equal terms, at any vocabulary size.  Rare terms come first.
     """
-    return ranking.sequential_ids(dfreq, [F.col("term").asc()], col="tid")
+    return ranking.sequential_ids(dfreq, [F.col("df").asc(), F.col("term").asc()], col="tid")
 
 
-def prefix_entries(vec: DataFrame, threshold: float) -> DataFrame:
-    """Entries of ``vec`` that can be a pair's first shared term, with suffix bounds.
+def packed_vectors(vec: DataFrame) -> DataFrame:
+    """One row per document: ``(id, tids, ws)`` sorted by term id.
 
-    For doc x and term k (rare-first order) two bounds hold for the dot product
-    of x's terms at or after k with any unit vector y:
-    ``sfx = ||x[>=k]||`` and ``sfx_mw = sum_{j>=k} x_j * maxw_j`` where maxw_j
-    is term j's largest weight in the corpus.  A term can be the first shared
-    term of a qualifying pair only if ``min(sfx, sfx_mw) >= threshold``.
-    The ``*_after`` columns are the same bounds for the terms strictly after k.
+    A document's vector is bounded by its own length, so this group is never
+    larger than one text.
     """
-    maxw = vec.groupBy("tid").agg(F.max("w").alias("maxw"))
-    v = vec.join(maxw, "tid")
-    w = (Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("term").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sfx_sq = F.sum(F.col("w") * F.col("w")).over(w)
-    sfx_mw = F.sum(F.col("w") * F.col("maxw")).over(w)
-    keep = ["ord"] if "ord" in vec.columns else []
-    v = v.select("id", "tid", "w", "maxw", *keep, sfx_sq.alias("_sq"), sfx_mw.alias("sfx_mw"))
-    v = v.select(
-        "id", "tid", "w", *keep,
-        F.sqrt("_sq").alias("sfx"),
-        F.sqrt(F.greatest(F.col("_sq") - F.col("w") * F.col("w"), F.lit(0.0))).alias("sfx_after"),
-        "sfx_mw",
-        F.greatest(F.col("sfx_mw") - F.col("w") * F.col("maxw"), F.lit(0.0)).alias("mw_after"),
-    )
-    bound = F.least(F.col("sfx"), F.col("sfx_mw"))
-    return v.filter(bound >= F.lit(threshold - PREFIX_EPS))
-
-
-# A term with more prefix entries than this is split into salted sub-groups.
-HOT_TERM_ROWS = 1024
+    packed = vec.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("tid", "w"))).alias("_v"))
+    return packed.select("id", F.col("_v.tid").alias("tids"), F.col("_v.w").alias("ws"))
 
 
-def candidate_pairs(vec: DataFrame, order: DataFrame, threshold: float, hot_rows: int = HOT_TERM_ROWS) -> DataFrame:
-    """(lo, hi) pairs that can reach ``threshold``; ``order`` maps id -> ord (total order).
+class _Block:
+    """The documents of one block as flat arrays: entries by document, term ids ascending."""
 
-    Exact filters, applied to the term join of prefix entries:
-    * row filter: at a pair's first shared term k, ||x[>=k]|| * ||y[>=k]|| >= t
-      (the product only falls along the order, so failing rows are never first);
-    * pair filter: the partial dot over the joined (leading) shared terms plus
-      a bound on everything after the last of them must reach t.
+    def __init__(self, pdf, rest: float) -> None:
+        import numpy as np
 
-    Hot terms: a term with more than ``hot_rows`` prefix entries is split into
-    k = ceil(n / hot_rows) salts.  Each entry is replicated over the k x k grid
-    of salt pairs (as the left side along its row, as the right side along its
-    column), so every ordered pair of documents meets in exactly one cell and
-    no task enumerates more than about ``hot_rows``^2 pairs — the join output,
-    not just its input, is spread across tasks.
-    """
-    pre = prefix_entries(vec, threshold)
-    pre = pre if "ord" in pre.columns else pre.join(order, "id")
-    salts = (pre.groupBy("tid").agg(F.count(F.lit(1)).alias("_n"))
-             .select("tid", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(hot_rows))).cast("int").alias("_k")))
-    pre = pre.join(salts, "tid").withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
-    # Both sides of the self-join read one materialised copy of the prefix entries.
-    ensure_checkpoint_dir(vec.sparkSession)
-    pre = pre.checkpoint(eager=True)
-    cols = ["w", "sfx", "sfx_after", "mw_after"]
-    grid = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
-    a = pre.select(F.col("id").alias("lo"), F.col("ord").alias("lo_ord"), "tid", F.col("_salt").alias("_sa"),
-                   grid.alias("_sb"), *[F.col(c).alias(c + "_a") for c in cols])
-    b = pre.select(F.col("id").alias("hi"), F.col("ord").alias("hi_ord"), "tid", grid.alias("_sa"),
-                   F.col("_salt").alias("_sb"), *[F.col(c).alias(c + "_b") for c in cols])
-    eps = F.lit(threshold - PREFIX_EPS)
-    pairs = a.join(b, ["tid", "_sa", "_sb"]).filter(
-        ((F.col("lo_ord") < F.col("hi_ord")) | ((F.col("lo_ord") == F.col("hi_ord")) & (F.col("lo") < F.col("hi"))))
-        & (F.col("sfx_a") * F.col("sfx_b") >= eps))
-    rest = F.least(F.col("sfx_after_a") * F.col("sfx_after_b"), F.col("mw_after_a"), F.col("mw_after_b"))
-    agg = pairs.groupBy("lo", "hi").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("_partial"),
-                                        F.min(rest).alias("_rest"))
-    return agg.filter(F.col("_partial") + F.col("_rest") >= eps).select("lo", "hi")
+        self.ids = pdf["id"].to_numpy(dtype="int64")
+        self.place = pdf["_place"].to_numpy()
+        sizes = np.array([len(t) for t in pdf["tids"]], dtype="int64")
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.tid = np.concatenate([np.zeros(0, "int64"), *pdf["tids"]]).astype("int64")
+        self.w = np.concatenate([np.zeros(0), *pdf["ws"]]).astype("float64")
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        before = np.concatenate([[0.0], np.cumsum(self.w * self.w)])
+        sfx = np.sqrt(np.maximum(before[self.start[1:]][doc] - before[:-1], 0.0))   # norm of the term and all after it
+        head = sfx >= rest
+        self.rest = np.zeros(len(sizes))
+        np.maximum.at(self.rest, doc[~head], sfx[~head])
+        self.head_doc, self.head_tid, self.head_w = doc[head], self.tid[head], self.w[head]
+        self.head_start = np.searchsorted(self.head_doc, np.arange(len(sizes) + 1))
 
 
-def packed_vectors(vec: DataFrame) -> DataFrame:
-    """One row per document: ``(id, tids, ws)`` sorted by term id.
+def _runs(first, n):
+    """The numbers ``first[i] .. first[i] + n[i] - 1`` of all i, one after the other."""
+    import numpy as np
+
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
-    A document's vector is bounded by its own length, so this group is never
-    larger than one text.
-    """
-    packed = vec.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("tid", "w"))).alias("_v"))
-    return packed.select("id", F.col("_v.tid").alias("tids"), F.col("_v.w").alias("ws"))
 
+def _parts(sizes, most: int):
+    """Ranges (from, to) of consecutive items with at most ``most`` in all (one item at least)."""
+    import numpy as np
 
-def _dot_batches(batches):
-    """Dot products of all pairs of a batch at once.
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
 
-    Term ids are dense and each vector is sorted by them, so ``pair number * ids + term id`` is one sorted
-    key over the whole batch and both sides meet in a single binary search.
-    """
+
+def _head_hits(a: _Block, b: _Block, threshold: float):
+    """(document of a, document of b) whose heads' product can make a similar pair."""
     import numpy as np
-    import pyarrow as pa
-
-    def flat(ids, weights):
-        sizes = np.diff(ids.offsets.to_numpy())
-        return (np.repeat(np.arange(len(sizes)), sizes), ids.flatten().to_numpy(zero_copy_only=False),
-                weights.flatten().to_numpy(zero_copy_only=False))
-
-    for batch in batches:
-        pair_a, ta, wa = flat(batch.column(2), batch.column(3))
-        pair_b, tb, wb = flat(batch.column(4), batch.column(5))
-        span = int(max(ta.max(initial=0), tb.max(initial=0))) + 1
-        ka, kb = pair_a * span + ta, pair_b * span + tb
+
+    order = np.argsort(b.head_tid, kind="stable")
+    b_tid, b_doc, b_w = b.head_tid[order], b.head_doc[order], b.head_w[order]
+    lo = np.searchsorted(b_tid, a.head_tid, "left")
+    n = np.searchsorted(b_tid, a.head_tid, "right") - lo
+    wide = max(1, len(b.ids))
+    step = max(1, CHUNK // wide)
+    for d in range(0, len(a.ids), step):
+        docs = min(step, len(a.ids) - d)
+        e0, e1 = a.head_start[d], a.head_start[d + docs]
+        dots = np.zeros(docs * wide)
+        for f, t in _parts(n[e0:e1], CHUNK):
+            at = slice(e0 + f, e0 + t)
+            col = _runs(lo[at], n[at])
+            row = np.repeat(a.head_doc[at] - d, n[at])
+            dots += np.bincount(row * wide + b_doc[col], np.repeat(a.head_w[at], n[at]) * b_w[col], minlength=docs * wide)
+        need = threshold - np.maximum(a.rest[d:d + docs, None], b.rest[None, :]) - HEAD_EPS
+        row, col = np.nonzero((dots.reshape(docs, wide) >= need) & (dots.reshape(docs, wide) > 0))
+        yield row + d, col
+
+
+def _dots(a: _Block, b: _Block, row, col):
+    """Full dot products of pairs of documents: the terms of both sides meet in one binary search."""
+    import numpy as np
+
+    out = np.zeros(len(row))
+    na, nb = np.diff(a.start)[row], np.diff(b.start)[col]
+    span = int(max(a.tid.max(initial=0), b.tid.max(initial=0))) + 1
+    for f, t in _parts(na + nb, CHUNK):
+        pair = np.arange(t - f)
+        ea, eb = _runs(a.start[row[f:t]], na[f:t]), _runs(b.start[col[f:t]], nb[f:t])
+        pa, pb = np.repeat(pair, na[f:t]), np.repeat(pair, nb[f:t])
+        ka, kb = pa * span + a.tid[ea], pb * span + b.tid[eb]
         pos = np.searchsorted(kb, ka)
-        pos_c = np.minimum(pos, max(len(kb) - 1, 0))
-        hit = (pos < len(kb)) & (kb[pos_c] == ka) if len(kb) else np.zeros(len(ka), bool)
-        dots = np.bincount(pair_a[hit], wa[hit] * wb[pos_c[hit]], minlength=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dots)], names=["lo", "hi", "cosine"])
+        at = np.minimum(pos, max(len(kb) - 1, 0))
+        hit = kb[at] == ka if len(kb) else np.zeros(len(ka), bool)
+        out[f:t] = np.bincount(pa[hit], a.w[ea[hit]] * b.w[eb[at[hit]]], minlength=t - f)
+    return out
 
 
 DOT_SCHEMA = T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()),
                            T.StructField("cosine", T.DoubleType())])
 
 
-def verify_pairs(cands: DataFrame, vec: DataFrame) -> DataFrame:
-    """Exact cosine for each (lo, hi) candidate from the two packed vectors.
+def _block_pairs(threshold: float, strict: bool):
+    rest = min(HEAD_REST, threshold)
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        i, j = int(key[0]), int(key[1])
+        pdf = pdf.sort_values(["ord", "id"], kind="stable").reset_index(drop=True)
+        pdf["_place"] = np.arange(len(pdf))
+        a = _Block(pdf[pdf["_b"] == i], rest)
+        b = a if i == j else _Block(pdf[pdf["_b"] == j], rest)
+        del pdf
+        found = []
+        for row, col in _head_hits(a, b, threshold):
+            if i == j:
+                row, col = row[row < col], col[row < col]
+            dots = _dots(a, b, row, col)
+            keep = dots > threshold if strict else dots >= threshold
+            row, col, dots = row[keep], col[keep], dots[keep]
+            first = a.place[row] < b.place[col]
+            found.append(pd.DataFrame({"lo": np.where(first, a.ids[row], b.ids[col]), "hi": np.where(first, b.ids[col], a.ids[row]),
+                                       "cosine": dots}))
+        return pd.concat(found) if found else pd.DataFrame({"lo": [], "hi": [], "cosine": []})
+
+    return run
+
+
+def similar_pairs(packed: DataFrame, threshold: float, strict: bool = False, hot_rows: int = HOT_TERM_ROWS) -> DataFrame:
+    """C4: all (lo, hi, cosine) with cosine >= threshold (or > when ``strict``), lo before hi.
 
-    Sorted-array intersection (``searchsorted``) has no built-in expression,
-    so this one step runs as ``mapInArrow`` over the joined candidate rows,
-    vectorised over whole batches.
+    ``packed`` has a row ``(id, ord, tids, ws)`` per document; ``(ord, id)`` is the order.
     """
-    ensure_checkpoint_dir(vec.sparkSession)
-    packed = packed_vectors(vec).checkpoint(eager=True)   # read by both joins
-    a = packed.select(F.col("id").alias("lo"), F.col("tids").alias("ta"), F.col("ws").alias("wa"))
-    b = packed.select(F.col("id").alias("hi"), F.col("tids").alias("tb"), F.col("ws").alias("wb"))
-    joined = cands.select(F.col("lo").cast("long"), F.col("hi").cast("long")).join(a, "lo").join(b, "hi")
-    return joined.select("lo", "hi", "ta", "wa", "tb", "wb").mapInArrow(_dot_batches, DOT_SCHEMA)
-
-
-def similar_pairs(vec: DataFrame, order: DataFrame, threshold: float, strict: bool = False,
-                  hot_rows: int = HOT_TERM_ROWS) -> DataFrame:
-    """C4: all (lo, hi, cosine) with cosine >= threshold (or > when ``strict``), lo before hi."""
-    cands = candidate_pairs(vec, order, threshold, hot_rows)
-    dots = verify_pairs(cands, vec)
-    keep = F.col("cosine") > threshold if strict else F.col("cosine") >= threshold
-    return dots.filter(keep)
+    docs = packed.filter(F.col("ord").isNotNull())
+    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("tids")), F.lit(0)).alias("terms")).first()
+    blocks = max(1, -(-size.docs // (hot_rows * BLOCK_DOCS_PER_ROW)), -(-size.terms // BLOCK_TERMS))
+    dealt = docs.select(F.col("id").cast("long").alias("id"), "ord", "tids", "ws",
+                        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
+    met = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        "id", "ord", "tids", "ws", "_b", F.least("_b", "_j").alias("_pi"), F.greatest("_b", "_j").alias("_pj"))
+    return met.groupBy("_pi", "_pj").applyInPandas(_block_pairs(threshold, strict), DOT_SCHEMA)

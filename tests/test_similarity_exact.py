@@ -56,3 +56,35 @@ def test_cosine_join_is_exact_on_random_corpora(spark):
             rep_ids = set(reps.values())
             expected = {(a, b) for a, b in expected_all if a in rep_ids and b in rep_ids}
             assert got == expected, (t, len(got), len(expected))
+
+
+def test_pairs_of_many_blocks_and_small_chunks(spark, monkeypatch):
+    """What is shuffled are vectors per block, never pairs of documents; any cut into blocks and chunks gives the same pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from newsloom.operators import tfidf
+    rnd = random.Random(5)
+    rows = []
+    for i in range(120):
+        words = [f"w{int(rnd.paretovariate(0.7)) % 400}" for _ in range(rnd.randint(1, 60))]
+        rows.append((i, " ".join(words)))
+        rows.append((1000 - i, " ".join(words[: max(1, len(words) - 2)] + ["extra"])))
+    rows += [(2000, None), (2001, ""), (2002, "...")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    vec = dedup.tfidf_on_distinct(df, "id", "text", "id").collect()
+    unit = {r.id: dict(zip(r.tids, r.ws)) for r in vec}
+    want = {}
+    for a in unit:
+        for b in unit:
+            if a < b and (dot := sum(w * unit[b].get(t, 0.0) for t, w in unit[a].items())) >= 0.6:
+                want[a, b] = round(dot, 9)
+    assert len(want) > 50
+    for most, chunk in ((4_000_000, 4_000_000), (700, 50)):
+        monkeypatch.setattr(tfidf, "BLOCK_TERMS", most)
+        monkeypatch.setattr(tfidf, "CHUNK", chunk)
+        pairs = dedup.near_duplicate_pairs(df, "id", "text", threshold=0.6)
+        assert {(r.doc_a, r.doc_b): round(r.cosine, 9) for r in pairs.collect()} == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan, plan   # candidates meet no vectors by a join
