@@ -62,14 +62,18 @@ def tfidf_on_distinct(docs: DataFrame, id_col: str, text_col: str, order_col: st
                       copies: DataFrame | None = None) -> DataFrame:
     """TF-IDF over one row per distinct text, with df/n counting every copy: packed rows ``(id, ord, tids, ws)``."""
     copies = copies if copies is not None else exact_copies(docs, id_col, text_col, order_col)
+    # A repeated id is one document, with its earliest place: repeats scale its counts, which the norm undoes.
+    groups = copies.filter(F.col("rep").isNotNull()).groupBy(F.col("rep").alias("id")).agg(
+        F.count_distinct("id").alias("n_copies"), F.count(F.lit(1)).alias("_rows"))
     reps = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(order_col).alias("ord"))
-            .join(copies.filter("is_rep").select("id", "n_copies"), "id"))
-    vec = tfidf.tfidf(reps, "id", "text", copies_col="n_copies", with_term_ids=True)
+            .join(groups.select("id", "n_copies"), "id"))
+    vec = tfidf.tfidf(reps, "id", "text", copies_col="n_copies", n_docs=groups.select(F.sum("_rows")).scalar(), with_term_ids=True)
+    places = reps.groupBy("id").agg(F.min("ord").alias("ord"))
     # The packed vectors are read several times; a reliable checkpoint computes them once and cuts
     # the lineage there.
     ensure_checkpoint_dir(docs.sparkSession)
     packed = tfidf.packed_vectors(vec.select("id", "tid", "w"))
-    return packed.join(reps.select("id", "ord"), "id").select("id", "ord", "tids", "ws").checkpoint(eager=True)
+    return packed.join(places, "id").select("id", "ord", "tids", "ws").checkpoint(eager=True)
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "text",

@@ -88,3 +88,13 @@ def test_pairs_of_many_blocks_and_small_chunks(spark, monkeypatch):
         assert {(r.doc_a, r.doc_b): round(r.cosine, 9) for r in pairs.collect()} == want
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan, plan   # candidates meet no vectors by a join
+
+
+def test_repeated_rows_are_one_document(spark):
+    rows = [(i, " ".join(f"t{(i // 2) * 7 + k}" for k in range(9)) + f" own{i}") for i in range(12)]
+    df = spark.createDataFrame(rows + rows, "id long, text string").repartition(3)
+    pairs = dedup.near_duplicate_pairs(df, "id", "text", threshold=0.6).collect()
+    assert sorted((r.doc_a, r.doc_b) for r in pairs) == [(i, i + 1) for i in range(0, 12, 2)]
+    assert all(r.cosine < 1 for r in pairs)
+    decided = sorted((r.id, r.kept) for r in dedup.greedy_dedup(df, "id", "text", "id", 0.6).collect())
+    assert len(decided) == 24 and len({x for x in decided if x[1]}) == 6
