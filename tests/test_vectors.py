@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 
 from newsloom.plans import vectorq
@@ -134,3 +135,27 @@ def test_ivf_block_size_does_not_change_result(spark):
     big = {(r.q, r.c, round(r.sim, 9)) for r in vectors.ivf_topk(v, 5, 16, 4).collect()}
     small = {(r.q, r.c, round(r.sim, 9)) for r in vectors.ivf_topk(v, 5, 16, 4, block_rows=16).collect()}
     assert big == small
+
+
+def test_rows_travel_once_per_large_block():
+    """A row's copies are bounded by the rows over ``TILE_ROWS``, not over the (small) block that is asked for."""
+    assert [vectors._tiles(n, 256) for n in (0, 1, 300, 10_000, 615_000)] == [1, 1, 2, vectors.TILES, 76]
+
+
+def test_chunked_kernels_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    m = rng.integers(-2, 3, (90, 4)).astype("float32")   # equal and zero vectors are among them
+    monkeypatch.setattr(vectors, "CHUNK", 200)
+    monkeypatch.setattr(vectors, "PROBED", 16)
+    ids = rng.permutation(90).astype("int64")
+    n, ok = vectors._matrix(pd.Series(list(m)))
+    got = vectors._best_of(n[:50], ok[:50], ids[:50], n, ok, ids, 4)
+    sims = (n @ n.T).round(vectors.SIM_DIGITS)
+    want = []
+    for q in np.flatnonzero(ok[:50]):
+        near = sorted((-sims[q, c], ids[c]) for c in np.flatnonzero(ok) if c != q)[:4]
+        want += [(ids[q], c) for _, c in near]
+    assert list(zip(got.q, got.c)) == want
+    pairs = {(r, c) for rows, cols, _ in vectors._similar(n, ok, n, ok, 0.5, True) for r, c in zip(rows, cols)}
+    full = n @ n.T
+    assert pairs == {(r, c) for r in range(90) for c in range(90) if ok[r] and ok[c] and full[r, c] > 0.5}
