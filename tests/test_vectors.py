@@ -5,7 +5,7 @@ import pandas as pd
 import pyarrow.parquet as pq
 
 from newsloom.plans import vectorq
-from newsloom.operators import vectors
+from newsloom.operators import loader, vectors
 from tests.conftest import SF01
 
 EPOCH = dt.datetime(2024, 1, 1)
@@ -159,3 +159,19 @@ def test_chunked_kernels_equal_brute_force(monkeypatch):
     pairs = {(r, c) for rows, cols, _ in vectors._similar(n, ok, n, ok, 0.5, True) for r, c in zip(rows, cols)}
     full = n @ n.T
     assert pairs == {(r, c) for r in range(90) for c in range(90) if ok[r] and ok[c] and full[r, c] > 0.5}
+
+
+def test_walk_by_stretches_equals_the_walk(spark):
+    rng = np.random.default_rng(9)
+    m = rng.standard_normal((150, 3)).astype("float32")
+    m[::10] = 0
+    rows = [(i + 1, v.tolist() if i % 17 else None) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "_ord long, vec array<float>")
+    kept = []
+    for o, v in rows:
+        x = np.array(v or [0.0] * 3)
+        if not any(x.any() and np.any(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9 for _, y in kept):
+            kept.append((o, x))
+    got = sorted(r._ord for r in loader.first_of_similar(df, 0.9, block_rows=16, first_stretch=20).collect())
+    assert got == [o for o, _ in kept]
+    assert loader.first_of_similar(df.limit(0), 0.9).count() == 0
