@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.operators import ranking
+from newsloom.session import ensure_checkpoint_dir
 
 # The token rule.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -45,6 +46,9 @@ HOT_TERM_ROWS = 1024
 BLOCK_DOCS_PER_ROW = 16
 # Products that a task holds at a time.
 CHUNK = 4_000_000
+# Characters of the texts that a task counts, and the terms of a dictionary that is sent to all tasks at most.
+TASK_CHARS = 16_000_000
+BROADCAST_TERMS = 1_000_000
 
 
 def tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
@@ -69,7 +73,14 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text",
 
     ``copies_col`` lets callers pass one row per distinct text with its copy
     count; df and n then count every copy, as if the copies were present.
+
+    The texts are dealt by id and their terms stay where they are counted: a dictionary of at most
+    ``BROADCAST_TERMS`` terms comes to them, and only a larger one is joined by term.
     """
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
+    docs = docs.select(id_col, text_col, *([copies_col] if copies_col else [])).repartition(tasks, id_col)
     tf = term_frequencies(docs, id_col, text_col, copies_col)
     mult = F.col("copies") if copies_col else F.lit(1)
     if n_docs is None:
@@ -81,6 +92,10 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     if with_term_ids:
         dfreq = with_term_ids_column(dfreq)
         cols.append("tid")
+    ensure_checkpoint_dir(spark)
+    dfreq = dfreq.checkpoint(eager=True)   # counted and joined: one computation
+    if dfreq.count() <= BROADCAST_TERMS:
+        dfreq = F.broadcast(dfreq)
     return weighted(tf, dfreq, n_docs, cols)
 
 

@@ -55,3 +55,17 @@ def test_bigrams_across_documents(spark):
     df = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "")], "id long, t string")
     got = {(r.w1, r.w2) for r in ngrams.bigrams_across_documents(df, "t", [F.col("id")]).collect()}
     assert got == {("beta", "gamma")}
+
+
+def test_tfidf_rows_stay_with_their_document(spark, monkeypatch):
+    """Terms are not shuffled to the dictionary, unless it is too large; repeated ids are one document either way."""
+    from newsloom.operators import tfidf
+    rows = [(i % 40, f"alpha beta{i % 7} beta{i % 7} gamma{i % 3}") for i in range(50)] + [(99, None), (None, "alpha")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    near = tfidf.tfidf(df)
+    plan = near._jdf.queryExecution().sparkPlan().toString() + near._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "BroadcastHashJoin" in plan
+    got = {(r.id, r.term, r.df, round(r.w, 9)) for r in near.collect()}
+    monkeypatch.setattr(tfidf, "BROADCAST_TERMS", 0)
+    assert got == {(r.id, r.term, r.df, round(r.w, 9)) for r in tfidf.tfidf(df).collect()}
+    assert len(got) == 40 * 3 + 1 + sum(len({j % 7 for j in (i, i + 40)}) + len({j % 3 for j in (i, i + 40)}) - 2 for i in range(10))
