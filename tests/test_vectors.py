@@ -4,8 +4,10 @@ import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
 from newsloom.plans import vectorq
-from newsloom.operators import loader, vectors
+from newsloom.operators import enrich, loader, vectors
 from tests.conftest import SF01
 
 EPOCH = dt.datetime(2024, 1, 1)
@@ -175,3 +177,18 @@ def test_walk_by_stretches_equals_the_walk(spark):
     got = sorted(r._ord for r in loader.first_of_similar(df, 0.9, block_rows=16, first_stretch=20).collect())
     assert got == [o for o, _ in kept]
     assert loader.first_of_similar(df.limit(0), 0.9).count() == 0
+
+
+def test_highlights_embed_only_rows_they_reach(spark):
+    rows = [(i, "g", f"t{i}" if i < 380 else "same", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, title string, ts timestamp").withColumn("summary", F.lit(""))
+    seen = []
+
+    def embed(part):
+        seen.append(part.count())
+        return enrich.embed_articles(part, out="vec")
+
+    args = dict(n=5, threshold=0.85, group_col="g", id_col="id", vec_col="vec", ts_col="ts")
+    got = sorted(map(tuple, vectors.semantic_highlights(df, embed=embed, **args).collect()))
+    assert got == sorted(map(tuple, vectors.semantic_highlights(enrich.embed_articles(df, out="vec"), **args).collect()))
+    assert [r[1] for r in got] == [376, 377, 378, 379, 399] and sum(seen) == 20 + 80
