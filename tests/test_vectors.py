@@ -192,3 +192,18 @@ def test_highlights_embed_only_rows_they_reach(spark):
     got = sorted(map(tuple, vectors.semantic_highlights(df, embed=embed, **args).collect()))
     assert got == sorted(map(tuple, vectors.semantic_highlights(enrich.embed_articles(df, out="vec"), **args).collect()))
     assert [r[1] for r in got] == [376, 377, 378, 379, 399] and sum(seen) == 20 + 80
+
+
+def test_a_query_meets_a_tile_of_cells_once():
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((60, 4))
+    cells = rng.integers(0, 6, 40)
+    rows = [(0, i, m[i], np.array([0, 2, 5] if i % 2 else [1]), 0) for i in range(20)]
+    rows += [(0, i, m[i], np.array([cells[i - 20]]), 1) for i in range(20, 60)]
+    got = vectors._probed_topk(3)(pd.DataFrame(rows, columns=["tile", "id", "vec", "cells", "_side"]))
+    n, _ = vectors._matrix(pd.Series(list(m)))
+    want = set()
+    for i in range(20):
+        near = [c for c in range(20, 60) if cells[c - 20] in ((0, 2, 5) if i % 2 else (1,))]
+        want |= {(i, c) for c in sorted(near, key=lambda c: -(n[i] @ n[c]))[:3]}
+    assert set(zip(got.q, got.c)) == want
