@@ -1,6 +1,7 @@
 import datetime as dt
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,41 @@ def test_trigram_search_opens_its_buckets_only(spark, tmp_path):
     assert text_index.search(df.limit(0), f"{path}/empty", "quick", ["title"]).collect() == []
 
 
+def _grams(*texts):
+    return {t.lower()[i:i + 3] for t in texts if t for i in range(len(t.lower()) - 2)}
+
+
+@pytest.mark.parametrize("stretch, id_type", [(1, "long"), (40, "string")])
+def test_trigram_postings_hold_every_document(spark, tmp_path, stretch, id_type):
+    df, path = _texts(spark).withColumn("id", F.col("id").cast(id_type)), str(tmp_path)
+    text_index.build(df, path, ["title", "summary"], stretch=stretch)
+    want = {(g, r.id) for r in df.collect() for g in _grams(r.title, r.summary)}
+    got = [(r.gram, i) for r in text_index._postings(spark, path).collect() for i in r.ids]
+    assert len(got) == len(want) and set(got) == want
+    counts = {r.gram: r.n for r in spark.read.parquet(f"{path}/counts").collect()}
+    assert counts == {g: sum(g == h for h, _ in want) for g, _ in want}
+    got = text_index.search(df, path, "😀 smile", ["title", "summary"])
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in filters.search_filter(df, "😀 smile").collect())
+
+
+def test_trigram_postings_are_blocks_of_documents(spark, tmp_path):
+    """A stretch of rows writes one posting row per trigram, not one per trigram and document."""
+    df = spark.range(600).select("id", F.concat(F.lit("the same words "), F.col("id") % 3).alias("title")).coalesce(2)
+    text_index.build(df, str(tmp_path), ["title"])
+    pairs = sum(len(_grams(r.title)) for r in df.collect())
+    assert spark.read.parquet(f"{tmp_path}/postings").count() <= pairs / 100
+    assert text_index.search(df, str(tmp_path), "words 1", ["title"]).count() == 200
+
+
+def test_trigrams_of_more_letters_than_a_key_holds():
+    letters = [chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000][:320_000]
+    texts = ["".join(letters[i::500]) for i in range(500)]
+    found = [*text_index._inverted(pa.table({"id": range(500), "a": texts, "b": [None, *texts[1:]]}))]
+    pairs = [(g, i) for b in found for g, ids in zip(b["gram"].to_pylist(), b["ids"].to_pylist(), strict=True) for i in ids]
+    assert len(found) > 1 and len(pairs) == 500 * 638
+    assert set(pairs) == {(t[k:k + 3], i) for i, t in enumerate(texts) for k in range(len(t) - 2)}
+
+
 def _keys(spark, values):
     return spark.createDataFrame([(v, 1) for v in values], "key string, x int").repartition(3)
 
