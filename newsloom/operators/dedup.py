@@ -58,22 +58,44 @@ def exact_copies(docs: DataFrame, id_col: str, text_col: str, order_col: str) ->
             .select("id", "rep", "n_copies", (F.col("id") == F.col("rep")).alias("is_rep")))
 
 
-def tfidf_on_distinct(docs: DataFrame, id_col: str, text_col: str, order_col: str,
-                      copies: DataFrame | None = None) -> DataFrame:
-    """TF-IDF over one row per distinct text, with df/n counting every copy: packed rows ``(id, ord, tids, ws)``."""
-    copies = copies if copies is not None else exact_copies(docs, id_col, text_col, order_col)
+BROADCAST_ODD = 2_000_000   # ids that are broadcast because their texts are copies or come more than once
+
+
+def _distinct_blocks(docs: DataFrame, id_col: str, text_col: str, order_col: str, copies: DataFrame, hot_rows: int) -> DataFrame:
+    """Stored blocks of TF-IDF vectors over one row per distinct text, with df/n counting every copy."""
     # A repeated id is one document, with its earliest place: repeats scale its counts, which the norm undoes.
     groups = copies.filter(F.col("rep").isNotNull()).groupBy(F.col("rep").alias("id")).agg(
-        F.count_distinct("id").alias("n_copies"), F.count(F.lit(1)).alias("_rows"))
-    reps = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(order_col).alias("ord"))
-            .join(groups.select("id", "n_copies"), "id"))
-    vec = tfidf.tfidf(reps, "id", "text", copies_col="n_copies", n_docs=groups.select(F.sum("_rows")).scalar(), with_term_ids=True)
-    places = reps.groupBy("id").agg(F.min("ord").alias("ord"))
-    # The packed vectors are read several times; a reliable checkpoint computes them once and cuts
-    # the lineage there.
+        F.count_distinct("id").alias("copies"), F.count(F.lit(1)).alias("_rows")).checkpoint(eager=True)
+    # What is told of an id is whether it is no representative, or has copies, or comes more than once: most texts are
+    # none of these, so the texts stay where they are read.
+    odd = (copies.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("_times")).join(groups, "id", "left")
+           .select(F.col("id").alias("_odd"), "copies", "_times").filter("copies IS NULL OR copies > 1 OR _times > 1").checkpoint(eager=True))
+    counts = odd.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("_times") > 1) & F.col("copies").isNotNull()).alias("again")).first()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(order_col).alias("ord")).filter(F.col("id").isNotNull())
+    rows = rows.join(F.broadcast(odd) if counts.n <= BROADCAST_ODD else odd, F.col("id") == F.col("_odd"), "left")
+    rows = rows.filter("_odd IS NULL OR copies IS NOT NULL").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    reps = rows.select("id", "ord", "text", "copies")
+    if counts.again:
+        reps = (rows.filter("_times IS NULL OR _times = 1").select("id", "ord", "text", "copies").unionByName(
+            rows.filter("_times > 1").groupBy("id", "copies").agg(
+                F.min("ord").alias("ord"), F.concat_ws("\n", F.collect_list("text")).alias("text"))))
+    n_docs = groups.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    return tfidf.packed_blocks(reps, n_docs, hot_rows)
+
+
+def _copies(docs: DataFrame, id_col: str, text_col: str, order_col: str) -> DataFrame:
+    """The copy groups, computed once (a reliable checkpoint)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    packed = tfidf.packed_vectors(vec.select("id", "tid", "w"))
-    return packed.join(places, "id").select("id", "ord", "tids", "ws").checkpoint(eager=True)
+    return exact_copies(docs, id_col, text_col, order_col).checkpoint(eager=True)
+
+
+def tfidf_on_distinct(docs: DataFrame, id_col: str, text_col: str, order_col: str) -> DataFrame:
+    """TF-IDF over one row per distinct text, with df/n counting every copy: packed rows ``(id, ord, tids, ws)``.
+
+    Terms that only one of the texts holds count in the norm and are left out of the rows.
+    """
+    blocks = _distinct_blocks(docs, id_col, text_col, order_col, _copies(docs, id_col, text_col, order_col), tfidf.HOT_TERM_ROWS)
+    return tfidf.unpacked(blocks, docs.schema[order_col].dataType)
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "text",
@@ -81,8 +103,8 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "t
                          strict: bool = False, hot_rows: int = tfidf.HOT_TERM_ROWS) -> DataFrame:
     """C4 over distinct texts: ``(doc_a, doc_b, cosine)`` between copy-group representatives."""
     order_col = order_col or id_col
-    vec = tfidf_on_distinct(docs, id_col, text_col, order_col)
-    pairs = tfidf.similar_pairs(vec, threshold, strict=strict, hot_rows=hot_rows)
+    blocks = _distinct_blocks(docs, id_col, text_col, order_col, _copies(docs, id_col, text_col, order_col), hot_rows)
+    pairs = tfidf.similar_pairs(blocks, threshold, strict=strict)
     return pairs.select(F.col("lo").alias("doc_a"), F.col("hi").alias("doc_b"), "cosine")
 
 
@@ -97,13 +119,13 @@ def greedy_dedup(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     decided without entering the similarity graph.
     """
     order_col = order_col or id_col
-    copies = exact_copies(docs, id_col, text_col, order_col)
-    vec = tfidf_on_distinct(docs, id_col, text_col, order_col, copies)
-    edges = tfidf.similar_pairs(vec, threshold)
+    copies = _copies(docs, id_col, text_col, order_col)
+    blocks = _distinct_blocks(docs, id_col, text_col, order_col, copies, tfidf.HOT_TERM_ROWS)
+    edges = tfidf.similar_pairs(blocks, threshold)
     decided = greedy.greedy_select(edges, "lo", "hi")
     # A text without tokens has a zero vector (cosine 0 with anything, its
     # copies included), so its copies are kept like the reference keeps them.
-    has_vec = vec.select(F.col("id").alias("rep")).distinct().withColumn("_v", F.lit(True))
+    has_vec = tfidf.block_ids(blocks).select(F.col("id").alias("rep")).distinct().withColumn("_v", F.lit(True))
     out = (copies.join(decided.withColumnRenamed("node", "id"), "id", "left")
            .join(has_vec, "rep", "left")
            .select("id", "rep",
